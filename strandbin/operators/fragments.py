@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandbin.functions.rules import hash_share
+from strandbin.operators.skew import number_rows
 
 #: Largest overlap of two accepted fragments as a share of the longer; attempts per fragment wanted; length from which a
 #: contig is augmented by halves.
@@ -78,7 +79,7 @@ def positive_pairs(rows: DataFrame, group: str, member: str, cap: int) -> DataFr
     members = rows.where(F.col(group).isNotNull() & F.col(member).isNotNull()).select(F.col(group).alias("g"), F.col(member).alias("m")).distinct()
     sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("pairs", F.expr("n * (n - 1) div 2"))
     total = sizes.agg(F.sum("pairs").alias("p")).first()["p"] or 0
-    numbered = members.withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("m")) - 1)
+    numbered = number_rows(members, "g", ["m"]).select("g", "m", F.col("row_no").alias("i"))
     if total <= cap:
         a, b = numbered.alias("a"), numbered.alias("b")
         return a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.i") < F.col("b.i"))).select(F.col("a.g").alias(group), F.col("a.m").alias("first"), F.col("b.m").alias("second"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandbin.runtime import shuffle_partitions
+from strandbin.runtime import shuffle_partitions, stage
 
 STATE_SCHEMA = "pid int, key string, row_count long, value_count long, distinct_values long, first_value {v}, last_value {v}, max_step double"
 
@@ -142,3 +142,37 @@ def heavy_keys(df: DataFrame, key: str, order: str, percent: int = 3, partitions
     """
     total = df.count()
     return split_key_summary(df, key, order, partitions).withColumn("total_rows", F.lit(total).cast("long")).where(F.col("row_count") * 100 >= F.col("total_rows") * percent)
+
+
+def number_rows(df: DataFrame, key: str, order: list[str], partitions: int | None = None) -> DataFrame:
+    """``df`` with ``row_no``: the place of each row among the rows of its key in the given order, from 0.
+
+    As ``row_number`` over a window of the key, but a heavy key is cut into as many partitions as its rows need: numbers are
+    first given within each partition, and a key's counts in the partitions before are added. Rows of a null key are left
+    out. Rows that agree in key and order have an arbitrary order among them. A column ``row_no`` of ``df`` is replaced.
+    """
+    n = partitions or shuffle_partitions(df.sparkSession)
+    cols = [c for c in df.columns if c != "row_no"]
+    ranged = df.where(F.col(f"`{key}`").isNotNull()).select(*[F.col(f"`{c}`") for c in cols]).repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in ranged.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, count = None, 0
+        for b in batches:
+            if not len(b):
+                continue
+            k = b[key].to_numpy(dtype=object)
+            at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            number = np.arange(len(k)) - np.repeat(at, np.diff(np.r_[at, len(k)]))
+            if last is not None and k[0] == last:
+                number[: at[1] if len(at) > 1 else len(k)] += count
+            last, count = k[-1], int(number[-1]) + 1
+            yield b.assign(own_no=number.astype(np.int64))
+
+    numbered = stage(ranged.withColumn("pid_", F.spark_partition_id()).mapInPandas(run, f"{kinds}, pid_ int, own_no long"), "numbered")
+    counts = numbered.groupBy(key, "pid_").agg(F.max("own_no").alias("n")).withColumn("n", F.col("n") + 1)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy("pid_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Only keys that reach a second partition need an offset: no more rows than partitions.
+    offsets = counts.select(key, "pid_", before.alias("before")).where("before > 0")
+    joined = numbered.join(F.broadcast(offsets), [key, "pid_"], "left")
+    return joined.select(*cols, (F.col("own_no") + F.coalesce("before", F.lit(0))).alias("row_no"))

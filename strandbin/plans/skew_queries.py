@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandbin.operators.skew import heavy_keys, split_key_summary
+from strandbin.operators.skew import heavy_keys, number_rows, split_key_summary
 from strandbin.runtime import table
 
 
@@ -38,9 +38,18 @@ def p1_bin_summary(spark: SparkSession, folder: str) -> DataFrame:
     return split_key_summary(df, key, order).select(F.col("key").alias("bin"), "row_count", F.col("distinct_values").alias("contigs"), F.col("first_value").alias("first_contig"), F.col("last_value").alias("last_contig"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_contig_summary": p1_contig_summary, "p1_bin_summary": p1_bin_summary}
+def p1_fragment_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """The number of each fragment within its contig by start and name, rows that were sent twice once."""
+    rows = table(spark, folder, "fragments").select("contig", "start_pos", "fragment").distinct()
+    return number_rows(rows, "contig", ["start_pos", "fragment"])
+
+
+QUERIES = {"p1_fragment_numbers": p1_fragment_numbers, "p1_found": p1_found, "p1_contig_summary": p1_contig_summary, "p1_bin_summary": p1_bin_summary}
 
 SQL = {
+    "p1_fragment_numbers": """
+        SELECT contig, start_pos, fragment, row_number() OVER (PARTITION BY contig ORDER BY start_pos NULLS FIRST, fragment) - 1 AS row_no
+        FROM (SELECT DISTINCT contig, start_pos, fragment FROM fragments WHERE contig IS NOT NULL)""",
     "p1_found": """
         SELECT 'fragments' AS tbl, contig AS key_value FROM fragments WHERE contig IS NOT NULL GROUP BY contig
         HAVING count(*) * 100 >= 3 * (SELECT count(*) FROM fragments)
