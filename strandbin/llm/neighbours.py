@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandbin.llm.tree import Tree, block_join, blocks_of, grow, matrix, placed
-from strandbin.runtime import stage, unstage
+from strandbin.operators.tree import Tree, block_join, blocks_of, grow, matrix, placed
+from strandbin.runtime import stage
 
 #: Rows whose true neighbours calibrate the visits.
 CALIBRATION_QUERIES = 512
@@ -178,7 +178,7 @@ def nearest(vectors: DataFrame, width: int, k: int, cosine: bool, within: float,
 
     queries = members.where("copy_no = 1")
     slim = members.drop("copy_no", "reach")
-    found = block_join(slim, queries, tree, blocks, width, lambda t, x: t.best_bins(x, visits), work, "rep string, other string, near long")
+    found = block_join(slim, queries, tree, blocks, width, lambda t, x, _: t.best_bins(x, visits), work, "rep string, other string, near long")
     of_rep = Window.partitionBy("rep").orderBy(F.col("near").desc(), "other")
     lists = found.withColumn("n", F.row_number().over(of_rep)).where(F.col("n") <= top).drop("n")
     reps = rows.groupBy("h").agg(F.min("key").alias("rep"))
