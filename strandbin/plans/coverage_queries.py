@@ -39,7 +39,8 @@ def _rounded(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fragment_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(_coverage(spark, folder), ["mean", "std"])
+    # Means over 2^n bases can lie halfway between two roundings, which engines round either way.
+    return _rounded(_coverage(spark, folder).withColumns({c: F.col(c) + F.lit(1e-10) for c in ("mean", "std")}), ["mean", "std"])
 
 
 def uncovered_fragments(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,7 +123,7 @@ SQL = {
     "depth_intervals": with_views("lines reads", """, e AS (SELECT sample, contig, pos, sum(d) AS d FROM (SELECT sample, contig, start AS pos, 1 AS d FROM reads WHERE stop > start UNION ALL SELECT sample, contig, stop, -1 FROM reads WHERE stop > start) GROUP BY ALL HAVING sum(d) <> 0)
         SELECT sample, contig, start, stop AS "end", depth FROM (SELECT sample, contig, pos AS start, lead(pos) OVER w AS stop, (sum(d) OVER w)::BIGINT AS depth FROM e WINDOW w AS (PARTITION BY sample, contig ORDER BY pos)) WHERE depth > 0"""),
     "frag_clamp": with_views("lengths frags", f', {_CLAMP} SELECT fragment, contig, s AS start, e AS "end", ok AS valid FROM clamped'),
-    "fragment_coverage": with_views(_V, f", {_COVER} SELECT sample, fragment, round(mean, 6) AS mean, round(std, 6) AS std FROM cover"),
+    "fragment_coverage": with_views(_V, f", {_COVER} SELECT sample, fragment, round(mean + 1e-10::DOUBLE, 6) AS mean, round(std + 1e-10::DOUBLE, 6) AS std FROM cover"),
     "uncovered_fragments": with_views("frags lines reads", "SELECT DISTINCT fragment FROM frags WHERE contig NOT IN (SELECT contig FROM reads)"),
     "coverage_rpm": with_views(_V, f", {_COVER} SELECT sample, fragment, round(mean, 6) AS mean, round(std, 6) AS std FROM rpm"),
     "coverage_pivot": with_views(_V, f", {_COVER} SELECT fragment, {_R} FROM wide"),
