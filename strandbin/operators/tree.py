@@ -276,7 +276,7 @@ def block_join(
                 yield out
 
     columns = ", ".join(f"`{c}` {kinds[c]}" for c in ["key", "vec", *extra])
-    lanes = min(16, max(1, -(-3 * shuffle_partitions(spark) // blocks.total)))
+    lanes = min(16, max(1, -(-shuffle_partitions(spark) // blocks.total)))
     n = min(blocks.total * lanes, 8 * shuffle_partitions(spark))
     slots = F.lit(even_slots(spark, n))
     own_lane = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(lanes)).cast("int")
