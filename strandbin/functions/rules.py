@@ -96,6 +96,13 @@ def learning_rate(epoch: int, epochs: int, peak: float, warmup: int = 10, start:
     return peak * (end + (1 - end) * 0.5 * (1 + math.cos(math.pi * (epoch - warmup) / (epochs - warmup))))
 
 
+def learning_rate_at(epoch: Column, epochs: int, peak: float, warmup: int = 10, start: float = 0.1, end: float = 0.01) -> Column:
+    """:func:`learning_rate` of a column."""
+    up = start + (1 - start) * epoch / warmup
+    down = end + (1 - end) * 0.5 * (1 + F.cos(F.lit(math.pi) * (epoch - warmup) / max(epochs - warmup, 1)))
+    return F.lit(peak) * F.when(epoch < warmup, up).otherwise(down if epochs > warmup else F.lit(1.0))
+
+
 def hash_share(*parts: Column | str) -> Column:
     """A number in [0, 1) from the md5 digest of the joined parts; the same in any engine with md5."""
     joined = F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(p) for p in parts])

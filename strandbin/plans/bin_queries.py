@@ -39,6 +39,12 @@ def fragment_ratio(spark: SparkSession, folder: str) -> DataFrame:
     return n.where("h1 > 0 and h2 > 0").select("contig", "h1", "h2", F.round(F.least("h1", "h2") / F.greatest("h1", "h2"), 6).alias("share"))
 
 
+def lr_schedule(spark: SparkSession, folder: str) -> DataFrame:
+    """The learning rate of each epoch, an epoch for every ordinal that fragments have, of 400."""
+    epochs = table(spark, folder, "fragments").where("ordinal < 400").select(F.col("ordinal").alias("epoch")).distinct()
+    return epochs.withColumn("rate", F.round(rules.learning_rate_at(F.col("epoch"), 400, 0.0128), 9))
+
+
 def frag_original(spark: SparkSession, folder: str) -> DataFrame:
     return v.fragments(spark, folder).where("kind = 'original'").select("contig", "fragment").distinct()
 
@@ -178,7 +184,7 @@ def pipeline_summary(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (gene_family, safe_ratio, interval_overlap, fragment_ratio, frag_original, positive_pairs, pairs_capped, predicted_class, bacterial_filter, bacterial_filter_fallback, score_summary, paf_best, cluster_labels, cluster_sets, cluster_counts, contig_lookup, bin_sizes, gene_family_counts, duplicated_genes, bins_annotated, contaminated_bins, refine_eligibility, refine_k, refine_subbins, refine_merge, bins_final, recluster_rule, pipeline_summary)}
+QUERIES = {f.__name__: f for f in (gene_family, safe_ratio, interval_overlap, fragment_ratio, lr_schedule, frag_original, positive_pairs, pairs_capped, predicted_class, bacterial_filter, bacterial_filter_fallback, score_summary, paf_best, cluster_labels, cluster_sets, cluster_counts, contig_lookup, bin_sizes, gene_family_counts, duplicated_genes, bins_annotated, contaminated_bins, refine_eligibility, refine_k, refine_subbins, refine_merge, bins_final, recluster_rule, pipeline_summary)}
 
 _BEST = f"""scored AS (SELECT line_no, contig, upper(trim(gene_family)) AS gene_family, (target_end - target_start)::DOUBLE / target_length AS cov, matches::DOUBLE / alignment_length AS ident
             FROM lines WHERE gene_family IS NOT NULL AND target_length > 0 AND alignment_length > 0),
@@ -201,6 +207,7 @@ SQL = {
         SELECT a.fragment, b.fragment AS next_fragment, round(CASE WHEN greatest(a.length, b.length) > 0 THEN greatest(0, least(a.start_pos + a.length, b.start_pos + b.length) - greatest(a.start_pos, b.start_pos))::DOUBLE / greatest(a.length, b.length) ELSE 0 END, 6) AS share
         FROM f a JOIN f b ON a.contig = b.contig AND a.half IS NOT DISTINCT FROM b.half AND a.ordinal + 1 = b.ordinal"""),
     "fragment_ratio": with_views("frags", "SELECT contig, h1, h2, round(least(h1, h2)::DOUBLE / greatest(h1, h2), 6) AS share FROM (SELECT contig, count(*) FILTER (half = 'h1') AS h1, count(*) FILTER (half = 'h2') AS h2 FROM frags GROUP BY contig) WHERE h1 > 0 AND h2 > 0"),
+    "lr_schedule": "SELECT DISTINCT ordinal AS epoch, round(0.0128::DOUBLE * CASE WHEN ordinal < 10 THEN 0.1 + 0.9 * ordinal / 10::DOUBLE ELSE 0.01 + 0.99 * 0.5 * (1 + cos(pi() * (ordinal - 10) / 390)) END, 9) AS rate FROM fragments WHERE ordinal < 400",
     "frag_original": with_views("frags", "SELECT DISTINCT contig, fragment FROM frags WHERE kind = 'original'"),
     "positive_pairs": with_views("frags", ", m AS (SELECT DISTINCT fragment, contig FROM frags SEMI JOIN features USING (fragment)) SELECT a.contig, a.fragment AS first, b.fragment AS second FROM m a JOIN m b ON a.contig = b.contig AND a.fragment < b.fragment"),
     "pairs_capped": with_views("frags", """, m AS (SELECT contig, fragment, row_number() OVER (PARTITION BY contig ORDER BY fragment) - 1 AS i FROM (SELECT DISTINCT contig, fragment FROM frags)),
