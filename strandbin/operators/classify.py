@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandbin.functions.rules import SCALES, length_scale
-from strandbin.operators.kmers import kmer_counts, profile
+from strandbin.operators.kmers import kmer_profiles
 
 CLASSES = ("viral", "plasmid", "prokaryotic", "eukaryotic")
 #: A contig is dropped if its bacterial or plasmid score is above this; a eukaryotic score from HIGH is a sure one.
@@ -57,6 +57,6 @@ def classify(rows: DataFrame, key: str, seq: str, models: dict[int, PipelineMode
 
 
 def _features(rows: DataFrame, key: str, seq: str) -> DataFrame:
-    shares = profile(kmer_counts(rows.where(F.col(seq).isNotNull()), key, seq))
+    shares = kmer_profiles(rows.where(F.col(seq).isNotNull()), key, seq)
     scale = rows.where(F.col(seq).isNotNull()).select(key, length_scale(F.length(seq)).alias("scale"))
     return shares.join(scale, key).select(key, "scale", array_to_vector("profile").alias("features"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,7 +12,7 @@ from pyspark.sql import types as T
 
 from strandbin.functions.rules import euclidean, unit
 from strandbin.operators.graph import merge_labels
-from strandbin.operators.sums import matrix_sum, mean_vectors
+from strandbin.operators.sums import matrix_sum
 from strandbin.operators.tree import block_join, blocks_of, grow, placed
 from strandbin.runtime import stage
 
@@ -18,6 +20,8 @@ NOISE = "noise"
 LEAF_ROWS = 512
 #: Leaves that a row visits to bound the distance of its k-th neighbour.
 FIRST_VISITS = 3
+#: Rows of a group that its first centres are chosen from, at most.
+SPLIT_SAMPLE = 512
 
 
 @F.pandas_udf(T.BinaryType())
@@ -107,7 +111,7 @@ def two_means(vectors: DataFrame, width: int, rounds: int = 10) -> DataFrame:
 
     Each round is one sum over the table; only two centres are on the driver. A row as near to both belongs to 0.
     """
-    rows = vectors.where("v is not null")
+    rows = stage(vectors.where("v is not null").select("key", "v"), "two-means-rows")
     seed = rows.agg(F.min_by("v", "key").alias("v")).first()
     if seed is None or seed["v"] is None:
         return rows.select("key", "v", F.lit(0).alias("label"))
@@ -162,30 +166,61 @@ def filter_small_groups(vectors: DataFrame, width: int, scores: DataFrame, small
     return now, seen
 
 
+def _nearest(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of a batch (``grp, v, cs``) and the number of each row's nearest centre, the first of equals."""
+    x, label = np.array(b["v"].tolist(), dtype=np.float64), np.zeros(len(b), dtype=np.int32)
+    group = b["grp"].astype("category").cat.codes.to_numpy()
+    for g in np.unique(group):
+        at = np.flatnonzero(group == g)
+        c = np.array([list(v) for v in b["cs"].iloc[at[0]]], dtype=np.float64)
+        d = (x[at] ** 2).sum(1)[:, None] + (c * c).sum(1)[None] - 2.0 * (x[at] @ c.T)
+        label[at] = np.round(d, 12).argmin(1)
+    return x, label
+
+
+def _first_centres(sample: pd.DataFrame) -> pd.DataFrame:
+    """Centres from a group's sampled rows: the smallest key's, then always the row farthest from those so far."""
+    sample = sample.sort_values("key", ignore_index=True)
+    x, k = np.array(sample["v"].tolist(), dtype=np.float64), int(sample["k"].iloc[0])
+    chosen, far = [0], ((x - x[0]) ** 2).sum(1)
+    while len(chosen) < min(k, len(x)):
+        chosen.append(int(np.round(far, 12).argmax()))
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return pd.DataFrame({"grp": [sample["grp"].iloc[0]], "cs": [x[chosen].tolist()]})
+
+
 def split_groups(rows: DataFrame, k: DataFrame, rounds: int = 5) -> DataFrame:
     """``grp, key, label``: k-means of every group at once, on vectors of length 1.
 
-    ``rows`` has ``grp, key, v``, ``k`` has ``grp, k``. The first centre is the smallest key's row, each further one the row
-    farthest from those before it; then ``rounds`` of means. Centres are one row per group.
+    ``rows`` has ``grp, key, v``, ``k`` has ``grp, k``. First centres come from ``SPLIT_SAMPLE`` rows of each group by hash
+    order; the means of the ``rounds`` are over all rows, summed per batch first. Centres are one row per group.
     """
     unit_rows = rows.join(k.select("grp", "k"), "grp").select("grp", "key", "k", unit(F.col("v")).alias("v")).where("v is not null")
     unit_rows = stage(unit_rows, "split-rows")
-    most = unit_rows.agg(F.max("k").alias("k")).first()["k"] or 0
-    centres = unit_rows.groupBy("grp").agg(F.min_by("v", "key").alias("c")).select("grp", F.array("c").alias("cs"))
-
-    def distances(cs: str) -> F.Column:
-        return F.transform(cs, lambda c: F.round(euclidean(F.col("v"), c), 9))
+    by_hash = Window.partitionBy("grp").orderBy(F.xxhash64("key"), "key")  # cut to the sample before the shuffle as well
+    sample = unit_rows.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= SPLIT_SAMPLE).drop("n")
+    kind = dict(rows.dtypes)["grp"]
+    centres = stage(sample.groupBy("grp").applyInPandas(_first_centres, f"grp {kind}, cs array<array<double>>"), "split-centres")
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x, label = _nearest(b)
+                for (g, j), at in pd.Series(np.arange(len(b))).groupby([b["grp"].to_numpy(), label]):
+                    yield pd.DataFrame({"grp": [g], "label": [j], "n": [len(at)], "total": [x[at.to_numpy()].sum(0)]})
+
+    def mean(part: pd.DataFrame) -> pd.DataFrame:
+        found = part.groupby("label").agg({"n": "sum", "total": "sum"}).sort_index()
+        return pd.DataFrame({"grp": [part["grp"].iloc[0]], "cs": [[(t / n).tolist() for n, t in zip(found["n"], found["total"])]]})
 
-    for j in range(1, most):
-        far = unit_rows.where(F.col("k") > j).join(centres, "grp").groupBy("grp").agg(F.max_by("v", F.struct(F.array_min(distances("cs")), "key")).alias("c"))
-        centres = stage(centres.join(far, "grp", "left").select("grp", F.when(F.col("c").isNotNull(), F.concat("cs", F.array("c"))).otherwise(F.col("cs")).alias("cs")), "split-centres")
+    for _ in range(rounds):
+        partial = unit_rows.join(centres, "grp").select("grp", "v", "cs").mapInPandas(sums, f"grp {kind}, label int, n long, total array<double>")
+        # A group has a partial sum per centre and batch that it is in.
+        centres = stage(partial.groupBy("grp").applyInPandas(mean, f"grp {kind}, cs array<array<double>>"), "split-centres")
 
-    def labelled() -> DataFrame:
-        d = distances("cs")
-        return unit_rows.join(centres, "grp").select("grp", "key", "v", (F.array_position(d, F.array_min(d)) - 1).cast("int").alias("label"))
+    def labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"grp": b["grp"], "key": b["key"], "label": _nearest(b)[1]})
 
-    for _ in range(rounds):
-        means = mean_vectors(labelled(), ["grp", "label"], "v")
-        fresh = means.groupBy("grp").agg(F.transform(F.sort_array(F.collect_list(F.struct("label", "mean"))), lambda x: x["mean"]).alias("cs"))
-        centres = stage(fresh, "split-centres")
-    return labelled().select("grp", "key", "label")
+    return unit_rows.join(centres, "grp").select("grp", "key", "v", "cs").mapInPandas(labels, f"grp {kind}, key {dict(rows.dtypes)['key']}, label int")

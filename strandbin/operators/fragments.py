@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandbin.functions.rules import hash_share
 from strandbin.operators.skew import number_rows
+from strandbin.runtime import shuffle_partitions
 
 #: Largest overlap of two accepted fragments as a share of the longer; attempts per fragment wanted; length from which a
 #: contig is augmented by halves.
@@ -15,21 +15,22 @@ MAX_OVERLAP, ATTEMPTS, SPLIT_LENGTH = 0.25, 10, 50_000
 
 def _candidates(length: Column, name: Column, half: str, seed: int, tries: int) -> Column:
     """``(start, length)`` of each attempt: half of them lose both edges, the others the left, the right or the outside of
-    a centre, in equal parts. Numbers come from digests of name, half, attempt and seed."""
+    a centre, in equal parts. An attempt's three numbers come from one digest of name, half, attempt and seed."""
+    digests = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda i: F.md5(F.concat_ws("|", name, F.lit(half), i.cast("string"), F.lit(str(seed)))))
 
-    def draw(i: Column, what: str) -> Column:
-        return hash_share(name, F.lit(half), i.cast("string"), F.lit(what), F.lit(str(seed)))
+    def part(d: Column, at: int) -> Column:
+        return F.conv(F.substring(d, at, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
-    def one(i: Column) -> Column:
-        a, b, way = draw(i, "a"), draw(i, "b"), draw(i, "way")
-        cut = lambda x: F.floor(x * length).cast("int")
-        left, right = cut(F.least(a, b)), cut(F.greatest(a, b))
-        size = F.greatest(cut(a), F.lit(1))
-        middle = F.floor((length - size) * b).cast("int")
-        start = F.when(way < 1 / 2, left).when(way < 2 / 3, length - size).when(way < 5 / 6, F.lit(0)).otherwise(middle)
-        return F.struct(start.cast("int").alias("start"), F.when(way < 1 / 2, right - left).otherwise(size).cast("int").alias("length"))
+    drawn = F.transform(digests, lambda d: F.struct(part(d, 1).alias("a"), part(d, 9).alias("b"), part(d, 17).alias("way")))
+    cut = lambda x: F.floor(x * length).cast("int")
+    placed = F.transform(drawn, lambda r: F.struct(r["way"].alias("way"), r["b"].alias("b"), cut(F.least(r["a"], r["b"])).alias("left"), cut(F.greatest(r["a"], r["b"])).alias("right"), F.greatest(cut(r["a"]), F.lit(1)).alias("size")))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), one)
+    def one(r: Column) -> Column:
+        outer = F.when(r["way"] < 2 / 3, length - r["size"]).when(r["way"] < 5 / 6, F.lit(0)).otherwise(F.floor((length - r["size"]) * r["b"]))
+        both = r["way"] < 1 / 2
+        return F.struct(F.when(both, r["left"]).otherwise(outer).cast("int").alias("start"), F.when(both, r["right"] - r["left"]).otherwise(r["size"]).cast("int").alias("length"))
+
+    return F.transform(placed, one)
 
 
 def _accepted(candidates: Column, least: int, wanted: int, max_overlap: float) -> Column:
@@ -53,7 +54,8 @@ def augment_fragments(contigs: DataFrame, least: int, wanted: int = 8, max_overl
     Contigs longer than ``split`` get ``wanted`` fragments in each half. Contigs shorter than ``least``, or of null length,
     have none. No sequence is read.
     """
-    whole = contigs.where(F.col("length") >= least).select("contig", "length")
+    # Names and lengths are small, what is computed from them is not: they are dealt to all tasks.
+    whole = contigs.where(F.col("length") >= least).select("contig", "length").repartition(shuffle_partitions(contigs.sparkSession), "contig")
     none = F.lit(None).cast("string")
     originals = whole.select("contig", F.lit("original").alias("kind"), none.alias("half"), F.lit(None).cast("int").alias("ordinal"), F.lit(0).alias("start_pos"), F.col("length").cast("int").alias("length"))
     mid = F.expr("cast(length div 2 as int)")

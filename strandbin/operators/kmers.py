@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandbin.functions.dna import CLASSIFIER_ALPHABET, PROFILE_ALPHABET, canonical_index
+from strandbin.runtime import spread
 
 _CODE = np.full(256, -1, dtype=np.int64)
 for _i, _c in enumerate(CLASSIFIER_ALPHABET):
@@ -56,11 +57,7 @@ def _windows(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return value[at], at
 
 
-def kmer_counts(df: DataFrame, key: str, seq: str, k: int = 4, alphabet: str = PROFILE_ALPHABET) -> DataFrame:
-    """``key, counts``: per row the counts of its canonical k-mers, windows with other letters left out.
-
-    Upper and lower case are the same. A null sequence gives null; one shorter than k gives zeros.
-    """
+def _per_row(df: DataFrame, key: str, seq: str, k: int, alphabet: str, pseudocount: float | None) -> DataFrame:
     index = canonical_index(k, alphabet)
     width = int(index.max()) + 1
     kind = dict(df.dtypes)[key]
@@ -73,19 +70,32 @@ def kmer_counts(df: DataFrame, key: str, seq: str, k: int = 4, alphabet: str = P
                 code, row = _codes(part["seq"].tolist())
                 value, at = _windows(code, k)
                 counts = np.bincount(row[at] * width + index[value], minlength=len(part) * width).reshape(-1, width)
-                yield pd.DataFrame({"key": part["key"].to_numpy(), "counts": list(counts.astype(np.int32))})
+                if pseudocount is None:
+                    out = counts.astype(np.int32)
+                else:
+                    out = counts + pseudocount
+                    out /= counts.sum(1, keepdims=True) + pseudocount * width
+                yield pd.DataFrame({"key": part["key"].to_numpy(), "out": list(out)})
             rest = b[b["seq"].isna()]
             if len(rest):
-                yield pd.DataFrame({"key": rest["key"].to_numpy(), "counts": [None] * len(rest)})
+                yield pd.DataFrame({"key": rest["key"].to_numpy(), "out": [None] * len(rest)})
 
-    out = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{seq}`").alias("seq")).mapInPandas(run, f"key {kind}, counts array<int>")
-    return out.withColumnRenamed("key", key)
+    rows = spread(df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{seq}`").alias("seq")))
+    name, cell = ("counts", "int") if pseudocount is None else ("profile", "double")
+    return rows.mapInPandas(run, f"key {kind}, out array<{cell}>").select(F.col("key").alias(key), F.col("out").alias(name))
+
+
+def kmer_counts(df: DataFrame, key: str, seq: str, k: int = 4, alphabet: str = PROFILE_ALPHABET) -> DataFrame:
+    """``key, counts``: per row the counts of its canonical k-mers, windows with other letters left out.
+
+    Upper and lower case are the same. A null sequence gives null; one shorter than k gives zeros.
+    """
+    return _per_row(df, key, seq, k, alphabet, None)
 
 
-def profile(counts: DataFrame, pseudocount: float = PSEUDOCOUNT) -> DataFrame:
-    """``counts`` turned into shares that sum to 1, as column ``profile``."""
-    total = F.aggregate("counts", F.lit(0.0), lambda a, x: a + x) + F.size("counts") * F.lit(pseudocount)
-    return counts.withColumn("profile", F.transform("counts", lambda x: (x + F.lit(pseudocount)) / total)).drop("counts")
+def kmer_profiles(df: DataFrame, key: str, seq: str, k: int = 4, pseudocount: float = PSEUDOCOUNT) -> DataFrame:
+    """``key, profile``: the counts with ``pseudocount`` added to each, as shares that sum to 1; null for null."""
+    return _per_row(df, key, seq, k, PROFILE_ALPHABET, pseudocount)
 
 
 def kmer_multi(df: DataFrame, key: str, seq: str, ks: tuple[int, ...] = MULTI_K) -> DataFrame:
@@ -107,7 +117,13 @@ def kmer_multi(df: DataFrame, key: str, seq: str, ks: tuple[int, ...] = MULTI_K)
                     width = int(index.max()) + 1
                     value, at = _windows(code, k)
                     keep = ~dirty[row[at]]
-                    place, n = np.unique(row[at][keep] * width + index[value[keep]], return_counts=True)
+                    cell = row[at][keep] * width + index[value[keep]]
+                    if len(part) * width < 4 * len(cell):
+                        full = np.bincount(cell, minlength=len(part) * width)
+                        place = np.flatnonzero(full)
+                        n = full[place]
+                    else:
+                        place, n = np.unique(cell, return_counts=True)
                     r, place = place // width, place % width
                     total = np.bincount(r, n, minlength=len(part))
                     bounds = np.searchsorted(r, np.arange(len(part) + 1))
@@ -121,7 +137,8 @@ def kmer_multi(df: DataFrame, key: str, seq: str, ks: tuple[int, ...] = MULTI_K)
                         }
                     )
 
-    out = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{seq}`").alias("seq")).mapInPandas(run, f"key {kind}, k int, places array<int>, freqs array<double>")
+    rows = spread(df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{seq}`").alias("seq")))
+    out = rows.mapInPandas(run, f"key {kind}, k int, places array<int>, freqs array<double>")
     return out.withColumnRenamed("key", key)
 
 
@@ -136,4 +153,4 @@ def kmer_spectrum(df: DataFrame, seq: str, k: int) -> DataFrame:
                 code, n = np.unique(value, return_counts=True)
                 yield pd.DataFrame({"code": code, "windows": n})
 
-    return df.select(F.col(f"`{seq}`").alias("seq")).mapInPandas(run, "code long, windows long").groupBy("code").agg(F.sum("windows").alias("windows"))
+    return spread(df.select(F.col(f"`{seq}`").alias("seq"))).mapInPandas(run, "code long, windows long").groupBy("code").agg(F.sum("windows").alias("windows"))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandbin.operators import coverage as c
-from strandbin.operators.kmers import kmer_counts, profile
+from strandbin.operators.kmers import kmer_profiles
 from strandbin.plans.views import SAMPLES, alignments, fragments, lengths, with_views
-from strandbin.runtime import table
+from strandbin.runtime import stage, table
 
 NAMES = [f"{s}_coverage{x}" for s in SAMPLES for x in ("", "_std")]
 
@@ -70,7 +70,7 @@ def coverage_log(spark: SparkSession, folder: str) -> DataFrame:
 
 def _zscore(spark: SparkSession, folder: str) -> DataFrame:
     wide = c.pivot_samples(_rpm(spark, folder), SAMPLES).where(c.any_coverage(NAMES))
-    return c.standardised(wide.withColumns({n: F.log1p(n) for n in NAMES}), NAMES)
+    return c.standardised(stage(wide.withColumns({n: F.log1p(n) for n in NAMES}), "wide"), NAMES)
 
 
 def coverage_zscore(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,7 +83,7 @@ def feature_matrix(spark: SparkSession, folder: str) -> DataFrame:
     seqs = dna.groupBy("contig").agg(F.max("sequence").alias("seq"))
     valid = frag_clamp(spark, folder).where("valid")
     pieces = valid.join(seqs, "contig").select("fragment", F.substring("seq", F.col("start") + 1, F.col("end") - F.col("start")).alias("piece"))
-    shares = profile(kmer_counts(pieces, "fragment", "piece"))
+    shares = kmer_profiles(pieces, "fragment", "piece")
     joined = shares.join(_zscore(spark, folder), "fragment")
     top = F.array_max("profile")
     return _rounded(joined.select("fragment", (F.array_position("profile", top) - 1).cast("int").alias("top_kmer"), top.alias("top_share"), *NAMES), ["top_share", *NAMES])

@@ -14,7 +14,7 @@ from strandbin.operators import embed as em
 from strandbin.operators import quality as q
 from strandbin.operators.classify import bacterial_filter
 from strandbin.operators.fragments import augment_fragments, positive_pairs
-from strandbin.operators.kmers import kmer_counts, profile
+from strandbin.operators.kmers import kmer_profiles
 from strandbin.params import Params
 from strandbin.runtime import stage
 from strandbin.sources.fasta import write_fasta
@@ -39,7 +39,7 @@ def features(contigs: DataFrame, alignments: DataFrame, samples: tuple[str, ...]
     name = F.concat_ws(".", "contig", F.when(F.col("kind") == "original", "original").otherwise(F.concat_ws(".", "half", F.col("ordinal").cast("string"))))
     frags = stage(frags.withColumn("fragment", name), "run-fragments")
     pieces = frags.join(contigs, "contig").select("fragment", F.substring("seq", F.col("start_pos") + 1, F.col("length")).alias("piece"))
-    shares = profile(kmer_counts(pieces, "fragment", "piece"))
+    shares = kmer_profiles(pieces, "fragment", "piece")
     columns = [f"{s}_coverage{x}" for s in samples for x in ("", "_std")]
     rpm = co.per_million(co.fragment_coverage(alignments, co.clamp_fragments(frags, sized), samples), co.reads_per_sample(alignments))
     wide = stage(co.pivot_samples(rpm, samples).where(co.any_coverage(columns)).withColumns({c: F.log1p(c) for c in columns}), "run-coverage")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandbin.functions import dna, rules
-from strandbin.operators.kmers import kmer_counts, kmer_multi, kmer_spectrum, profile
+from strandbin.operators.kmers import kmer_counts, kmer_multi, kmer_profiles, kmer_spectrum
 from strandbin.plans.views import contigs, raw_contigs, with_views
 from strandbin.runtime import shared_folder, table
 from strandbin.sources.fasta import read_fasta
@@ -109,7 +109,7 @@ def kmer4_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def kmer4_profile(spark: SparkSession, folder: str) -> DataFrame:
-    shares = profile(kmer_counts(raw_contigs(spark, folder), "contig", "seq").dropDuplicates(["contig"]))
+    shares = kmer_profiles(raw_contigs(spark, folder), "contig", "seq").dropDuplicates(["contig"])
     return shares.select("contig", F.posexplode("profile").alias("kmer_index", "share")).withColumn("share", F.round("share", 6))
 
 

@@ -11,7 +11,7 @@ from strandbin.operators import chimera, cluster, embed
 from strandbin.operators.coverage import clamp_fragments, depth_intervals, fragment_coverage
 from strandbin.operators.fragments import augment_fragments, positive_pairs
 from strandbin.operators.graph import merge_labels, spanning_forest
-from strandbin.operators.kmers import kmer_counts, kmer_multi, profile
+from strandbin.operators.kmers import kmer_counts, kmer_multi, kmer_profiles
 from strandbin.operators.quality import best_lines, duplicated_genes, merge_refined, scored_lines
 
 
@@ -47,7 +47,7 @@ def test_kmer_counts(spark):
 def test_profile_sums_to_one_and_ignores_strand(spark):
     s = "ACGTTGCAAGTCCAGNTTACG" * 4
     df = spark.createDataFrame([("a", s), ("b", _rc(s)), ("c", "")], "id string, seq string")
-    got = {r["id"]: r["profile"] for r in profile(kmer_counts(df, "id", "seq")).collect()}
+    got = {r["id"]: r["profile"] for r in kmer_profiles(df, "id", "seq").collect()}
     assert all(abs(sum(p) - 1) < 1e-9 for p in got.values())
     assert got["a"] == pytest.approx(got["b"])
     assert got["c"] == pytest.approx([1 / 136] * 136)
