@@ -56,7 +56,7 @@ def p3_recall(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "best_alignments").select("line_no", "contig", "gene_family", "score", "loaded_at")
-    latest = lines.groupBy("line_no").agg(F.max_by(F.struct("contig", "gene_family", "score"), "loaded_at").alias("r"))
+    latest = lines.groupBy("line_no").agg(F.max_by(F.struct("contig", "gene_family", "score"), F.coalesce("loaded_at", F.timestamp_seconds(F.lit(0)).cast(lines.schema["loaded_at"].dataType))).alias("r"))
     known = latest.select("line_no", "r.contig", F.upper(F.trim("r.gene_family")).alias("gene_family"), "r.score").where("gene_family is not null")
     return top_n_per_group(known, ["contig", "gene_family"], "score", "line_no", 3, unique=True).select("contig", "gene_family", "line_no")
 

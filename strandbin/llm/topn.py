@@ -27,18 +27,23 @@ def order_code(score: Column) -> Column:
     return F.when(bits < 0, bits.bitwiseXOR(F.lit(2**63 - 1))).otherwise(bits)
 
 
-def _midpoints(lo: Column, hi: Column, ways: int) -> Column:
-    """``ways - 1`` values in [lo, hi), so that lo is above none of them and hi above all."""
-    wide = "decimal(20,0)"
-    span = hi.cast(wide) - lo.cast(wide)
-    return F.array(*[(lo.cast(wide) + F.floor(span * F.lit(j).cast("decimal(5,0)") / F.lit(ways).cast("decimal(5,0)")).cast(wide)).cast("bigint") for j in range(1, ways)])
+def _above(code: Column, lo: Column, hi: Column, ways: int) -> Column:
+    """How many of ``ways - 1`` equally spaced midpoints of [lo, hi] the code is above: lo of none, hi of all.
+
+    Differences are exact up to 2^63 and doubles beyond, so the number never falls as the code grows.
+    """
+
+    def gap(x: Column, y: Column) -> Column:
+        return F.coalesce(F.try_subtract(x, y).cast("double"), x.cast("double") - y.cast("double"))
+
+    return F.floor(gap(code, lo) / gap(hi, lo) * (ways - 1)).cast("int")
 
 
 def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in names])
 
 
-def top_n_per_group(df: DataFrame, groups: list[str], score: str, ident: str, n: int, ways: int = 16, unique: bool = False) -> DataFrame:
+def top_n_per_group(df: DataFrame, groups: list[str], score: str, ident: str, n: int, ways: int = 64, unique: bool = False) -> DataFrame:
     """Per group the ``n`` rows of the highest score; of equal scores the smaller identifier comes first.
 
     Returns the columns ``groups``, ``ident`` and ``score`` (double). ``ident`` is an integer column.
@@ -71,9 +76,7 @@ def top_n_per_group(df: DataFrame, groups: list[str], score: str, ident: str, n:
         met = active.join(salted, _same(active, salted, g) & (active["salt"] == salted["salt"])).select(*[active[c] for c in g], active["salt"], "s", "t", "lo", "hi", "lo_t", "hi_t", "need", "salts")
         in_tie = F.col("lo") == F.col("hi")
         met = met.where(F.col("s").between(F.col("lo"), F.col("hi")) & (~in_tie | F.col("t").between(F.col("lo_t"), F.col("hi_t"))))
-        mids = F.when(in_tie, _midpoints(F.col("lo_t"), F.col("hi_t"), ways)).otherwise(_midpoints(F.col("lo"), F.col("hi"), ways))
-        code = F.when(in_tie, F.col("t")).otherwise(F.col("s"))
-        slot = F.size(F.filter(mids, lambda m: code > m))
+        slot = F.when(in_tie, _above(F.col("t"), F.col("lo_t"), F.col("hi_t"), ways)).otherwise(_above(F.col("s"), F.col("lo"), F.col("hi"), ways))
         counted = (
             met.withColumn("slot", slot)
             .groupBy(*g, "need", "salts", "slot")
