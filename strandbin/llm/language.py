@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandbin.runtime import spread
+
 #: Documents whose sentences, where label and first classifier agree, extend the labelled samples. A documented bound.
 TRAINING_DOCUMENTS = 1_000
 TRAINING_SENTENCES = 2_500
@@ -262,7 +264,7 @@ def label_parts(docs: DataFrame, model: Decoder, ident: str, text: str) -> DataF
                 }
             )
 
-    found = docs.select(F.col(f"`{ident}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInPandas(run, f"id {kind}, part_no int, lang string, words int, confidence double, ambiguous boolean")
+    found = spread(docs.select(F.col(f"`{ident}`").alias("id"), F.col(f"`{text}`").alias("text"))).mapInPandas(run, f"id {kind}, part_no int, lang string, words int, confidence double, ambiguous boolean")
     return found.withColumnRenamed("id", ident)
 
 

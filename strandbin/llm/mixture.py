@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandbin.runtime import stage
+from strandbin.runtime import spread, stage
 
 #: Slices of a leaf's seeded order; sums are formed per slice and only the slice in which a budget ends is sorted.
 SLICES = 4096
@@ -154,7 +154,7 @@ def token_counts(docs: DataFrame, text: str, tokenizer: str) -> DataFrame:
         for b in batches:
             yield pd.Series([len(e.ids) for e in t.encode_batch(b.fillna("").tolist(), add_special_tokens=False)], index=b.index)
 
-    return docs.withColumn("tokens", F.pandas_udf(run, "long")(F.col(f"`{text}`")))
+    return spread(docs).withColumn("tokens", F.pandas_udf(run, "long")(F.col(f"`{text}`")))
 
 
 def mixture_report(docs: DataFrame, targets: DataFrame, source: str, size: str, ident: str, split: str | None = None, seed: int = 0) -> DataFrame:
