@@ -20,13 +20,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandbin.runtime import stage
+from strandbin.runtime import spread, stage
 
-#: Words of a passage that must agree, of a window, and between the starts of windows: a run of RUN words lies in one window.
-RUN, WINDOW, STRIDE = 13, 16, 4
+#: Words of a passage that must agree; words between the starts of a document's windows; words of a window. Any run of RUN
+#: words contains a whole window of the document, and as items have a window at every word, one of the same words: their
+#: cosine is 1 whatever the weights are.
+RUN, STRIDE = 13, 4
+WINDOW = RUN - STRIDE + 1
 RANK, EXTRA = 64, 16
 #: Cosine in the latent space from which a window is a candidate.
 LEAST_COSINE = 0.7
+#: Cosines that a task holds at once.
+CELLS = 2_500_000
+#: Longer texts are handled in overlapping parts of so many words; windows start at the same places as in the whole.
+PART_WORDS = 20_000
 #: Items are compared in slices of so many, which bounds what is broadcast.
 ITEMS_AT_ONCE = 5_000
 #: Share of an item's words, in order, that a paraphrase has; number of rarest words that are its answer.
@@ -48,10 +55,6 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text)
 
 
-def window_starts(n: int) -> np.ndarray:
-    return np.arange(0, max(n - RUN + STRIDE, 1), STRIDE)
-
-
 @dataclass
 class Items:
     """The evaluation items of one slice, as word numbers."""
@@ -71,13 +74,16 @@ def read_items(rows: list) -> Items:
     return Items([r["item_id"] for r in rows], words, vocabulary)
 
 
-def _bounds(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every window in the joined words of texts of these sizes, and the text of each."""
+def _bounds(sizes: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every window in the joined words of texts of these sizes, and the text of each.
+
+    A text of up to WINDOW words is one window.
+    """
     sizes = np.asarray(sizes, dtype=np.int64)
     offset = np.cumsum(sizes) - sizes
-    count = np.where(sizes > 0, np.maximum(-(-(sizes - RUN + STRIDE) // STRIDE), 1), 0)
+    count = np.where(sizes > 0, np.maximum(sizes - WINDOW, 0) // stride + 1, 0)
     text = np.repeat(np.arange(len(sizes)), count)
-    start = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
+    start = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * stride
     end = np.minimum(start + WINDOW, sizes[text])
     return start + offset[text], end + offset[text], text
 
@@ -92,6 +98,17 @@ def _window_sums(words: np.ndarray, start: np.ndarray, end: np.ndarray, factors:
     return (upto[end] - upto[start]) / norm[:, None]
 
 
+def _known_share(words: np.ndarray, start: np.ndarray, end: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Length of each window's vector within the vocabulary, as a share of its whole length.
+
+    A cosine with an item's window cannot be larger. Words outside the vocabulary weigh as the mean word in it.
+    """
+    square = np.concatenate([[0.0], np.cumsum(np.where(words >= 0, idf[words] ** 2, 0.0))])
+    other = np.concatenate([[0], np.cumsum(words < 0)])
+    inside = square[end] - square[start]
+    return np.sqrt(inside / np.maximum(inside + (other[end] - other[start]) * idf.mean() ** 2, 1e-12))
+
+
 def _unpack(b: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
     """Slices of up to about 50 000 words: rows, joined words, sizes."""
     sizes = np.array([len(x) // 4 for x in b["words"]], dtype=np.int64)
@@ -231,8 +248,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, least_cosine: float = LEAST_CO
     ``RUN`` words in common (``run``: the longest), or if the document has the item's rarest words (``answered``) and at
     least ``PARAPHRASE`` of the item's words in the same order (``in_order``) near the best window; ``run`` is 0 then.
 
-    Null and empty texts have no words and are in no pair; repeated rows of a document give repeated pairs; other columns
-    are not read. Whole texts are read and every window is compared with every window of every item.
+    Null and empty texts have no words and are in no pair; a pair comes once, however often a document's rows are repeated
+    (they count as one text's parts); other columns are not read. Whole texts are read. Windows of which too much is outside the items' vocabulary for that cosine are left
+    out; every other is compared with every window of every item.
     """
     spark = docs.sparkSession
     listed = items.select("item_id", "text").where("text is not null and item_id is not null").orderBy("item_id")
@@ -250,18 +268,24 @@ def _find(docs: DataFrame, items: Items, least_cosine: float) -> DataFrame:
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = vocabulary.value
+        step = PART_WORDS - 4 * STRIDE
         for b in batches:
-            packed = [np.array([known.get(w, -1) for w in words_of(t)], dtype=np.int32).tobytes() for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "words": packed})
+            ids, packed = [], []
+            for d, t in zip(b["doc_id"], b["text"]):
+                words = np.array([known.get(w, -1) for w in words_of(t)], dtype=np.int32)
+                for at in range(0, max(len(words) - 4 * STRIDE, 1), step):
+                    ids.append(d)
+                    packed.append(words[at : at + PART_WORDS].tobytes())
+            yield pd.DataFrame({"doc_id": ids, "words": packed})
 
     schema = "doc_id long, item_id long, cosine double, run int, in_order double, answered boolean"
     if not items.vocabulary:
         return spark.createDataFrame([], schema)
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and doc_id is not null")
-    numbered = stage(numbered.mapInPandas(number, "doc_id long, words binary"), "leak-words")
+    numbered = stage(spread(numbered).mapInPandas(number, "doc_id long, words binary"), "leak-words")
     space = latent_space(numbered, items)
     joined, sizes = items.windows()
-    start, end, item_of = _bounds(sizes)
+    start, end, item_of = _bounds(sizes, 1)
     latent = _unit(_window_sums(joined, start, end, space.factors, space.idf))
     answers = [set(sorted(set(w.tolist()), key=lambda i: (-space.idf[i], i))[:ANSWER_WORDS]) for w in items.words]
     codes, code_item = passages(joined, np.repeat(np.arange(len(sizes)), sizes))
@@ -272,17 +296,19 @@ def _find(docs: DataFrame, items: Items, least_cosine: float) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         space, latent, item_of, ids, texts, answers, by_code = shared.value
-        all_codes = np.array(sorted(by_code), dtype=np.uint64)
+        all_codes, step = np.array(sorted(by_code), dtype=np.uint64), max(16, CELLS // len(latent))
         for b in batches:
             for part, words, sizes in _unpack(b):
                 start, end, doc = _bounds(sizes)
                 if not len(start):
                     continue
                 offset = np.cumsum(sizes) - sizes
+                keep = _known_share(words, start, end, space.idf) >= least_cosine
+                start, end, doc = start[keep], end[keep], doc[keep]
                 mine = _unit(_window_sums(words, start, end, space.factors, space.idf))
                 best: dict[tuple[int, int], tuple[float, int]] = {}
-                for s in range(0, len(start), 1024):
-                    cosine = mine[s : s + 1024] @ latent.T
+                for s in range(0, len(start), step):
+                    cosine = mine[s : s + step] @ latent.T
                     w, i = np.nonzero(cosine >= least_cosine)
                     for d, it, c, at in zip(doc[s + w].tolist(), item_of[i].tolist(), cosine[w, i].tolist(), (s + w).tolist()):
                         if c > best.get((d, it), (-1.0, 0))[0]:
@@ -307,4 +333,5 @@ def _find(docs: DataFrame, items: Items, least_cosine: float) -> DataFrame:
                 if found:
                     yield pd.DataFrame(found, columns=["doc_id", "item_id", "cosine", "run", "in_order", "answered"])
 
-    return numbered.mapInPandas(run, schema)
+    found = numbered.mapInPandas(run, schema)  # a pair comes once for each part of a document
+    return found.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("cosine", "run", "in_order", "answered")])

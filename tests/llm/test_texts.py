@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandbin.llm import language
 from strandbin.llm.language import fit, label_documents, label_parts, sentences_of
-from strandbin.llm.leaks import RUN, common_subsequence, find_leaks, longest_run, window_starts, words_of
+from strandbin.llm.leaks import RUN, _bounds, common_subsequence, find_leaks, longest_run, words_of
 from strandbin.llm.mixture import Node, allot, leaf_sizes, mixture_report, plan, select, shortfalls
 from tests.against_sql import FOLDER
 
@@ -18,15 +19,15 @@ def test_words():
     assert words_of(None) == words_of("") == words_of("<br> ... ") == []
 
 
-def test_windows_hold_every_run():
+def test_every_run_holds_a_window():
     for n in range(1, 60):
-        starts = window_starts(n)
-        assert all(any(s <= a and a + RUN <= s + 16 for s in starts) for a in range(n - RUN + 1))
+        start, end, text = _bounds(np.array([7, 0, n]))
+        own = [(a - 7, e - 7) for a, e, t in zip(start, end, text) if t == 2]
+        assert all(any(a <= s and e <= a + RUN for s, e in own) for a in range(n - RUN + 1))
+        assert all(0 <= s < e <= n for s, e in own) and own
 
 
 def test_runs_and_subsequences():
-    import numpy as np
-
     r = random.Random(1)
     for _ in range(60):
         a, b = [r.randrange(-1, 4) for _ in range(r.randrange(1, 15))], [r.randrange(4) for _ in range(r.randrange(1, 15))]
@@ -62,12 +63,21 @@ def test_leaks(spark):
     frame = spark.createDataFrame([(k, v, 1, b"") for k, v in docs.items()] + [(1, docs[1], 1, b"")], "doc_id long, text string, item_id int, words binary")
     items = spark.createDataFrame([(10, ITEM), (11, "An entirely different question about the weather in the hills of the north and who measured it there first"), (12, None), (13, "")], "item_id long, text string")
     got = find_leaks(frame, items).collect()
-    assert sorted(r["doc_id"] for r in got if r["run"] >= RUN) == [1, 1, 3, 8, 9]
+    assert sorted(r["doc_id"] for r in got if r["run"] >= RUN) == [1, 3, 8, 9]
     assert {r["item_id"] for r in got} == {10}
     assert [(r["doc_id"], r["answered"]) for r in got if r["run"] < RUN] == [(4, True)]
     assert find_leaks(frame.limit(0), items).count() == 0 and find_leaks(frame, items.limit(0)).count() == 0
 
 
+def test_leaks_in_long_texts_and_common_words(spark):
+    filler = "some other words that have nothing to do with any of this at all really".split()
+    # The leaked words are the corpus' most frequent, and runs lie across the edges of parts.
+    rows = [(n, " ".join((filler * 1400)[:n] + ITEM.split()[4:17] + filler)) for n in [*range(20, 40), *range(19_960, 20_010)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in find_leaks(docs, items).collect() if r["run"] >= RUN) == [n for n, _ in rows]
+
+
 def test_leaks_equal_brute_force(spark):
     docs, items = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/eval_items.parquet")
     runs = {}
