@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandbin.functions.rules import first_word
+from strandbin.runtime import stage
 
 
 def reads_per_sample(alignments: DataFrame) -> DataFrame:
@@ -84,6 +85,7 @@ def fragment_coverage(alignments: DataFrame, clamped: DataFrame, samples: tuple[
         F.sum(F.coalesce(F.col("step") * F.col("before"), F.lit(0))).over(upto).alias("area"),
         F.sum(F.coalesce(F.col("step") * F.col("before") * F.col("before"), F.lit(0))).over(upto).alias("square"),
     )
+    area = stage(area, "area")  # met twice
     at = lambda side: area.select("sample", "contig", F.col("pos").alias(side), F.col("area").alias(f"area_{side}"), F.col("square").alias(f"square_{side}"))
     met = asked.join(at("start"), ["sample", "contig", "start"], "left").join(at("end"), ["sample", "contig", "end"], "left")
     n = F.when(F.col("valid"), (F.col("end") - F.col("start")).cast("double"))

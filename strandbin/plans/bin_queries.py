@@ -21,7 +21,7 @@ def gene_family(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def safe_ratio(spark: SparkSession, folder: str) -> DataFrame:
-    cols = v.lines(spark, folder)
+    cols = v.lines(spark, folder, "target_start", "target_end", "target_length", "matches", "alignment_length")
     return cols.select("line_no", F.round(rules.ratio(F.col("target_end") - F.col("target_start"), F.col("target_length")), 6).alias("coverage"), F.round(rules.ratio(F.col("matches"), F.col("alignment_length")), 6).alias("identity"))
 
 
@@ -82,7 +82,7 @@ def score_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _best(spark: SparkSession, folder: str) -> DataFrame:
-    known = v.lines(spark, folder).where("gene_family is not null").withColumn("gene_family", F.upper(F.trim("gene_family")))
+    known = v.lines(spark, folder, "contig", "gene_family", "target_start", "target_end", "target_length", "matches", "alignment_length").where("gene_family is not null").withColumn("gene_family", F.upper(F.trim("gene_family")))
     return q.best_lines(q.scored_lines(known, LEAST_COVERAGE, LEAST_IDENTITY))
 
 

@@ -32,16 +32,16 @@ def fragments(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "fragments").where("contig is not null").select("fragment", "contig", "kind", "half", "ordinal", "start_pos", "length").distinct()
 
 
-def lines(spark: SparkSession, folder: str) -> DataFrame:
-    """The latest row of each alignment line."""
+def lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The latest row of each alignment line: ``line_no`` and the columns named, by default all."""
     rows = table(spark, folder, "best_alignments")
-    cols = [c for c in rows.columns if c not in ("line_no", "loaded_at")]
+    cols = columns or [c for c in rows.columns if c not in ("line_no", "loaded_at")]
     return rows.groupBy("line_no").agg(F.max_by(F.struct(*cols), "loaded_at").alias("r")).select("line_no", "r.*")
 
 
 def alignments(spark: SparkSession, folder: str) -> DataFrame:
     """Alignment lines as reads of three samples: ``sample, contig, start, end``."""
-    return lines(spark, folder).select(F.concat(F.lit("s"), (F.col("line_no") % 3 + 1).cast("string")).alias("sample"), "contig", F.col("target_start").alias("start"), F.col("target_end").alias("end"))
+    return lines(spark, folder, "contig", "target_start", "target_end").select(F.concat(F.lit("s"), (F.col("line_no") % 3 + 1).cast("string")).alias("sample"), "contig", F.col("target_start").alias("start"), F.col("target_end").alias("end"))
 
 
 def clean_name(name: F.Column) -> F.Column:

@@ -57,8 +57,11 @@ def unstage(df: DataFrame) -> None:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores, for steps that compute much per row.
 
-    A table that has enough is left as it is; only one that lies in fewer files than cores is dealt out.
+    A table that has enough is left as it is, and so is the result of a shuffle, whose partitions are only known when it has
+    run; only a scan of fewer splits than cores is dealt out.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
