@@ -91,22 +91,28 @@ class Tree:
         Two bounds, the larger counts: the ball of the leaf (``radius``: largest distance of its rows to its centre), and
         on the way down the planes between a node and its siblings, as all rows of a node are nearer to its centre.
         """
-        out = np.zeros((len(x), self.leaves))
+        dist = _squared(x, self.centre)
+        at_leaf = np.flatnonzero(self.leaf_no >= 0)
+        out = np.empty((len(x), self.leaves))
+        out[:, self.leaf_no[at_leaf]] = np.sqrt(dist[:, at_leaf]) - radius[self.leaf_no[at_leaf]]
+        np.maximum(out, 0.0, out=out)
         stack = [(0, np.zeros(len(x)))]
         while stack:
             node, bound = stack.pop()
             kids = self.children[node]
             if not kids:
                 leaf = self.leaf_no[node]
-                ball = np.sqrt(_squared(x, self.centre[[node]])[:, 0]) - radius[leaf]
-                out[:, leaf] = np.maximum(bound, ball)
+                np.maximum(out[:, leaf], bound, out=out[:, leaf])
                 continue
-            c = self.centre[kids]
-            d2, between = _squared(x, c), np.sqrt(_squared(c, c))
+            c, d2 = self.centre[kids], np.ascontiguousarray(dist[:, kids].T)
+            between = np.sqrt(_squared(c, c))
             for j, kid in enumerate(kids):
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    planes = np.where(between[j] > 1e-9, (d2[:, [j]] - d2) / (2 * between[j]), 0.0)
-                stack.append((kid, np.maximum(bound, planes.max(1))))
+                apart = between[j] > 1e-9
+                if not apart.any():
+                    stack.append((kid, bound))
+                    continue
+                planes = (d2[j] - d2[apart]) / (2 * between[j][apart])[:, None]
+                stack.append((kid, np.maximum(bound, planes.max(0))))
         return out
 
 
