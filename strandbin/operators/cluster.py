@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,14 +15,18 @@ from strandbin.functions.rules import euclidean, unit
 from strandbin.operators.graph import merge_labels
 from strandbin.operators.sums import matrix_sum
 from strandbin.operators.tree import block_join, blocks_of, grow, placed
-from strandbin.runtime import stage
+from strandbin.runtime import shuffle_partitions, stage, unstage
 
 NOISE = "noise"
 LEAF_ROWS = 512
 #: Leaves that a row visits to bound the distance of its k-th neighbour.
 FIRST_VISITS = 3
-#: Rows of a group that its first centres are chosen from, at most.
-SPLIT_SAMPLE = 512
+#: Farthest rows of a group that are in one task at once while its first centres are chosen; more take more rounds.
+FIRST_ROWS = 8_192
+#: Rows of a group that share a lane, about.
+LANE_ROWS = 8_192
+#: Distances that a task holds at once.
+CELLS = 2_500_000
 
 
 @F.pandas_udf(T.BinaryType())
@@ -166,61 +171,146 @@ def filter_small_groups(vectors: DataFrame, width: int, scores: DataFrame, small
     return now, seen
 
 
-def _nearest(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of a batch (``grp, v, cs``) and the number of each row's nearest centre, the first of equals."""
-    x, label = np.array(b["v"].tolist(), dtype=np.float64), np.zeros(len(b), dtype=np.int32)
-    group = b["grp"].astype("category").cat.codes.to_numpy()
-    for g in np.unique(group):
-        at = np.flatnonzero(group == g)
-        c = np.array([list(v) for v in b["cs"].iloc[at[0]]], dtype=np.float64)
-        d = (x[at] ** 2).sum(1)[:, None] + (c * c).sum(1)[None] - 2.0 * (x[at] @ c.T)
-        label[at] = np.round(d, 12).argmin(1)
-    return x, label
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, pd.DataFrame, np.ndarray]]:
+    """Of rows sorted by group, lane and role: the centres of each lane, their vectors, its rows and theirs."""
+
+    def split(held: list[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, pd.DataFrame, np.ndarray]]:
+        b = pd.concat(held, ignore_index=True)
+        centres, own = b[b["role"] == 0], b[b["role"] == 1]
+        if len(centres) and len(own):
+            yield centres, np.array(centres["v"].tolist(), dtype=np.float64), own, np.array(own["v"].tolist(), dtype=np.float64)
+
+    held: list[pd.DataFrame] = []
+    at = None
+    for b in batches:
+        if not len(b):
+            continue
+        grp, lane = b["grp"].to_numpy(dtype=object), b["lane"].to_numpy()
+        cuts = np.flatnonzero(np.r_[True, (grp[1:] != grp[:-1]) | (lane[1:] != lane[:-1])])
+        for s, e in zip(cuts, [*cuts[1:], len(b)]):
+            if held and (grp[s], lane[s]) != at:
+                yield from split(held)
+                held = []
+            at = (grp[s], lane[s])
+            held.append(b.iloc[s:e])
+    if held:
+        yield from split(held)
+
+
+def _meet(rows: DataFrame, centres: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """``work(centres, c, rows, x)`` for every lane of every group; a lane's rows and its group's centres are in one task.
+
+    ``rows`` has ``grp, lane, key, v, far``, ``centres`` has ``grp, no, v, lanes`` and goes to each of its group's lanes.
+    """
+    kinds, n = dict(rows.dtypes), shuffle_partitions(rows.sparkSession)
+    sent = centres.select("grp", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(0).alias("role"), "no", F.lit(None).cast(kinds["key"]).alias("key"), "v", F.lit(None).cast("double").alias("far"))
+    own = rows.select("grp", "lane", F.lit(1).alias("role"), F.lit(0).alias("no"), "key", "v", "far")
+    met = sent.unionByName(own).repartition(n, "grp", "lane").sortWithinPartitions("grp", "lane", "role", "no")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _chunks(batches):
+            yield work(*part)
+
+    return met.mapInPandas(run, schema)
+
 
+def _nearest(c: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The number of each row's nearest centre, the first of equals."""
+    label, step = np.zeros(len(x), dtype=np.int32), max(1, CELLS // len(c))
+    for s in range(0, len(x), step):
+        part = x[s : s + step]
+        d = (part**2).sum(1)[:, None] + (c * c).sum(1)[None] - 2.0 * (part @ c.T)
+        label[s : s + step] = np.round(d, 12).argmin(1)
+    return label
 
-def _first_centres(sample: pd.DataFrame) -> pd.DataFrame:
-    """Centres from a group's sampled rows: the smallest key's, then always the row farthest from those so far."""
-    sample = sample.sort_values("key", ignore_index=True)
-    x, k = np.array(sample["v"].tolist(), dtype=np.float64), int(sample["k"].iloc[0])
-    chosen, far = [0], ((x - x[0]) ** 2).sum(1)
-    while len(chosen) < min(k, len(x)):
-        chosen.append(int(np.round(far, 12).argmax()))
-        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
-    return pd.DataFrame({"grp": [sample["grp"].iloc[0]], "cs": [x[chosen].tolist()]})
+
+def _pick(far_rows: pd.DataFrame) -> pd.DataFrame:
+    """The next centres of a group, of its ``FIRST_ROWS`` rows farthest from those it has: always the farthest row.
+
+    If the group has more rows, those not here are at most as far as the nearest row here was at first, so that choosing
+    goes on only while the farthest row here is farther than that.
+    """
+    t = far_rows.sort_values("key", ignore_index=True)
+    x, far = np.array(t["v"].tolist(), dtype=np.float64), t["far"].to_numpy(dtype=np.float64).copy()
+    k, have, whole = int(t["k"].iloc[0]), int(t["have"].iloc[0]), int(t["n"].iloc[0]) <= len(t)
+    floor, chosen = -1.0 if whole else far.min(), []
+    while have + len(chosen) < k:
+        i = int(far.argmax())
+        if far[i] <= 0 or (chosen and far[i] <= floor):
+            break
+        chosen.append(i)
+        far = np.minimum(far, np.round(((x - x[i]) ** 2).sum(1), 12))
+    grp, v = pd.Series([t["grp"].iloc[0]] * len(chosen), dtype=object), pd.Series([x[i] for i in chosen], dtype=object)
+    return pd.DataFrame({"grp": grp, "no": np.arange(have, have + len(chosen), dtype=np.int32), "v": v, "done": whole or have + len(chosen) >= k})
+
+
+def _first_centres(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``grp, no, v, lanes``: of all rows of a group the smallest key's, then always the one farthest from those so far.
+
+    Exact for any k and any number of rows. A round updates all distances and chooses as many centres as its farthest rows
+    decide (see :func:`_pick`); groups of up to ``FIRST_ROWS`` rows take one. A group of fewer distinct vectors than k gets
+    one centre for each.
+    """
+    kind = dict(rows.dtypes)["grp"]
+
+    def update(centres: pd.DataFrame, c: np.ndarray, own: pd.DataFrame, x: np.ndarray) -> pd.DataFrame:
+        far = own["far"].to_numpy(dtype=np.float64).copy()
+        for one in c:
+            far = np.minimum(far, np.round(((x - one) ** 2).sum(1), 12))
+        return own[["grp", "lane", "key", "v"]].assign(far=far)
+
+    now, going = rows, groups.withColumn("have", F.lit(1))
+    found = stage(rows.groupBy("grp").agg(F.min_by("v", "key").alias("v")).select("grp", F.lit(0).alias("no"), "v").join(groups.select("grp", "lanes"), "grp"), "split-first")
+    chosen = [found]
+    schema = ", ".join(f"{c} {t}" for c, t in rows.select("grp", "lane", "key", "v", "far").dtypes)
+    farthest = Window.partitionBy("grp").orderBy(F.col("far").desc(), "key")  # cut to FIRST_ROWS before the shuffle as well
+    while going.limit(1).count():
+        then = stage(_meet(now.join(going.select("grp"), "grp", "left_semi"), found, update, schema), "split-far")
+        if now is not rows:
+            unstage(now)
+        now = then
+        top = now.withColumn("place", F.row_number().over(farthest)).where(F.col("place") <= FIRST_ROWS).select("grp", "key", "v", "far")
+        picked = stage(top.join(going, "grp").groupBy("grp").applyInPandas(_pick, f"grp {kind}, no int, v array<double>, done boolean"), "split-picked")
+        found = picked.select("grp", "no", "v").join(groups.select("grp", "lanes"), "grp")
+        chosen.append(found)
+        left = picked.groupBy("grp").agg((F.max("no") + 1).alias("have"), F.max("done").alias("done")).where("not done").drop("done")
+        going = stage(groups.join(left, "grp"), "split-going")
+    return reduce(DataFrame.unionByName, chosen)
 
 
 def split_groups(rows: DataFrame, k: DataFrame, rounds: int = 5) -> DataFrame:
     """``grp, key, label``: k-means of every group at once, on vectors of length 1.
 
-    ``rows`` has ``grp, key, v``, ``k`` has ``grp, k``. First centres come from ``SPLIT_SAMPLE`` rows of each group by hash
-    order; the means of the ``rounds`` are over all rows, summed per batch first. Centres are one row per group.
+    ``rows`` has ``grp, key, v``, ``k`` has ``grp, k``. First centres are chosen farthest first among all rows of a group; the
+    means of the ``rounds`` are over all rows, summed per lane first. A group's rows are spread over lanes of about
+    ``LANE_ROWS``; each lane's task holds the group's centres, one row each.
     """
+    kinds = dict(rows.dtypes)
+    kind = kinds["grp"]
     unit_rows = rows.join(k.select("grp", "k"), "grp").select("grp", "key", "k", unit(F.col("v")).alias("v")).where("v is not null")
     unit_rows = stage(unit_rows, "split-rows")
-    by_hash = Window.partitionBy("grp").orderBy(F.xxhash64("key"), "key")  # cut to the sample before the shuffle as well
-    sample = unit_rows.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= SPLIT_SAMPLE).drop("n")
-    kind = dict(rows.dtypes)["grp"]
-    centres = stage(sample.groupBy("grp").applyInPandas(_first_centres, f"grp {kind}, cs array<array<double>>"), "split-centres")
+    groups = stage(unit_rows.groupBy("grp").agg(F.max("k").alias("k"), F.count(F.lit(1)).alias("n")).withColumn("lanes", F.ceil(F.col("n") / LANE_ROWS).cast("int")), "split-groups")
+    laned = unit_rows.join(groups.select("grp", "lanes"), "grp").select("grp", F.pmod(F.xxhash64("key"), F.col("lanes")).cast("int").alias("lane"), "key", "v", F.lit(float("inf")).alias("far"))
+    centres = _first_centres(laned, groups)
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                x, label = _nearest(b)
-                for (g, j), at in pd.Series(np.arange(len(b))).groupby([b["grp"].to_numpy(), label]):
-                    yield pd.DataFrame({"grp": [g], "label": [j], "n": [len(at)], "total": [x[at.to_numpy()].sum(0)]})
+    def sums(centres: pd.DataFrame, c: np.ndarray, own: pd.DataFrame, x: np.ndarray) -> pd.DataFrame:
+        label = _nearest(c, x)
+        order = np.argsort(label, kind="stable")
+        edge = np.flatnonzero(np.r_[True, np.diff(label[order]) != 0])
+        total = np.add.reduceat(x[order], edge, axis=0)
+        return pd.DataFrame({"grp": own["grp"].iloc[0], "label": label[order[edge]], "n": np.diff(np.r_[edge, len(order)]), "total": list(total)})
 
     def mean(part: pd.DataFrame) -> pd.DataFrame:
         found = part.groupby("label").agg({"n": "sum", "total": "sum"}).sort_index()
-        return pd.DataFrame({"grp": [part["grp"].iloc[0]], "cs": [[(t / n).tolist() for n, t in zip(found["n"], found["total"])]]})
+        return pd.DataFrame({"grp": part["grp"].iloc[0], "no": found.index.to_numpy(dtype=np.int32), "v": [(t / n).tolist() for n, t in zip(found["n"], found["total"])]})
 
     for _ in range(rounds):
-        partial = unit_rows.join(centres, "grp").select("grp", "v", "cs").mapInPandas(sums, f"grp {kind}, label int, n long, total array<double>")
-        # A group has a partial sum per centre and batch that it is in.
-        centres = stage(partial.groupBy("grp").applyInPandas(mean, f"grp {kind}, cs array<array<double>>"), "split-centres")
+        partial = _meet(laned, centres, sums, f"grp {kind}, label int, n long, total array<double>")
+        # A task has a sum per lane of 64 centres of one group.
+        means = partial.withColumn("piece", F.floor(F.col("label") / 64)).groupBy("grp", "piece").applyInPandas(mean, f"grp {kind}, no int, v array<double>")
+        centres = stage(means.join(groups.select("grp", "lanes"), "grp"), "split-centres")
 
-    def labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                yield pd.DataFrame({"grp": b["grp"], "key": b["key"], "label": _nearest(b)[1]})
+    def labels(centres: pd.DataFrame, c: np.ndarray, own: pd.DataFrame, x: np.ndarray) -> pd.DataFrame:
+        return own[["grp", "key"]].assign(label=_nearest(c, x))
 
-    return unit_rows.join(centres, "grp").select("grp", "key", "v", "cs").mapInPandas(labels, f"grp {kind}, key {dict(rows.dtypes)['key']}, label int")
+    return _meet(laned, centres, labels, f"grp {kind}, key {kinds['key']}, label int")

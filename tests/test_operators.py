@@ -175,6 +175,30 @@ def test_split_groups(spark):
     assert all(labels[f"k{i:02}"] == labels[f"k{i % 3:02}"] for i in range(30))
 
 
+def test_split_groups_into_many(spark):
+    angle = np.repeat(np.arange(600) * 2 * np.pi / 600, 2) + np.tile([0, 1e-5], 600)
+    rows = [("b", f"k{i:04}", [math.cos(t), math.sin(t)]) for i, t in enumerate(angle)]
+    k = spark.createDataFrame([("b", 600)], "grp string, k int")
+    labels = {r["key"]: r["label"] for r in cluster.split_groups(spark.createDataFrame(rows, "grp string, key string, v array<double>"), k).collect()}
+    assert len(set(labels.values())) == 600
+    assert all(labels[f"k{i:04}"] == labels[f"k{i + 1:04}"] for i in range(0, 1200, 2))
+
+
+def test_first_centres_are_farthest_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "FIRST_ROWS", 20)
+    monkeypatch.setattr(cluster, "LANE_ROWS", 50)
+    x = np.random.default_rng(6).normal(size=(300, 4))
+    x[100:140] = x[0]
+    rows = spark.createDataFrame([("b", i % 6, f"k{i:03}", v.tolist(), float("inf")) for i, v in enumerate(x)], "grp string, lane int, key string, v array<double>, far double")
+    groups = spark.createDataFrame([("b", 60, 300, 6)], "grp string, k int, n long, lanes int")
+    got = [r["v"] for r in cluster._first_centres(rows, groups).orderBy("no").collect()]
+    want, far = [0], ((x - x[0]) ** 2).sum(1)
+    while len(want) < 60:
+        want.append(int(np.round(far, 12).argmax()))
+        far = np.minimum(far, ((x - x[want[-1]]) ** 2).sum(1))
+    assert got == x[want].tolist()
+
+
 def test_correlation_and_encoder(spark):
     rng = np.random.default_rng(7)
     common = rng.normal(size=(300, 2)) @ rng.normal(size=(2, 5))
