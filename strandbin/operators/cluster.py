@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandbin.functions.rules import euclidean, unit
-from strandbin.operators.graph import merge_labels
+from strandbin.operators.graph import follow, merge_labels
 from strandbin.operators.sums import matrix_sum
-from strandbin.operators.tree import block_join, blocks_of, grow, placed
+from strandbin.operators.tree import Tree, block_join, blocks_of, grow, matrix, placed
 from strandbin.runtime import shuffle_partitions, stage, unstage
 
 NOISE = "noise"
@@ -111,6 +111,149 @@ def density_cut(edges: DataFrame, keys: DataFrame, epsilon: float, least: int) -
     return keys.select("key").join(named, "key", "left").select("key", F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))
 
 
+def _within_once(reach: float, radius: np.ndarray) -> Callable:
+    """Leaves that may hold rows within ``reach``; of two leaves only the rows of one visit the other, by parity."""
+
+    def once(tree: Tree, x: np.ndarray, part: pd.DataFrame) -> np.ndarray:
+        leaf, own = np.arange(tree.leaves)[None], part["own"].to_numpy()[:, None]
+        return (tree.lower_bounds(x, radius) <= reach + 1e-6) & ((own == leaf) | ((own < leaf) == ((own + leaf) % 2 == 0)))
+
+    return once
+
+
+def _one_of_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows ``key, vec, ..`` the smallest key's of each vector, and ``rep, key`` for all rows."""
+    reps = stage(rows.join(rows.groupBy("vec").agg(F.min("key").alias("rep")), "vec"), "copies")
+    return reps.where("key = rep").drop("rep"), reps.select("rep", "key")
+
+
+def close_links(vectors: DataFrame, near: DataFrame, width: int, core_k: int, epsilon: float) -> DataFrame:
+    """``a, b, w``: links of weight 0 that join what the whole mutual reachability graph, cut at ``epsilon``, joins.
+
+    ``near`` is the result of :func:`neighbours` of ``vectors``. Its edges join most rows; an exact join of the rows whose
+    core distance is at most ``epsilon`` (copies are one row) then finds which of the labels so far have a pair within it.
+    """
+    core = core_distances(near, core_k).where(F.col("core") <= epsilon)
+    dense = vectors.where("key is not null and v is not null").select("key", packed("v").alias("vec")).join(core.select("key"), "key")
+    reps, copies = _one_of_copies(dense)
+    links = mutual_reachability(near, core).where(F.col("w") <= epsilon).select("a", "b")
+    links = links.unionByName(copies.where("rep <> key").select(F.col("rep").alias("a"), F.col("key").alias("b")))
+    roots = merge_labels(links).select(F.col("label").alias("key"), "root")
+    known = roots.select(F.col("root").alias("a"), F.col("key").alias("b"))
+    rows = stage(reps.join(roots, "key", "left").select("key", "vec", F.coalesce("root", "key").alias("label")).withColumn("label_no", F.xxhash64("label")), "cut-rows")
+    tree = grow(rows, width, rows.count(), LEAF_ROWS)
+    members = stage(placed(rows, tree, width).withColumn("own", F.col("leaf")), "cut-members")
+    blocks = blocks_of(members, tree.leaves)
+
+    def work(held: dict, asked: dict, pairs: list) -> pd.DataFrame:
+        found: set[tuple[str, str]] = set()
+        for _, own, who in pairs:
+            y = held["x"][own]
+            for s in range(0, len(who), 512):
+                w = who[s : s + 512]
+                other = asked["label_no"][w][:, None] != held["label_no"][own][None]
+                if not other.any():
+                    continue
+                x = asked["x"][w]
+                d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2.0 * (x @ y.T)
+                q, m = np.nonzero(other & (d <= epsilon * epsilon + 1e-9))
+                yes = np.sqrt(((x[q] - y[m]) ** 2).sum(1)) <= epsilon
+                one, two = asked["label"][w[q[yes]]], held["label"][own[m[yes]]]
+                found.update(zip(np.minimum(one, two), np.maximum(one, two)))
+        return pd.DataFrame(sorted(found), columns=["a", "b"])
+
+    slim = members.drop("reach")
+    met = block_join(slim, slim, tree, blocks, width, _within_once(epsilon, blocks.radius), work, "a string, b string")
+    return known.unionByName(met.distinct()).where("a <> b").withColumn("w", F.lit(0.0))
+
+
+def _lightest(held: dict, asked: dict, pairs: list) -> pd.DataFrame:
+    """The lightest edges of each asked row to rows of other trees, all of equal weight."""
+    n = len(asked["x"])
+    best, found = np.full(n, np.inf), []
+    for _, own, who in pairs:
+        y = held["x"][own]
+        for s in range(0, len(who), 512):
+            w = who[s : s + 512]
+            x = asked["x"][w]
+            d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2.0 * (x @ y.T), 0.0))
+            d = np.maximum(d, np.maximum(asked["core"][w][:, None], held["core"][own][None]))
+            d[asked["tree_no"][w][:, None] == held["tree_no"][own][None]] = np.inf
+            least = np.minimum(d.min(1), np.minimum(best[w], asked["bound"][w]))
+            q, m = np.nonzero((d <= least[:, None] + 1e-7) & (d < np.inf))
+            q, m = w[q], own[m]
+            exact = np.maximum(np.sqrt(((asked["x"][q] - held["x"][m]) ** 2).sum(1)), np.maximum(asked["core"][q], held["core"][m]))
+            np.minimum.at(best, q, exact)
+            found.append((q, m, exact))
+    q, m, w = (np.concatenate(c) if found else np.zeros(0, dtype=np.int64) for c in (list(zip(*found)) or ((), (), ())))
+    good = w <= best[q]
+    q, m, w = q[good], m[good], w[good].astype(np.float64)
+    return pd.DataFrame({"la": asked["tree"][q], "lb": held["tree"][m], "x": asked["key"][q], "y": held["key"][m], "w": w})
+
+
+def spanning_tree(vectors: DataFrame, near: DataFrame, width: int, k: int, core_k: int) -> DataFrame:
+    """``a, b, w``: a minimum spanning tree of the whole mutual reachability graph of ``vectors`` (``key, v``).
+
+    ``near`` is the result of :func:`neighbours` for ``k``. Rounds as in ``spanning_forest``: each tree but the largest takes
+    its lightest edge to another. Edges of ``near`` give a bound; rows whose other edges could be as light look through all
+    leaves that the bounds cannot exclude. Copies of a vector hang on the smallest key's, at their core distance.
+    """
+    core = core_distances(near, core_k)
+    last = near.groupBy("key").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(float("inf")).alias("last"))
+    rows = vectors.where("key is not null and v is not null").select("key", packed("v").alias("vec")).join(core, "key").join(last, "key")
+    reps, copies = _one_of_copies(rows)
+    tied = copies.where("rep <> key").join(core, "key").select(F.col("rep").alias("a"), F.col("key").alias("b"), F.col("core").alias("w"))
+    to = [copies.select(F.col("key").alias(c), F.col("rep").alias(f"l{c}")) for c in "ab"]
+    mapped = mutual_reachability(near, core).join(to[0], "a").join(to[1], "b").where("la <> lb")
+    edges = stage(mapped.groupBy(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).agg(F.min("w").alias("w")).select("a", "b", "w", F.col("a").alias("la"), F.col("b").alias("lb")), "tree-edges")
+    n = reps.count()
+    tree = grow(reps, width, n, LEAF_ROWS)
+    members = stage(placed(reps, tree, width).drop("last").join(reps.select("key", "last"), "key"), "tree-members")
+    blocks = blocks_of(members, tree.leaves)
+    trees = stage(members.select("key", F.col("key").alias("tree")), "trees")
+    chosen = [tied]
+
+    def visited(t: Tree, x: np.ndarray, part: pd.DataFrame) -> np.ndarray:
+        return t.lower_bounds(x, blocks.radius) <= (part["bound"].to_numpy() + 1e-6)[:, None]
+
+    while True:
+        sizes = trees.groupBy("tree").agg(F.count(F.lit(1)).alias("n"))
+        top = sizes.orderBy(F.col("n").desc(), "tree").limit(2).collect()
+        if len(top) < 2:
+            return reduce(DataFrame.unionByName, chosen)
+        largest = F.lit(top[0]["tree"])
+        both = edges.select("la", "lb", "a", "b", "w").unionByName(edges.select(F.col("lb").alias("la"), F.col("la").alias("lb"), "a", "b", "w")).where(F.col("la") != largest)
+        placed_now = members.join(trees, "key")
+        # Any one row of the largest tree bounds what a tree without known edges has to look for.
+        one = placed_now.where(F.col("tree") == largest).orderBy("key").select("vec", "core").first()
+        point, point_core = np.frombuffer(one["vec"], dtype=np.float64), float(one["core"])
+
+        @F.pandas_udf(T.DoubleType())
+        def to_one(vec: pd.Series, own: pd.Series) -> pd.Series:
+            d = np.sqrt(((matrix(vec, width) - point) ** 2).sum(1))  # noqa: B023
+            return pd.Series(np.maximum(np.maximum(d, own.to_numpy()), point_core))  # noqa: B023
+
+        least = both.groupBy("la").agg(F.min("w").alias("known"))
+        lost = placed_now.where(F.col("tree") != largest).join(least, F.col("tree") == F.col("la"), "left_anti")
+        lost = lost.withColumn("w", to_one("vec", "core")).groupBy(F.col("tree").alias("la")).agg(F.min("w").alias("known"))
+        bounds = least.unionByName(lost).select(F.col("la").alias("tree"), F.col("known").alias("bound"))
+        held = stage(placed_now.join(bounds, "tree", "left").withColumn("tree_no", F.xxhash64("tree")).drop("reach"), "tree-held")
+        asked = held.where("bound is not null and last - 1e-6 <= bound")
+        slim = held.drop("last").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
+        met = block_join(slim, asked.drop("last"), tree, blocks, width, visited, _lightest, "la string, lb string, x string, y string, w double")
+        met = met.select("la", "lb", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "w")
+        best = stage(both.unionByName(met).groupBy("la").agg(F.min(F.struct("w", "a", "b", "lb")).alias("e")).select("la", "e.*"), "tree-best")
+        chosen.append(best.select("a", "b", "w").distinct())
+        back = best.select(F.col("la").alias("lb"), F.col("lb").alias("back"))
+        mutual = (F.col("back") == F.col("la")) & (F.col("la") < F.col("lb"))
+        hooks = best.join(back, "lb", "left").select(F.col("la").alias("key"), F.when(mutual, F.col("la")).otherwise(F.col("lb")).alias("to"))
+        labels = follow(hooks.unionByName(trees.limit(1).select(largest.alias("key"), largest.alias("to"))))
+        trees = stage(trees.join(labels.withColumnRenamed("key", "tree"), "tree").select("key", F.col("label").alias("tree")), "trees")
+        left = edges.join(labels.select(F.col("key").alias("la"), F.col("label").alias("na")), "la").join(labels.select(F.col("key").alias("lb"), F.col("label").alias("nb")), "lb")
+        edges = stage(left.where("na <> nb").select("a", "b", "w", F.col("na").alias("la"), F.col("nb").alias("lb")), "tree-edges")
+        unstage(held)
+
+
 def two_means(vectors: DataFrame, width: int, rounds: int = 10) -> DataFrame:
     """``key, v, label`` (0 or 1) of ``key, v``: two-means from the smallest key's row and the row farthest from it.
 

@@ -73,8 +73,8 @@ def run(contigs: DataFrame, alignments: DataFrame, samples: tuple[str, ...], lin
     if scores is not None and not p.skip_kmeans_filtering:
         embedded, _ = cl.filter_small_groups(embedded, p.embedding_dim, scores.select(F.col("contig").alias("key"), F.col("eukaryotic").alias("score")))
     near = stage(cl.neighbours(embedded, p.embedding_dim, max(5, p.core_neighbour)), "run-near")
-    edges = cl.mutual_reachability(near, cl.core_distances(near, p.core_neighbour))
-    bins = cl.density_cut(edges, embedded, p.cluster_selection_epsilon, p.min_cluster_size)
+    links = cl.close_links(embedded, near, p.embedding_dim, p.core_neighbour, p.cluster_selection_epsilon)
+    bins = cl.density_cut(links, embedded, p.cluster_selection_epsilon, p.min_cluster_size)
     bins = stage(bins.select(F.col("key").alias("contig"), "cluster"), "run-bins")
     quality, dup = _quality(bins, lines, 0.5, 0.5)
     for number in range(0 if p.skip_refinement else p.max_refinement_rounds):

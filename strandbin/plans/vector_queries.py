@@ -11,12 +11,11 @@ from strandbin.operators import cluster as cl
 from strandbin.operators import embed as em
 from strandbin.operators.fragments import augment_fragments as augment
 from strandbin.operators.fragments import positive_pairs
-from strandbin.operators.graph import spanning_forest
 from strandbin.operators.sums import mean_vectors
 from strandbin.plans import views as v
 from strandbin.plans.bin_queries import refine_eligibility
 from strandbin.plans.views import with_views
-from strandbin.runtime import table
+from strandbin.runtime import stage, table
 
 WIDTH, KMERS, K, NEAR, EPSILON, LEAST = 48, 136, 2, 5, 0.4, 2
 
@@ -61,12 +60,15 @@ def mutual_reach(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mst_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return spanning_forest(_edges(spark, folder)).withColumn("w", F.round("w", 6))
+    """A minimum spanning tree of the whole mutual reachability graph."""
+    near = stage(_near(spark, folder), "mst-near")
+    return cl.spanning_tree(_unit_vectors(spark, folder), near, WIDTH, NEAR, K).withColumn("w", F.round("w", 6))
 
 
 def hdbscan_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """Clusters of the mutual reachability graph of nearest neighbours, cut at one distance."""
-    return cl.density_cut(_edges(spark, folder), _unit_vectors(spark, folder), EPSILON, LEAST).withColumnRenamed("key", "contig")
+    """Clusters of the whole mutual reachability graph, cut at one distance."""
+    near, rows = stage(_near(spark, folder), "cut-near"), _unit_vectors(spark, folder)
+    return cl.density_cut(cl.close_links(rows, near, WIDTH, K, EPSILON), rows, EPSILON, LEAST).withColumnRenamed("key", "contig")
 
 
 def kmeans2_assign(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,6 +13,7 @@ from strandbin.operators.fragments import augment_fragments, positive_pairs
 from strandbin.operators.graph import merge_labels, spanning_forest
 from strandbin.operators.kmers import kmer_counts, kmer_multi, kmer_profiles
 from strandbin.operators.quality import best_lines, duplicated_genes, merge_refined, scored_lines
+from strandbin.runtime import stage
 
 
 def _rc(s):
@@ -166,6 +167,34 @@ def test_two_means(spark):
     assert cluster.two_means(df.limit(0), 4).count() == 0
 
 
+def test_cut_and_spanning_tree_join_groups_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "LEAF_ROWS", 20)
+    x = np.random.default_rng(9).normal(size=(150, 4))
+    x[:20], x[20:40], x[40:60] = [1, 0, 0, 0], [0.9, 0, 0, 0], [9, 0, 0, 0]
+    df = spark.createDataFrame([(f"k{i:03}", v.tolist()) for i, v in enumerate(x)] + [("none", None)], "key string, v array<double>")
+    near = stage(cluster.neighbours(df, 4, 5), "test-near")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    core = np.sort(d, axis=1)[:, 2]
+    w = np.maximum(d, np.maximum(core[:, None], core[None]))
+    label = np.arange(150)
+    for _ in range(150):
+        label = np.where(w <= 0.4, label[None], 150).min(1, initial=150, where=~np.eye(150, dtype=bool)).clip(max=label)
+    alone = np.bincount(label, minlength=150)[label] < 2
+    cut = cluster.density_cut(cluster.close_links(df, near, 4, 2, 0.4), df, 0.4, 2)
+    got = {r["key"]: r["cluster"] for r in cut.collect()}
+    assert [got[f"k{i:03}"] for i in range(150)] == ["noise" if alone[i] else f"k{label[i]:03}" for i in range(150)]
+    assert got["k000"] == got["k039"] != got["k040"]
+    tree = cluster.spanning_tree(df, near, 4, 5, 2).collect()
+    inside, cost, total = np.zeros(150, dtype=bool), w[0].copy(), 0.0
+    inside[0] = True
+    for _ in range(149):
+        i = np.where(inside, np.inf, cost).argmin()
+        total, inside[i], cost = total + cost[i], True, np.minimum(cost, w[i])
+    assert len(tree) == 149 and sum(r["w"] for r in tree) == pytest.approx(total)
+    parts = merge_labels(spark.createDataFrame([(r["a"], r["b"]) for r in tree], "a string, b string")).select("root").distinct().count()
+    assert parts == 1
+
+
 def test_split_groups(spark):
     x = np.random.default_rng(4).normal(scale=0.01, size=(30, 3)) + np.eye(3)[np.arange(30) % 3]
     rows = [("b", f"k{i:02}", v.tolist()) for i, v in enumerate(x)] + [("c", "z", [1.0, 0.0, 0.0])]
