@@ -246,7 +246,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, least_cosine: float = LEAST_CO
     ``docs`` has ``doc_id, text``, ``items`` has ``item_id, text``. Candidates are pairs with windows whose latent vectors
     have a cosine of at least ``least_cosine`` (``cosine`` is the best). They come out if they have a passage of at least
     ``RUN`` words in common (``run``: the longest), or if the document has the item's rarest words (``answered``) and at
-    least ``PARAPHRASE`` of the item's words in the same order (``in_order``) near the best window; ``run`` is 0 then.
+    least ``PARAPHRASE`` of the item's words in the same order (``in_order``), both near one and the same candidate window;
+    ``run`` is 0 then. All candidate windows of a pair are checked.
 
     Null and empty texts have no words and are in no pair; a pair comes once, however often a document's rows are repeated
     (they count as one text's parts); other columns are not read. Whole texts are read. Windows of which too much is outside the items' vocabulary for that cosine are left
@@ -306,27 +307,37 @@ def _find(docs: DataFrame, items: Items, least_cosine: float) -> DataFrame:
                 keep = _known_share(words, start, end, space.idf) >= least_cosine
                 start, end, doc = start[keep], end[keep], doc[keep]
                 mine = _unit(_window_sums(words, start, end, space.factors, space.idf))
-                best: dict[tuple[int, int], tuple[float, int]] = {}
+                best: dict[tuple[int, int], tuple[float, list[int]]] = {}  # the best cosine, and all candidate windows
                 for s in range(0, len(start), step):
                     cosine = mine[s : s + step] @ latent.T
                     w, i = np.nonzero(cosine >= least_cosine)
                     for d, it, c, at in zip(doc[s + w].tolist(), item_of[i].tolist(), cosine[w, i].tolist(), (s + w).tolist()):
-                        if c > best.get((d, it), (-1.0, 0))[0]:
-                            best[d, it] = (c, at)
+                        top, places = best.get((d, it), (-1.0, []))
+                        if not places or places[-1] != at:
+                            places.append(at)
+                        best[d, it] = (max(top, c), places)
                 # The exact check of the candidates.
                 code, owner = passages(words, np.repeat(np.arange(len(sizes)), sizes))
                 shown = np.isin(code, all_codes)
                 alike: dict[int, set[int]] = {}
                 for c, d in zip(code[shown].tolist(), owner[shown].tolist()):
                     alike.setdefault(d, set()).update(by_code[c])
-                found = []
-                for (d, it), (c, at) in best.items():
+                found, own = [], {}
+                for (d, it), (c, places) in best.items():
                     text, verbatim = texts[it], it in alike.get(d, ())
-                    near = words[max(offset[d], start[at] - len(text)) : min(offset[d] + sizes[d], end[at] + len(text))]
-                    answered = answers[it] <= set(near.tolist())
+                    if d not in own:
+                        own[d] = set(words[offset[d] : offset[d] + sizes[d]].tolist())
+                    possible = answers[it] <= own[d]
+                    if not verbatim and not possible:
+                        continue
+                    answered, in_order = False, 0.0
+                    for at in places:
+                        near = words[max(offset[d], start[at] - len(text)) : min(offset[d] + sizes[d], end[at] + len(text))]
+                        here = possible and answers[it] <= set(near.tolist())
+                        if here or (verbatim and not answered):
+                            answered, in_order = max((answered, in_order), (here, common_subsequence(near, text) / len(text)))
                     if not verbatim and not answered:
                         continue
-                    in_order = common_subsequence(near, text) / len(text)
                     run_length = longest_run(text, words[offset[d] : offset[d] + sizes[d]]) if verbatim else 0
                     if run_length >= RUN or (answered and in_order >= PARAPHRASE):
                         found.append((part["doc_id"].iloc[d], ids[it], c, run_length, in_order, answered))

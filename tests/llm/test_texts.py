@@ -69,6 +69,16 @@ def test_leaks(spark):
     assert find_leaks(frame.limit(0), items).count() == 0 and find_leaks(frame, items.limit(0)).count() == 0
 
 
+def test_paraphrase_beside_a_more_similar_passage(spark):
+    w = ITEM.split()
+    filler = "some other words that have nothing to do with any of this at all really".split()
+    told = w[:6] + ["very"] + w[6:11] + ["indeed"] + w[11:20] + ["so"] + w[20:]
+    docs = {1: w[3:15] + filler * 5 + told + filler, 2: told + filler * 5 + w[3:15], 3: w[3:15] + filler * 5 + w[15:], 4: told}
+    items = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
+    got = find_leaks(spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string"), items).collect()
+    assert sorted((r["doc_id"], r["run"], r["answered"]) for r in got) == [(1, 0, True), (2, 0, True), (4, 0, True)]
+
+
 def test_leaks_in_long_texts_and_common_words(spark):
     filler = "some other words that have nothing to do with any of this at all really".split()
     # The leaked words are the corpus' most frequent, and runs lie across the edges of parts.
