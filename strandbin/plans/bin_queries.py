@@ -9,6 +9,7 @@ from strandbin.functions import rules
 from strandbin.operators import classify as cl
 from strandbin.operators import quality as q
 from strandbin.operators.fragments import positive_pairs as pairs_of
+from strandbin.operators.skew import number_rows
 from strandbin.plans import views as v
 from strandbin.plans.views import with_views
 from strandbin.runtime import table
@@ -97,11 +98,16 @@ def cluster_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cluster_sets(spark: SparkSession, folder: str) -> DataFrame:
-    """Contigs of each bin; the noise group, which no limit bounds, is left out."""
+    """Contigs of each bin as one text; the noise group is left out, as in its SQL. :func:`cluster_members` has every group."""
     found = v.bins(spark, folder).where(F.col("cluster") != q.NOISE).groupBy("cluster").agg(F.sort_array(F.collect_set("contig")).alias("c"))
     return found.select("cluster", F.size("c").alias("contigs"), F.array_join("c", ",").alias("members"))
 
 
+def cluster_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Contigs of every group, noise too, one row each with its place in the group; sizes are in :func:`cluster_counts`."""
+    return number_rows(v.bins(spark, folder).select("cluster", "contig"), "cluster", ["contig"])
+
+
 def cluster_counts(spark: SparkSession, folder: str) -> DataFrame:
     return v.bins(spark, folder).groupBy("cluster").agg(F.count(F.lit(1)).alias("contigs"))
 
@@ -184,7 +190,7 @@ def pipeline_summary(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (gene_family, safe_ratio, interval_overlap, fragment_ratio, lr_schedule, frag_original, positive_pairs, pairs_capped, predicted_class, bacterial_filter, bacterial_filter_fallback, score_summary, paf_best, cluster_labels, cluster_sets, cluster_counts, contig_lookup, bin_sizes, gene_family_counts, duplicated_genes, bins_annotated, contaminated_bins, refine_eligibility, refine_k, refine_subbins, refine_merge, bins_final, recluster_rule, pipeline_summary)}
+QUERIES = {f.__name__: f for f in (gene_family, safe_ratio, interval_overlap, fragment_ratio, lr_schedule, frag_original, positive_pairs, pairs_capped, predicted_class, bacterial_filter, bacterial_filter_fallback, score_summary, paf_best, cluster_labels, cluster_sets, cluster_members, cluster_counts, contig_lookup, bin_sizes, gene_family_counts, duplicated_genes, bins_annotated, contaminated_bins, refine_eligibility, refine_k, refine_subbins, refine_merge, bins_final, recluster_rule, pipeline_summary)}
 
 _BEST = f"""scored AS (SELECT line_no, contig, upper(trim(gene_family)) AS gene_family, (target_end - target_start)::DOUBLE / target_length AS cov, matches::DOUBLE / alignment_length AS ident
             FROM lines WHERE gene_family IS NOT NULL AND target_length > 0 AND alignment_length > 0),
@@ -223,6 +229,7 @@ SQL = {
     "paf_best": with_views("lines", f", {_BEST} SELECT contig, gene_family, round(product, 6) AS product, line_no FROM best"),
     "cluster_labels": with_views("bins", "SELECT contig, n AS number, CASE WHEN n < 0 THEN 'noise' ELSE 'bin_' || n END AS label FROM (SELECT contig, coalesce(try_cast(regexp_extract(cluster, '_([0-9]+)$', 1) AS INT), -1) AS n FROM bins)"),
     "cluster_sets": with_views("bins", "SELECT cluster, count(*)::INT AS contigs, string_agg(contig, ',' ORDER BY contig) AS members FROM bins WHERE cluster <> 'noise' GROUP BY cluster"),
+    "cluster_members": with_views("bins", "SELECT cluster, contig, row_number() OVER (PARTITION BY cluster ORDER BY contig NULLS FIRST) - 1 AS row_no FROM bins"),
     "cluster_counts": with_views("bins", "SELECT cluster, count(*) AS contigs FROM bins GROUP BY cluster"),
     "contig_lookup": with_views("bins", "SELECT contig, cluster, header FROM bins JOIN (SELECT contig, min(concat_ws(' ', contig, description)) AS header FROM fragments_dict WHERE sequence IS NOT NULL GROUP BY contig) USING (contig)"),
     "bin_sizes": with_views("bins lengths", f", {_SIZES} SELECT cluster, contigs, bases FROM sizes"),

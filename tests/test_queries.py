@@ -12,3 +12,9 @@ def test_same_as_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, FOLDER).columns
+
+
+def test_every_contig_is_member_of_a_group(spark):
+    rows = [(r["cluster"], r["row_no"]) for r in catalogue.QUERIES["cluster_members"](spark, FOLDER).collect()]
+    sizes = {r["cluster"]: r["contigs"] for r in catalogue.QUERIES["cluster_counts"](spark, FOLDER).collect()}
+    assert "noise" in sizes and sorted(rows) == sorted((c, i) for c, n in sizes.items() for i in range(n))
