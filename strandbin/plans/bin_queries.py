@@ -10,6 +10,7 @@ from strandbin.operators import classify as cl
 from strandbin.operators import quality as q
 from strandbin.operators.fragments import positive_pairs as pairs_of
 from strandbin.operators.skew import number_rows
+from strandbin.params import Params
 from strandbin.plans import views as v
 from strandbin.plans.views import with_views
 from strandbin.runtime import table
@@ -64,6 +65,11 @@ def pairs_capped(spark: SparkSession, folder: str) -> DataFrame:
     return pairs_of(members, "contig", "fragment", max(1, members.select("fragment").distinct().count() // 20))
 
 
+def pairs_of_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of all fragments under the cap of the whole run."""
+    return pairs_of(v.fragments(spark, folder), "contig", "fragment", Params().max_positive_pairs)
+
+
 def predicted_class(spark: SparkSession, folder: str) -> DataFrame:
     return v.scores(spark, folder).select("contig", cl.predicted_class().alias("predicted_class"))
 
@@ -190,7 +196,7 @@ def pipeline_summary(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (gene_family, safe_ratio, interval_overlap, fragment_ratio, lr_schedule, frag_original, positive_pairs, pairs_capped, predicted_class, bacterial_filter, bacterial_filter_fallback, score_summary, paf_best, cluster_labels, cluster_sets, cluster_members, cluster_counts, contig_lookup, bin_sizes, gene_family_counts, duplicated_genes, bins_annotated, contaminated_bins, refine_eligibility, refine_k, refine_subbins, refine_merge, bins_final, recluster_rule, pipeline_summary)}
+QUERIES = {f.__name__: f for f in (gene_family, safe_ratio, interval_overlap, fragment_ratio, lr_schedule, frag_original, positive_pairs, pairs_capped, pairs_of_all, predicted_class, bacterial_filter, bacterial_filter_fallback, score_summary, paf_best, cluster_labels, cluster_sets, cluster_members, cluster_counts, contig_lookup, bin_sizes, gene_family_counts, duplicated_genes, bins_annotated, contaminated_bins, refine_eligibility, refine_k, refine_subbins, refine_merge, bins_final, recluster_rule, pipeline_summary)}
 
 _BEST = f"""scored AS (SELECT line_no, contig, upper(trim(gene_family)) AS gene_family, (target_end - target_start)::DOUBLE / target_length AS cov, matches::DOUBLE / alignment_length AS ident
             FROM lines WHERE gene_family IS NOT NULL AND target_length > 0 AND alignment_length > 0),

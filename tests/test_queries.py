@@ -1,6 +1,6 @@
 import pytest
 
-from strandbin.plans import catalogue
+from strandbin.plans import catalogue, views
 from tests.against_sql import FOLDER, check
 
 
@@ -18,3 +18,10 @@ def test_every_contig_is_member_of_a_group(spark):
     rows = [(r["cluster"], r["row_no"]) for r in catalogue.QUERIES["cluster_members"](spark, FOLDER).collect()]
     sizes = {r["cluster"]: r["contigs"] for r in catalogue.QUERIES["cluster_counts"](spark, FOLDER).collect()}
     assert "noise" in sizes and sorted(rows) == sorted((c, i) for c, n in sizes.items() for i in range(n))
+
+
+def test_pairs_of_all_fragments(spark):
+    n = views.fragments(spark, FOLDER).select("contig", "fragment").distinct().groupBy("contig").count().collect()
+    possible = [r["count"] * (r["count"] - 1) // 2 for r in n if r["count"] > 1]
+    got = catalogue.QUERIES["pairs_of_all"](spark, FOLDER)
+    assert got.count() == got.distinct().count() == sum(max(1, min(p, int(p * min(1, 5_000_000 / sum(possible))))) for p in possible)
