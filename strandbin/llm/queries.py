@@ -17,6 +17,10 @@ from strandbin.runtime import table
 
 #: A public tokenizer's file; see the folder's README.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: Domains of the boards, the upper level of the mixture; others are "other".
+DOMAINS = {"computing": ("assembly_help", "sequencing_runs"), "laboratory": ("bench_talk", "field_sampling"), "writing": ("thesis_corner", "poster_swap")}
+#: Power of the languages' sizes by which a board's budget is spread over them in p7_mixture.
+SMOOTHING = 0.7
 LANGUAGES = ["de", "en", "es", "fr", "nl", "pt", "ru"]
 #: Lengths of the vectors of contig_embeddings and features.
 CONTIG_WIDTH, KMER_WIDTH = 48, 136
@@ -82,18 +86,30 @@ def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.withColumn("kind", kind).where("kind is not null").select("doc_id", "item_id", "kind", "run", F.round("in_order", 6).alias("in_order"), "answered")
 
 
+def _with_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with ``language``: a listed one by the first letters of the label, else ``other``."""
+    given = F.lower(F.substring("lang", 1, 2))
+    return table(spark, folder, "documents").withColumn("language", F.when(given.isin(LANGUAGES), given).otherwise("other"))
+
+
+def _targets(spark: SparkSession, folder: str) -> DataFrame:
+    """The targets with the domain of each board."""
+    domain = F.lit("other")
+    for name, boards in DOMAINS.items():
+        domain = F.when(F.lower(F.trim("source")).isin(*boards), name).otherwise(domain)
+    return table(spark, folder, "mix_targets").withColumn("domain", domain)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    targets = table(spark, folder, "mix_targets")
-    root = plan(leaf_sizes(table(spark, folder, "documents").select("source", "n_chars"), targets, "source", "n_chars"), targets)
+    targets = _targets(spark, folder)
+    root = plan(leaf_sizes(_with_language(spark, folder).select("source", "n_chars", "language"), targets, "source", "n_chars", "language"), targets)
     return spark.createDataFrame([(s,) for s in shortfalls(root)], "source string")
 
 
 def p7_mixture(spark: SparkSession, folder: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Shares reached when sizes are tokens and each board's budget is spread over its languages."""
-    docs = table(spark, folder, "documents").select("doc_id", "source", "text", F.lower(F.substring("lang", 1, 2)).alias("language"))
-    part = F.when(F.col("language").isin(LANGUAGES), F.col("language")).otherwise("other")
-    counted = token_counts(docs.withColumn("language", part), "text", tokenizer)
-    return mixture_report(counted, table(spark, folder, "mix_targets"), "source", "tokens", "doc_id", "language")
+    """Shares reached when sizes are tokens; boards lie in domains, and small languages of a board are lifted."""
+    counted = token_counts(_with_language(spark, folder).select("doc_id", "source", "text", "language"), "text", tokenizer)
+    return mixture_report(counted, _targets(spark, folder), "source", "tokens", "doc_id", "language", smoothing=SMOOTHING)
 
 
 def _languages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
