@@ -25,6 +25,8 @@ from strandbin.runtime import spread
 #: Documents whose sentences, where label and first classifier agree, extend the labelled samples. A documented bound.
 TRAINING_DOCUMENTS = 1_000
 TRAINING_SENTENCES = 2_500
+#: Labelled samples that the classifiers are fitted on, at most, by hash order. A documented bound.
+TRAINING_SAMPLES = 20_000
 BITS = 31
 BUCKETS = 4096
 #: A sentence is ambiguous if the second language is nearer than this to the first (share of the first's probability).
@@ -33,8 +35,8 @@ AMBIGUOUS = 0.75
 LEAST_WORDS = 20
 
 _CODE = re.compile(r"```.*?(?:```|\Z)|\[(code|img)\].*?(?:\[/\1\]|\Z)", re.S | re.I)
-_INLINE = re.compile(r"</?(?:b|i|em|span|u|strong|a|font)(?:\s[^<>\n]{0,200})?>|\[/?(?:b|i|u|url)(?:=[^\]\n]{0,200})?\]", re.I)
-_TAG = re.compile(r"<[^<>\n]{0,200}>|\[/?[A-Za-z]+(?:=[^\]\n]{0,200})?\]")
+_INLINE = re.compile(r"</?(?:b|i|em|span|u|strong|a|font)(?:\s[^<>\n]*)?>|\[/?(?:b|i|u|url)(?:=[^\[\]\n]*)?\]", re.I)
+_TAG = re.compile(r"<[^<>\n]*>|\[/?[A-Za-z]+(?:=[^\[\]\n]*)?\]")
 _QUOTED = re.compile(r"\s*((?:>\s?)+)")
 _NAMED = re.compile(r"\s*[\w.@-]+:\s*\Z")
 _STOP = re.compile(r"(?<=[.!?…])\s+")
@@ -83,7 +85,7 @@ def plain(word: str) -> str:
 
 def ngram_places(word: str) -> list[int]:
     """Buckets of the n-grams of 1 to 4 characters of a word with its edges, and of the whole word."""
-    w = f"^{word[:40]}$"
+    w = f"^{word}$"
     grams = [w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)]
     return [zlib.crc32(g.encode()) % BUCKETS for g in [*grams[1:], w, w]]
 
@@ -114,7 +116,9 @@ class Decoder:
     def word_margins(self, words: list[str]) -> np.ndarray:
         out = np.empty((len(words), self.code.shape[1]))
         for i, w in enumerate(words):
-            out[i] = self.weights[ngram_places(w)].mean(0)
+            at = ngram_places(w)
+            # The mean over the places; a word of more n-grams than buckets is counted first.
+            out[i] = self.weights[at].mean(0) if len(at) < BUCKETS else np.bincount(at, minlength=BUCKETS) @ self.weights / len(at)
         return out
 
     def probabilities(self, margins: np.ndarray) -> np.ndarray:
@@ -172,12 +176,13 @@ def _calibrated(model: Decoder, texts: list[list[str]], label: np.ndarray) -> De
 
 
 def fit(samples: DataFrame, docs: DataFrame | None = None) -> Decoder:
-    """Fits on ``samples`` (``lang, text``), with and without accents.
+    """Fits on ``samples`` (``lang, text``; at most ``TRAINING_SAMPLES`` of them), with and without accents.
 
     With ``docs`` (``text, lang``), a bounded number of their sentences follow (``TRAINING_DOCUMENTS`` by hash order,
     ``TRAINING_SENTENCES``): those to which the classifiers so far give the document's own label, clearly.
     """
-    rows = samples.select(F.lower("lang").alias("lang"), "text").where("lang is not null and text is not null").orderBy("lang", "text").collect()
+    rows = samples.select(F.lower("lang").alias("lang"), "text").where("lang is not null and text is not null").orderBy(F.xxhash64("text"), "lang", "text").limit(TRAINING_SAMPLES).collect()
+    rows = sorted(rows, key=lambda r: (r["lang"], r["text"]))
     languages = sorted({r["lang"] for r in rows})
     texts, label = [], []
     for r in rows:

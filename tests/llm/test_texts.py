@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandbin.llm import language
+from strandbin.llm import language, leaks, mixture
 from strandbin.llm.language import fit, label_documents, label_parts, sentences_of
 from strandbin.llm.leaks import RUN, _bounds, common_subsequence, find_leaks, longest_run, words_of
 from strandbin.llm.mixture import Node, allot, leaf_sizes, mixture_report, plan, select, shortfalls
@@ -88,6 +88,59 @@ def test_leaks_in_long_texts_and_common_words(spark):
     assert sorted(r["doc_id"] for r in find_leaks(docs, items).collect() if r["run"] >= RUN) == [n for n, _ in rows]
 
 
+def test_long_texts_are_judged_as_one(spark):
+    w, filler = ITEM.split(), "some other words that have nothing to do with any of this at all really".split()
+    told = w[:6] + ["very"] + w[6:11] + ["indeed"] + w[11:20] + ["so"] + w[20:]
+    rows = [(n, " ".join((filler * 3000)[:n] + passage + filler)) for n in (9, 19_960, 19_975, 19_984, 39_970) for passage in (told, w)]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    got = find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(10, ITEM)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["run"], r["in_order"], r["answered"]) for r in got) == [(i, len(w) if i % 2 else 0, 1.0, True) for i in range(10)]
+
+
+def test_tags_of_any_length_are_no_words(spark):
+    w = ITEM.split()
+    link = f'<a href="http://x.y/{"z/" * 300}">'
+    quote = f'[quote={"name " * 120}]'
+    docs = spark.createDataFrame([(1, " ".join(w[3:9] + [link] + w[9:12] + [quote] + w[12:16]))], "doc_id long, text string")
+    got = find_leaks(docs, spark.createDataFrame([(10, ITEM)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["run"]) for r in got] == [(1, 13)]
+
+
+def test_slices_of_items_change_nothing(spark, monkeypatch):
+    docs, items = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/eval_items.parquet")
+    whole = sorted(map(tuple, find_leaks(docs, items).withColumn("cosine", F.round("cosine", 4)).collect()))
+    monkeypatch.setattr(leaks, "ITEMS_AT_ONCE", 40)
+    assert sorted(map(tuple, find_leaks(docs, items).withColumn("cosine", F.round("cosine", 4)).collect())) == whole and whole
+
+
+def test_a_given_answer_must_be_there(spark):
+    w = ITEM.split()
+    told = w[:6] + ["very"] + w[6:11] + ["indeed"] + w[11:20] + ["so"] + w[20:]
+    docs = spark.createDataFrame([(1, " ".join(told)), (2, " ".join([*told, "Quimber", "Falls"])), (3, " ".join([*told, "quimber"]))], "doc_id long, text string")
+    items = spark.createDataFrame([(10, ITEM, "quimber falls")], "item_id long, text string, answer string")
+    assert {r["doc_id"] for r in find_leaks(docs, items, answer="answer").collect()} == {2}
+    assert {r["doc_id"] for r in find_leaks(docs, items).collect()} == {1, 2, 3}
+
+
+def test_recall_of_paraphrases(spark):
+    """Every item, retold: a word in five is dropped or replaced, a word put in between now and then."""
+    r = random.Random(3)
+    items = spark.read.parquet(f"{FOLDER}/eval_items.parquet")
+    rows, wrong = [], []
+    for i in items.collect():
+        w, told = words_of(i["text"]), []
+        for n, x in enumerate(w):
+            told += [] if n % 10 == 4 else [r.choice(["rather", "also", "perhaps"])] if n % 10 == 9 else [x, "then"] if n % 7 == 0 else [x]
+        rows.append((i["item_id"], " ".join(told)))
+        # The same sentences about other things: no leak.
+        wrong.append((-i["item_id"], " ".join("word" + x[::-1] if len(x) > 5 or x.isdigit() else x for x in w)))
+    posts = spark.read.parquet(f"{FOLDER}/documents.parquet").selectExpr("doc_id + 100000 AS doc_id", "text")
+    got = find_leaks(spark.createDataFrame(rows + wrong, "doc_id long, text string").unionByName(posts), items).where("doc_id < 100000").collect()
+    assert len({x["doc_id"] for x in got if x["doc_id"] == x["item_id"]}) >= 0.9 * len(rows)
+    assert not [x for x in got if x["doc_id"] < 0]
+    assert not [x for x in got if x["doc_id"] > 0 and x["doc_id"] != x["item_id"]]
+
+
 def test_leaks_equal_brute_force(spark):
     docs, items = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/eval_items.parquet")
     runs = {}
@@ -119,6 +172,40 @@ def test_shortages_go_to_siblings_first():
     assert [c.budget for c in zero.children] == [0, 0]
 
 
+def _targeted(spark, rows):
+    return spark.createDataFrame(rows, "source string, target_share double, max_repeats int, domain string")
+
+
+def test_plan_passes_shortages_to_siblings_before_ancestors(spark, monkeypatch):
+    docs = spark.createDataFrame([("a", "en", 900), ("a", "nl", 40), ("b", "en", 400), ("b", "nl", 200), ("c", "en", 1000)], "source string, lang string, n long")
+    targets = _targeted(spark, [("a", 0.42, 1, "x"), ("b", 0.30, 9, "x"), ("c", 0.28, 2, "y")])
+    total = 2540
+    root = plan(leaf_sizes(docs, targets, "source", "n", "lang"), targets, smoothing=0.5)
+    got = {(d.name, p.name, s.name): (s.budget, s.wanted) for d, p, s in root.leaves()}
+    split = lambda x, y: x**0.5 / (x**0.5 + y**0.5)
+    nl = 0.42 * split(40, 900) * total
+    assert got["x", "nl", "a"] == (pytest.approx(40), pytest.approx(nl))
+    # What a has too little of in Dutch goes to b in Dutch, not to a or b in English nor to c.
+    assert got["x", "nl", "b"][0] == pytest.approx(got["x", "nl", "b"][1] + nl - 40)
+    assert got["x", "en", "a"][0] == pytest.approx(got["x", "en", "a"][1]) and got["y", "en", "c"][0] == pytest.approx(0.28 * total)
+    assert shortfalls(root) == ["a"]
+    short = _targeted(spark, [("a", 0.36, 1, "x"), ("b", 0.30, 1, "x"), ("c", 0.34, 2, "y")])
+    root = plan(leaf_sizes(docs, short, "source", "n", "lang"), short)
+    got = {d.name: d.budget for d in root.children}
+    assert got == {"x": pytest.approx(1540), "y": pytest.approx(1000)} and shortfalls(root) == ["b"]
+    # Within x, b's lack goes to a's sibling leaves before it leaves x.
+    assert sum(s.budget for _, _, s in root.leaves() if s.name == "a") == pytest.approx(940)
+    monkeypatch.setattr(mixture, "allot", lambda *_: None)
+    assert shortfalls(plan(leaf_sizes(docs, short, "source", "n", "lang"), short)) == ["a", "b", "c"]
+
+
+def test_shares_need_not_sum_to_one(spark):
+    docs = spark.createDataFrame([("a", "en", 100), ("b", "en", 100)], "source string, lang string, n long")
+    for share in (0.4, 0.5, 0.8):
+        targets = _targeted(spark, [("a", share, 2, "x"), ("b", share, 1, None)])
+        assert shortfalls(plan(leaf_sizes(docs, targets, "source", "n", "lang"), targets)) == (["b"] if share > 0.5 else [])
+
+
 MIX_DOCS = "doc_id long, source string, n long, size int, part string"
 
 
@@ -160,6 +247,15 @@ def test_sentences():
     assert sentences_of(None) == sentences_of("") == sentences_of("12 ``` x") == []
 
 
+def test_long_tags_and_long_words():
+    assert sentences_of(f'One <a href="{"x/" * 400}">two</a> three [url={"y" * 300}]four[/url] <img src="{"z" * 300}"> five') == [["one", "two", "three", "four"], ["five"]]
+    a, b = "q" * 45 + "ung", "q" * 45 + "tion"
+    assert sorted(language.ngram_places(a)) != sorted(language.ngram_places(b))
+    m = language.Decoder(["a", "b"], language.codewords(2), np.random.default_rng(1).normal(size=(language.BUCKETS, language.BITS)), np.full(language.BITS, 1 / language.BITS))
+    for word in ("abc", "abc" * 3000):
+        assert np.allclose(m.word_margins([word])[0], m.weights[language.ngram_places(word)].mean(0))
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return fit(spark.read.parquet(f"{FOLDER}/lang_samples.parquet"))
