@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from strandbin.functions.rules import euclidean, unit
 from strandbin.operators.graph import follow, merge_labels
 from strandbin.operators.sums import matrix_sum
-from strandbin.operators.tree import Tree, block_join, blocks_of, grow, matrix, placed
+from strandbin.operators.tree import Tree, block_join, blocks_of, grow, matrix, placed, within_once
 from strandbin.runtime import shuffle_partitions, stage, unstage
 
 NOISE = "noise"
@@ -69,7 +69,7 @@ def neighbours(vectors: DataFrame, width: int, k: int) -> DataFrame:
     tree = grow(rows, width, n, LEAF_ROWS)
     members = stage(placed(rows.withColumn("no", F.xxhash64("key")), tree, width), "near-members")
     blocks = blocks_of(members, tree.leaves)
-    radius = blocks.radius
+    balls = tree.balls(blocks.radius)
     slim = members.drop("reach")
     order = Window.partitionBy("key").orderBy(F.round("distance", 7), "other")
 
@@ -77,12 +77,12 @@ def neighbours(vectors: DataFrame, width: int, k: int) -> DataFrame:
         return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
     schema = "key string, other string, distance double"
-    first = best(block_join(slim, slim, tree, blocks, width, lambda t, x, _: t.best_bins(x, FIRST_VISITS), _top(k), schema))
+    first = best(block_join(slim, slim, tree, blocks, width, lambda t, x, _: t.nearest_leaves(x, FIRST_VISITS), _top(k), schema))
     bound = first.groupBy("key").agg(F.max(F.when(F.col("place") == k, F.col("distance"))).alias("bound"))
     asked = stage(slim.join(bound, "key", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))), "near-bound")
 
     def visited(t, x, part):  # noqa: ANN001, ANN202
-        return t.lower_bounds(x, radius) <= (part["bound"].to_numpy() + 1e-6)[:, None]
+        return t.reachable(x, part["bound"].to_numpy() + 1e-6, balls)
 
     return best(block_join(asked, asked, tree, blocks, width, visited, _top(k), schema))
 
@@ -111,16 +111,6 @@ def density_cut(edges: DataFrame, keys: DataFrame, epsilon: float, least: int) -
     return keys.select("key").join(named, "key", "left").select("key", F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))
 
 
-def _within_once(reach: float, radius: np.ndarray) -> Callable:
-    """Leaves that may hold rows within ``reach``; of two leaves only the rows of one visit the other, by parity."""
-
-    def once(tree: Tree, x: np.ndarray, part: pd.DataFrame) -> np.ndarray:
-        leaf, own = np.arange(tree.leaves)[None], part["own"].to_numpy()[:, None]
-        return (tree.lower_bounds(x, radius) <= reach + 1e-6) & ((own == leaf) | ((own < leaf) == ((own + leaf) % 2 == 0)))
-
-    return once
-
-
 def _one_of_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows ``key, vec, ..`` the smallest key's of each vector, and ``rep, key`` for all rows."""
     reps = stage(rows.join(rows.groupBy("vec").agg(F.min("key").alias("rep")), "vec"), "copies")
@@ -163,7 +153,7 @@ def close_links(vectors: DataFrame, near: DataFrame, width: int, core_k: int, ep
         return pd.DataFrame(sorted(found), columns=["a", "b"])
 
     slim = members.drop("reach")
-    met = block_join(slim, slim, tree, blocks, width, _within_once(epsilon, blocks.radius), work, "a string, b string")
+    met = block_join(slim, slim, tree, blocks, width, within_once(epsilon, tree.balls(blocks.radius)), work, "a string, b string")
     return known.unionByName(met.distinct()).where("a <> b").withColumn("w", F.lit(0.0))
 
 
@@ -213,8 +203,10 @@ def spanning_tree(vectors: DataFrame, near: DataFrame, width: int, k: int, core_
     trees = stage(members.select("key", F.col("key").alias("tree")), "trees")
     chosen = [tied]
 
-    def visited(t: Tree, x: np.ndarray, part: pd.DataFrame) -> np.ndarray:
-        return t.lower_bounds(x, blocks.radius) <= (part["bound"].to_numpy() + 1e-6)[:, None]
+    balls = tree.balls(blocks.radius)
+
+    def visited(t: Tree, x: np.ndarray, part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return t.reachable(x, part["bound"].to_numpy() + 1e-6, balls)
 
     while True:
         sizes = trees.groupBy("tree").agg(F.count(F.lit(1)).alias("n"))

@@ -1,8 +1,9 @@
 """A hierarchical k-means tree over vectors, and blocks of its leaves for joins.
 
-The tree is fitted on a bounded sample; every row is then placed by descent to the nearest child. Consecutive leaves are put
-into blocks of a bounded number of rows, and a leaf with more rows than that is spread over several blocks, so that neither
-a dense region nor a group of copies makes a large task.
+The tree is fitted on bounded samples: its upper part on one sample of the table, and, where the table wants more leaves than
+that sample carries, a subtree for each of its leaves on a sample of that leaf's rows. Every row is then placed by descent to
+the nearest child. Consecutive leaves are put into blocks of a bounded number of rows, and a leaf with more rows than that
+is spread over several blocks, so that neither a dense region nor a group of copies makes a large task.
 """
 
 from __future__ import annotations
@@ -12,18 +13,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandbin.runtime import shuffle_partitions
 
-#: Rows that the tree is fitted on, at most; they also bound the number of leaves.
-SAMPLE_ROWS = 32_768
+#: Rows that the upper part of the tree, and each subtree, is fitted on, at most.
+SAMPLE_ROWS, SUBTREE_ROWS = 32_768, 4_096
 #: Sampled rows a leaf should have at least.
 SAMPLE_PER_LEAF = 32
+#: Leaves a tree has at most, as it is broadcast; beyond, leaves grow with the table.
+MOST_LEAVES = 65_536
 #: Rows a block holds at most.
 BLOCK_ROWS = 32_768
 BRANCHES = 8
+#: Rows of a query batch times leaves of the tree that are looked at at once, about.
+ROUTE_CELLS = 1 << 24
 
 
 @dataclass
@@ -38,6 +43,12 @@ class Tree:
     def leaves(self) -> int:
         return int(self.leaf_no.max()) + 1
 
+    @property
+    def leaf_centre(self) -> np.ndarray:
+        out = np.empty((self.leaves, self.centre.shape[1]))
+        out[self.leaf_no[self.leaf_no >= 0]] = self.centre[self.leaf_no >= 0]
+        return out
+
     def place(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row."""
         at = np.zeros(len(x), dtype=np.int64)
@@ -48,93 +59,105 @@ class Tree:
             if not kids:
                 at[rows] = self.leaf_no[node]
                 continue
-            pick = _squared(x[rows], self.centre[kids]).argmin(1)
+            pick = squared(x[rows], self.centre[kids]).argmin(1)
             open_nodes += [(kid, part) for i, kid in enumerate(kids) if len(part := rows[pick == i])]
         return at
 
-    def best_bins(self, x: np.ndarray, visits: int) -> np.ndarray:
-        """The first leaves that a best-bin-first traversal reaches for each row (-1 where there are fewer).
+    def nearest_leaves(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of row and leaf: the n leaves of the nearest centres among those under the row's own upper node.
 
-        All rows of a batch advance together: ``queue`` is their priority queue over nodes, keyed by the distance to the
-        node's centre. A step takes the nearest open node of every row; a leaf is a visit, an inner node is replaced by its
-        children.
+        Enough for a first bound; rows near an upper node's edge get leaves on their own side only.
         """
-        visits = min(visits, self.leaves)
-        out = np.full((len(x), visits), -1, dtype=np.int32)
-        if not self.children[0]:
-            out[:, 0] = 0
-            return out
-        dist = _squared(x, self.centre)
-        queue = np.full_like(dist, np.inf)
-        queue[:, self.children[0]] = dist[:, self.children[0]]
-        family = np.full((len(self.children), max(map(len, self.children))), -1, dtype=np.int64)
+        own, found = self.place(x), []
+        parent = np.full(len(self.children), -1)
         for i, kids in enumerate(self.children):
-            family[i, : len(kids)] = kids
-        seen, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
-        while len(rows):
-            node = queue[rows].argmin(1)
-            queue[rows, node] = np.inf
-            kids = family[node]
-            is_leaf = kids[:, 0] < 0
-            hit = rows[is_leaf]
-            out[hit, seen[hit]] = self.leaf_no[node[is_leaf]]
-            seen[hit] += 1
-            r, k = np.repeat(rows, kids.shape[1]), kids.ravel()
-            r, k = r[k >= 0], k[k >= 0]
-            queue[r, k] = dist[r, k]
-            rows = rows[seen[rows] < visits]
+            parent[kids] = i
+        node_of = np.empty(self.leaves, dtype=np.int64)
+        node_of[self.leaf_no[self.leaf_no >= 0]] = np.flatnonzero(self.leaf_no >= 0)
+        order = np.argsort(own, kind="stable")
+        edge = np.flatnonzero(np.r_[True, np.diff(own[order]) != 0]) if len(x) else []
+        for a, e in zip(edge, [*edge[1:], len(order)]):
+            node, under = int(node_of[own[order[a]]]), []
+            while len(under) < n and parent[node] >= 0:
+                node = int(parent[node])
+                under = self._under(node)
+            under = np.array(under or [node])
+            rows = order[a:e]
+            near = np.argsort(squared(x[rows], self.centre[under]), axis=1, kind="stable")[:, :n]
+            found.append((np.repeat(rows, near.shape[1]), self.leaf_no[under[near]].ravel()))
+        return _by_row(found)
+
+    def _under(self, node: int) -> list[int]:
+        out, stack = [], [node]
+        while stack:
+            i = stack.pop()
+            stack += self.children[i]
+            if not self.children[i]:
+                out.append(i)
         return out
 
-    def lower_bounds(self, x: np.ndarray, radius: np.ndarray) -> np.ndarray:
-        """No row of leaf j is nearer to row i of ``x`` than entry (i, j).
+    def balls(self, radius: np.ndarray) -> np.ndarray:
+        """For each node a distance from its centre that no row under it exceeds, from those of the leaves."""
+        out = np.zeros(len(self.children))
+        for node in range(len(self.children) - 1, -1, -1):  # children come after their node
+            kids = self.children[node]
+            if kids:
+                out[node] = (np.sqrt(squared(self.centre[kids], self.centre[[node]])[:, 0]) + out[kids]).max()
+            else:
+                out[node] = radius[self.leaf_no[node]]
+        return out
+
+    def reachable(self, x: np.ndarray, reach: np.ndarray, balls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of row and leaf, by row: every leaf that may hold rows within ``reach`` of the row.
 
-        Two bounds, the larger counts: the ball of the leaf (``radius``: largest distance of its rows to its centre), and
-        on the way down the planes between a node and its siblings, as all rows of a node are nearer to its centre.
+        On the way down two bounds leave nodes out: the ball of the node (see :func:`balls`), and the planes between a node
+        and its siblings, as all rows of a node are nearer to its centre. Only nodes that are not left out are looked at.
         """
-        dist = _squared(x, self.centre)
-        at_leaf = np.flatnonzero(self.leaf_no >= 0)
-        out = np.empty((len(x), self.leaves))
-        out[:, self.leaf_no[at_leaf]] = np.sqrt(dist[:, at_leaf]) - radius[self.leaf_no[at_leaf]]
-        np.maximum(out, 0.0, out=out)
-        stack = [(0, np.zeros(len(x)))]
+        found, stack = [], [(0, np.arange(len(x)), np.zeros(len(x)))]
         while stack:
-            node, bound = stack.pop()
+            node, rows, bound = stack.pop()
             kids = self.children[node]
             if not kids:
-                leaf = self.leaf_no[node]
-                np.maximum(out[:, leaf], bound, out=out[:, leaf])
+                found.append((rows, np.full(len(rows), self.leaf_no[node])))
                 continue
-            c, d2 = self.centre[kids], np.ascontiguousarray(dist[:, kids].T)
-            between = np.sqrt(_squared(c, c))
-            for j, kid in enumerate(kids):
-                apart = between[j] > 1e-9
-                if not apart.any():
-                    stack.append((kid, bound))
-                    continue
-                planes = (d2[j] - d2[apart]) / (2 * between[j][apart])[:, None]
-                stack.append((kid, np.maximum(bound, planes.max(0))))
-        return out
-
-
-def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            c = self.centre[kids]
+            d2 = squared(x[rows], c)
+            between = np.sqrt(squared(c, c))
+            between[between <= 1e-9] = np.inf
+            planes = ((d2[:, :, None] - d2[:, None, :]) / (2 * between)[None]).max(2)
+            low = np.maximum(np.maximum(np.sqrt(d2) - balls[kids], planes), bound[:, None])
+            keep = low <= reach[rows][:, None]
+            stack += [(kid, rows[k], low[k, j]) for j, kid in enumerate(kids) if (k := np.flatnonzero(keep[:, j])).size]
+        return _by_row(found)
+
+
+def _by_row(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    row, leaf = (np.concatenate(p) for p in zip(*found))
+    order = np.lexsort((leaf, row))
+    return row[order], leaf[order]
+
+
+def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2.0 * (a @ b.T), 0.0)
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
     centre = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
-        at = _squared(x, centre).argmin(1)
+        at = squared(x, centre).argmin(1)
         n = np.bincount(at, minlength=k)
         order = np.argsort(at, kind="stable")
         used = np.flatnonzero(n)
         sums = np.add.reduceat(x[order], np.r_[0, np.cumsum(n[used])[:-1]], axis=0)
         centre = centre.copy()
         centre[used] = sums / n[used][:, None]
-    return centre, _squared(x, centre).argmin(1)
+    return centre, squared(x, centre).argmin(1)
 
 
 def fit_tree(sample: np.ndarray, leaves: int, branches: int = BRANCHES, seed: int = 7) -> Tree:
-    """Splits the node with the most sampled rows into ``branches`` children, until there are about ``leaves`` leaves."""
+    """Splits the node with the most sampled rows into ``branches`` children, until there are ``leaves`` leaves."""
     rng = np.random.default_rng(seed)
     centre, children = [sample.mean(0) if len(sample) else np.zeros(sample.shape[1])], [[]]
     members: dict[int, np.ndarray] = {0: np.arange(len(sample))}
@@ -143,8 +166,9 @@ def fit_tree(sample: np.ndarray, leaves: int, branches: int = BRANCHES, seed: in
         rows = members[node]
         if len(rows) < 2 * branches:
             break
-        c, at = _kmeans(sample[rows], branches, rng)
-        parts = [(c[i], rows[at == i]) for i in range(branches) if (at == i).any()]
+        k = min(branches, leaves - len(members) + 1)
+        c, at = _kmeans(sample[rows], k, rng)
+        parts = [(c[i], rows[at == i]) for i in range(k) if (at == i).any()]
         if len(parts) < 2:  # copies only
             members[node] = rows[:1]
             if all(len(m) < 2 * branches for m in members.values()):
@@ -156,14 +180,7 @@ def fit_tree(sample: np.ndarray, leaves: int, branches: int = BRANCHES, seed: in
             members[len(centre)] = part
             centre.append(mean)
             children.append([])
-    leaf_no, n, stack = np.full(len(centre), -1), 0, [0]
-    while stack:
-        node = stack.pop()
-        if children[node]:
-            stack += children[node][::-1]
-        else:
-            leaf_no[node], n = n, n + 1
-    return Tree(np.asarray(centre, dtype=np.float64), children, leaf_no)
+    return Tree(np.asarray(centre, dtype=np.float64), children, _leaf_numbers(children))
 
 
 def matrix(column: pd.Series, width: int) -> np.ndarray:
@@ -171,12 +188,63 @@ def matrix(column: pd.Series, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.float64).reshape(len(column), width)
 
 
+def _sampled(members: DataFrame, share: float) -> DataFrame:
+    """About that share of the rows, by a digest of their vector."""
+    return members.where(F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < int(min(share, 1.0) * 1_000_000) + 1)
+
+
 def grow(members: DataFrame, width: int, rows: int, leaf_rows: int) -> Tree:
-    """A tree for ``members`` (column ``vec``: packed doubles) of known row count, from a bounded sample by hash order."""
-    share = min(1.0, 1.2 * SAMPLE_ROWS / max(rows, 1))
-    picked = members.where(F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("vec").limit(SAMPLE_ROWS).toPandas()
+    """A tree for ``members`` (column ``vec``: packed doubles) of known row count, with about a leaf for ``leaf_rows`` rows."""
+    wanted = max(1, min(rows // leaf_rows, MOST_LEAVES))
+    picked = _sampled(members, 1.2 * SAMPLE_ROWS / max(rows, 1)).select("vec").limit(SAMPLE_ROWS).toPandas()
     sample = matrix(picked["vec"], width) if len(picked) else np.zeros((0, width))
-    return fit_tree(sample, max(1, min(rows // leaf_rows, len(sample) // SAMPLE_PER_LEAF)))
+    top = fit_tree(sample, max(1, min(wanted, len(sample) // SAMPLE_PER_LEAF)))
+    return _with_subtrees(top, members, width, rows, wanted) if wanted > top.leaves > 1 and len(sample) == SAMPLE_ROWS else top
+
+
+def _with_subtrees(top: Tree, members: DataFrame, width: int, rows: int, wanted: int) -> Tree:
+    """``top`` with its leaves replaced by trees of their own, fitted side by side, one group a leaf."""
+    share = min(1.0, 1.2 * SUBTREE_ROWS * top.leaves / rows)
+    some = placed(_sampled(members, share).select("vec"), top, width).drop("reach")
+    sizes = some.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))  # at most one row a leaf of the upper part
+    total = max(sizes.agg(F.sum("n")).first()[0] or 1, 1)
+    first = Window.partitionBy("leaf").orderBy(F.xxhash64("vec"))  # cut to SUBTREE_ROWS before the shuffle as well
+    kept = some.withColumn("place", F.row_number().over(first)).where(F.col("place") <= SUBTREE_ROWS).join(F.broadcast(sizes), "leaf").select("leaf", "vec", "n")
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        sample = matrix(part["vec"], width)
+        leaves = min(round(part["n"].iloc[0] / total * wanted), len(sample) // SAMPLE_PER_LEAF)
+        t = fit_tree(sample, leaves) if leaves > 1 else None
+        if t is None or t.leaves < 2:
+            return pd.DataFrame({"leaf": [], "centre": [], "parent": []})
+        parent = np.zeros(len(t.children), dtype=np.int32)
+        for i, kids in enumerate(t.children):
+            parent[kids] = i
+        return pd.DataFrame({"leaf": [part["leaf"].iloc[0]], "centre": [t.centre.tobytes()], "parent": [parent.tobytes()]})
+
+    fitted = kept.groupBy("leaf").applyInPandas(fit, "leaf int, centre binary, parent binary").orderBy("leaf").collect()
+    centre, children = [top.centre], [list(k) for k in top.children]
+    node_of = {int(no): i for i, no in enumerate(top.leaf_no) if no >= 0}
+    for r in fitted:
+        own = np.frombuffer(r["centre"], dtype=np.float64).reshape(-1, width)
+        at, node = len(children) - 1, node_of[r["leaf"]]  # node i > 0 of the subtree becomes node i + at
+        children += [[] for _ in own[1:]]
+        for i, parent in enumerate(np.frombuffer(r["parent"], dtype=np.int32)[1:].tolist(), 1):
+            children[parent + at if parent else node].append(i + at)
+        centre.append(own[1:])
+    return Tree(np.concatenate(centre), children, _leaf_numbers(children))
+
+
+def _leaf_numbers(children: list[list[int]]) -> np.ndarray:
+    """Numbers of the leaves in depth-first order, -1 for other nodes."""
+    leaf_no, n, stack = np.full(len(children), -1), 0, [0]
+    while stack:
+        node = stack.pop()
+        if children[node]:
+            stack += children[node][::-1]
+        else:
+            leaf_no[node], n = n, n + 1
+    return leaf_no
 
 
 def placed(members: DataFrame, tree: Tree, width: int) -> DataFrame:
@@ -185,8 +253,7 @@ def placed(members: DataFrame, tree: Tree, width: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = shared.value
-        centre = np.empty((t.leaves, width))
-        centre[t.leaf_no[t.leaf_no >= 0]] = t.centre[t.leaf_no >= 0]
+        centre = t.leaf_centre
         for b in batches:
             if len(b):
                 x = matrix(b["vec"], width)
@@ -197,13 +264,6 @@ def placed(members: DataFrame, tree: Tree, width: int) -> DataFrame:
     return members.mapInPandas(run, schema + ", leaf int, reach double")
 
 
-def even_slots(spark: SparkSession, n: int) -> list[int]:
-    """One number per partition that ``repartition(n, column)`` sends to it, so that n values fill n partitions."""
-    ids = spark.range(40 * n).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
-    by = {r["p"]: r["id"] for r in ids}
-    return [by.get(i, i) for i in range(n)]
-
-
 @dataclass
 class Blocks:
     """Leaf -> blocks. ``first[leaf]`` and ``count[leaf]`` give the blocks over which the leaf's rows are spread."""
@@ -240,14 +300,14 @@ def block_join(
     tree: Tree,
     blocks: Blocks,
     width: int,
-    visited: Callable[[Tree, np.ndarray, pd.DataFrame], np.ndarray],
+    visited: Callable[[Tree, np.ndarray, pd.DataFrame], tuple[np.ndarray, np.ndarray]],
     work: Callable[[dict, dict, list[tuple[int, np.ndarray, np.ndarray]]], pd.DataFrame],
     schema: str,
 ) -> DataFrame:
     """Meets every query with the members of the leaves it visits.
 
     ``members`` has ``key, vec, leaf`` and what ``work`` reads besides; ``queries`` has ``key, vec`` and the same. ``visited(tree, x,
-    rows)`` gives for the vectors x of ``rows`` a matrix of leaf numbers (-1: none) or of booleans by leaf. Rows are brought together by block and
+    rows)`` gives for the vectors x of ``rows`` pairs of place and leaf, sorted by place and then leaf. Rows are brought together by block and
     sorted, members first, so a task holds the members of one block and streams the queries. If there are fewer blocks than
     tasks wanted, the queries of a block are dealt to several tasks, each with a copy of its members. ``work(members, queries,
     pairs)`` gets both as dicts of arrays and for each leaf the places of its members and of the queries that visit it.
@@ -259,16 +319,11 @@ def block_join(
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t, where = shared.value
+        step = max(64, min(8192, ROUTE_CELLS // t.leaves))
         for b in batches:
-            for start in range(0, len(b), 2048):
-                part = b.iloc[start : start + 2048]
-                v = visited(t, matrix(part["vec"], width), part)
-                if v.dtype == bool:
-                    q, leaf = np.nonzero(v)
-                else:
-                    v = np.sort(v, axis=1)
-                    q, i = np.nonzero(v >= 0)
-                    leaf = v[q, i]
+            for start in range(0, len(b), step):
+                part = b.iloc[start : start + step]
+                q, leaf = visited(t, matrix(part["vec"], width), part)
                 times = where.count[leaf]
                 q, at = np.repeat(q, times), np.repeat(where.first[leaf], times)
                 at = at + (np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times))
@@ -284,7 +339,6 @@ def block_join(
     columns = ", ".join(f"`{c}` {kinds[c]}" for c in ["key", "vec", *extra])
     lanes = min(16, max(1, -(-shuffle_partitions(spark) // blocks.total)))
     n = min(blocks.total * lanes, 8 * shuffle_partitions(spark))
-    slots = F.lit(even_slots(spark, n))
     own_lane = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(lanes)).cast("int")
     routed = queries.select("key", "vec", *extra).mapInPandas(route, columns + ", block int, leaves binary").withColumn("block", F.col("block") * lanes + own_lane).withColumn("role", F.lit(1)).withColumn("leaf", F.lit(-1))
     first, count = F.lit(blocks.first.tolist()), F.lit(blocks.count.tolist())
@@ -292,7 +346,7 @@ def block_join(
     at = (F.get(first, F.col("leaf")) + spread).cast("int") * lanes
     stored = members.select("key", "vec", *extra, at.alias("block"), F.lit(None).cast("binary").alias("leaves"), F.lit(0).alias("role"), "leaf")
     stored = stored.withColumn("block", F.explode(F.sequence(F.col("block"), F.col("block") + lanes - 1)))
-    met = stored.unionByName(routed).withColumn("slot", F.get(slots, F.pmod("block", F.lit(n)).cast("int"))).repartition(n, "slot").drop("slot").sortWithinPartitions("block", "role", "key")
+    met = stored.unionByName(routed).repartitionById(n, F.pmod("block", F.lit(n)).cast("int")).sortWithinPartitions("block", "role", "key")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, parts, held, by_leaf = None, [], None, {}
@@ -328,3 +382,19 @@ def block_join(
                         yield out
 
     return met.mapInPandas(run, schema)
+
+
+def within_once(reach: float, balls: np.ndarray) -> Callable:
+    """Leaves that may hold rows within ``reach``, for :func:`block_join`; every pair of rows meets once.
+
+    Of two leaves only the rows of one visit the other. Which one depends on both numbers' parity, so each leaf is visited
+    from about half of the others. The rows' own leaf is in their column ``own``.
+    """
+
+    def once(tree: Tree, x: np.ndarray, part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        row, leaf = tree.reachable(x, np.full(len(x), reach + 1e-6), balls)
+        own = part["own"].to_numpy()[row]
+        yes = (own == leaf) | ((own < leaf) == ((own + leaf) % 2 == 0))
+        return row[yes], leaf[yes]
+
+    return once
