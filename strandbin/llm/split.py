@@ -60,8 +60,15 @@ def cut_texts(df: DataFrame, text: str, limit: int, fill: int, overlap: int, bou
 
     Null stays null and an empty text gives an empty array. A column ``pieces`` of ``df`` is replaced.
     """
+    cols = [F.col(f"`{c}`") for c in df.columns if c != "pieces"]
     t = F.col(f"`{text}`")
-    parts = piece_lengths(t, limit, fill, overlap, boundaries)
-    ends = F.transform(parts, lambda _, i: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x))
-    pieces = F.transform(ends, lambda e, i: F.substring(t, F.when(i == 0, F.lit(1)).otherwise(F.element_at(ends, i) - overlap + 1), e - F.when(i == 0, F.lit(0)).otherwise(F.element_at(ends, i) - overlap)))
-    return df.withColumn("pieces", F.when(t == "", F.array().cast("array<string>")).otherwise(pieces))
+    sized = df.select(*cols, piece_lengths(t, limit, fill, overlap, boundaries).alias("pieces"))
+    # One pass over the lengths: the pieces so far and where the last of them ends.
+    start = F.struct(F.array().cast("array<string>").alias("pieces"), F.lit(0).alias("end"))
+
+    def add(acc: Column, part: Column) -> Column:
+        back = F.when(acc["end"] > 0, overlap).otherwise(0)
+        return F.struct(F.concat(acc["pieces"], F.array(F.substring(t, acc["end"] - back + 1, part + back))).alias("pieces"), (acc["end"] + part).alias("end"))
+
+    cut = F.aggregate("pieces", start, add, lambda acc: acc["pieces"])
+    return sized.select(*cols, F.when(t == "", F.array().cast("array<string>")).otherwise(cut).alias("pieces"))

@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from strandbin.runtime import stage, unstage
 
 LONG_MIN = -(2**63)
-#: A group's rows are dealt to one more salt for each so many of its rows when they meet the group's interval.
+#: A group's rows are dealt to one more salt for each so many of its rows wherever they meet their group.
 ROWS_PER_SALT = 200_000
+#: Groups of several salts, at most: of a table of r rows no more than so many can have over r / MOST_HOT rows each, which
+#: is then what a salt holds. They are broadcast.
+MOST_HOT = 100_000
 
 
 def order_code(score: Column) -> Column:
@@ -43,6 +46,11 @@ def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in names])
 
 
+def _each_salt(groups: DataFrame) -> DataFrame:
+    """One row for each salt of a group."""
+    return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+
+
 def top_n_per_group(df: DataFrame, groups: list[str], score: str, ident: str, n: int, ways: int = 64, unique: bool = False) -> DataFrame:
     """Per group the ``n`` rows of the highest score; of equal scores the smaller identifier comes first.
 
@@ -59,21 +67,26 @@ def top_n_per_group(df: DataFrame, groups: list[str], score: str, ident: str, n:
     if not unique:
         rows = rows.groupBy(*g, "ident").agg(F.max("score").alias("score"))
     rows = stage(rows.select(*g, "score", "ident", order_code(F.col("score")).alias("s"), F.bitwise_not("ident").alias("t")), "topn-rows")
-    large = (
-        rows.groupBy(*g)
-        .agg(F.count(F.lit(1)).alias("size"), F.min("s").alias("lo"), F.max("s").alias("hi"), F.min("t").alias("lo_t"), F.max("t").alias("hi_t"))
-        .where(F.col("size") > n)
-        .select(*g, "lo", "hi", "lo_t", "hi_t", F.lit(n).cast("bigint").alias("need"), F.ceil(F.col("size") / ROWS_PER_SALT).cast("int").alias("salts"))
+    sizes = stage(
+        rows.groupBy(*g).agg(F.count(F.lit(1)).alias("size"), F.min("s").alias("lo"), F.max("s").alias("hi"), F.min("t").alias("lo_t"), F.max("t").alias("hi_t")), "topn-sizes"
     )
-    state = large = stage(large, "topn-large")
-    on = _same(rows, large, g)
-    small = rows.join(large, on, "left_anti")
-    active = rows.join(large, on).select(*[rows[c] for c in g], "s", "t", F.pmod(F.xxhash64("t"), F.col("salts")).cast("int").alias("salt"))
-    active = stage(active, "topn-active")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    per_salt = max(ROWS_PER_SALT, total // MOST_HOT + 1)
+    salts = F.ceil(F.col("size") / per_salt).cast("int")
+    hot = F.broadcast(sizes.where(F.col("size") > per_salt).select(*g, salts.alias("salts")))
+    salt = F.pmod(F.xxhash64("t"), F.coalesce("salts", F.lit(1))).cast("int")
+    salted = rows.join(hot, _same(rows, hot, g), "left").select(*[rows[c] for c in g], "score", "ident", "s", "t", salt.alias("salt"))
+    state = sizes.where(F.col("size") > n).select(*g, "lo", "hi", "lo_t", "hi_t", F.lit(n).cast("bigint").alias("need"), salts.alias("salts"))
+    large = _each_salt(state.select(*g, "salts")).withColumn("large", F.lit(True))
+    met = salted.join(large, _same(salted, large, [*g, "salt"]), "left").select(*[salted[c] for c in (*g, "salt")], "score", "ident", "s", "t", F.coalesce("large", F.lit(False)).alias("large"))
+    met = stage(met, "topn-met")
+    unstage(rows)
+    small, whole = met.where("not large"), met.where("large").select(*g, "salt", "score", "ident", "s", "t")
+    active = whole.select(*g, "salt", "s", "t")
     cuts: list[DataFrame] = []
     while state.limit(1).count():
-        salted = state.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        met = active.join(salted, _same(active, salted, g) & (active["salt"] == salted["salt"])).select(*[active[c] for c in g], active["salt"], "s", "t", "lo", "hi", "lo_t", "hi_t", "need", "salts")
+        dealt = _each_salt(state)
+        met = active.join(dealt, _same(active, dealt, [*g, "salt"])).select(*[active[c] for c in g], "s", "t", "lo", "hi", "lo_t", "hi_t", "need", "salts")
         in_tie = F.col("lo") == F.col("hi")
         met = met.where(F.col("s").between(F.col("lo"), F.col("hi")) & (~in_tie | F.col("t").between(F.col("lo_t"), F.col("hi_t"))))
         slot = F.when(in_tie, _above(F.col("t"), F.col("lo_t"), F.col("hi_t"), ways)).otherwise(_above(F.col("s"), F.col("lo"), F.col("hi"), ways))
@@ -86,17 +99,17 @@ def top_n_per_group(df: DataFrame, groups: list[str], score: str, ident: str, n:
         counted = counted.withColumn("upto", F.sum("c").over(above)).where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("c") < F.col("need")))
         counted = stage(counted, "topn-state")
         exact = F.col("upto") == F.col("need")
-        cuts.append(counted.where(exact).select(*g, F.col("lo").alias("cut"), F.when(F.col("tie"), F.col("lo_t")).otherwise(F.lit(LONG_MIN)).alias("cut_t")))
+        cuts.append(counted.where(exact).select(*g, "salts", F.col("lo").alias("cut"), F.when(F.col("tie"), F.col("lo_t")).otherwise(F.lit(LONG_MIN)).alias("cut_t")))
         state = counted.where(~exact).select(*g, "lo", "hi", "lo_t", "hi_t", (F.col("need") - F.col("upto") + F.col("c")).alias("need"), "salts")
         if len(cuts) % 2 == 0:  # the rows still in question are a small part of those before
-            keep = state.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-            left = active.join(keep, _same(active, keep, g) & (active["salt"] == keep["salt"]) & active["s"].between(keep["lo"], keep["hi"]), "left_semi")
-            left = stage(left, "topn-active")
-            unstage(active)
+            keep = _each_salt(state)
+            left = stage(active.join(keep, _same(active, keep, [*g, "salt"]) & active["s"].between(keep["lo"], keep["hi"]), "left_semi"), "topn-active")
+            if len(cuts) > 2:
+                unstage(active)
             active = left
     out = small.select(*g, "ident", "score")
     if cuts:
-        cut = reduce(DataFrame.unionByName, cuts)
-        inside = rows.join(cut, _same(rows, cut, g)).where((F.col("s") > F.col("cut")) | ((F.col("s") == F.col("cut")) & (F.col("t") >= F.col("cut_t"))))
-        out = out.unionByName(inside.select(*[rows[c] for c in g], "ident", "score"))
+        cut = _each_salt(reduce(DataFrame.unionByName, cuts))
+        inside = whole.join(cut, _same(whole, cut, [*g, "salt"])).where((F.col("s") > F.col("cut")) | ((F.col("s") == F.col("cut")) & (F.col("t") >= F.col("cut_t"))))
+        out = out.unionByName(inside.select(*[whole[c] for c in g], "ident", "score"))
     return out.select(*[F.col(a).alias(c) for a, c in zip(g, groups)], F.col("ident").alias(ident), F.col("score").alias(score))

@@ -38,6 +38,16 @@ def test_all_equal_and_salts(spark, monkeypatch):
     assert _got(spark, rows, 5, unique=True) == {("a", "b", i, 1.0) for i in range(5)}
 
 
+def test_salted_groups_with_nulls(spark, monkeypatch):
+    monkeypatch.setattr(topn, "ROWS_PER_SALT", 50)
+    r = random.Random(4)
+    rows = [(r.choice(["hot", "hot", "hot", None, "b"]), r.choice(["x", None]), r.choice([1.0, 2.0, round(r.uniform(-9, 9), 1)]), i) for i in range(1500)]
+    for n in (1, 7, 120):
+        assert _got(spark, rows, n) == _want(rows, n)
+    monkeypatch.setattr(topn, "MOST_HOT", 2)  # more rows a salt, so that fewer groups have several
+    assert _got(spark, rows, 7) == _want(rows, 7)
+
+
 def test_empty(spark):
     assert _got(spark, [("a", "b", None, 1)], 3) == set()
     df = spark.createDataFrame([], "g string, score double, no long")
