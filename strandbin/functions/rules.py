@@ -11,20 +11,24 @@ from pyspark.sql import functions as F
 SCALE_LIMITS, SCALES = (750, 3000, 7500, 30000), (500, 1000, 5000, 10000, 50000)
 
 
+# The suffixes of fragment names (contig, then half and number, number, or "original").
+HALF_SUFFIX, OTHER_SUFFIX, ANY_SUFFIX = r"^(.+)\.h[12]\.\d+$", r"^(.+)\.(?:\d+|original)$", r"^(.+)\.(?:h[12]\.\d+|\d+|original)$"
+
+
 def first_word(header: Column) -> Column:
     return F.split(F.trim(header), r"\s+")[0]
 
 
 def base_name(fragment: Column) -> Column:
     """A fragment's contig by its name's suffix: .h1.N, .h2.N, .N or .original."""
-    half = F.regexp_extract(fragment, r"^(.+)\.h[12]\.\d+$", 1)
-    other = F.regexp_extract(fragment, r"^(.+)\.(?:\d+|original)$", 1)
+    half = F.regexp_extract(fragment, HALF_SUFFIX, 1)
+    other = F.regexp_extract(fragment, OTHER_SUFFIX, 1)
     return F.when(half != "", half).when(other != "", other).otherwise(fragment)
 
 
 def pair_group(fragment: Column) -> Column:
     """The greedy reading of the suffix, under which each half of a long contig is a group of its own."""
-    base = F.regexp_extract(fragment, r"^(.+)\.(?:h[12]\.\d+|\d+|original)$", 1)
+    base = F.regexp_extract(fragment, ANY_SUFFIX, 1)
     return F.when(base != "", base).otherwise(fragment)
 
 
@@ -74,19 +78,11 @@ def overlap_share(s1: Column, l1: Column, s2: Column, l2: Column) -> Column:
 
 
 def refinement_k(duplicated: Column, contigs: Column) -> Column:
-    """Sub-bins to look for: one per copy of the most frequent family, at least 2, fewer if there are too few contigs."""
+    """Sub-bins to look for: one per duplicated gene, at least 2 (so if unknown), fewer if there are too few contigs."""
     k = F.greatest(F.lit(2), F.coalesce(duplicated, F.lit(2)))
     return F.when(contigs < k, F.greatest(F.lit(2), contigs - 1)).otherwise(k)
 
 
-def encoder_width(coverage_columns: int) -> tuple[int, int]:
-    n = max(1, coverage_columns // 2)
-    for limit, widths in ((2, (32, 16)), (5, (64, 32)), (10, (128, 64))):
-        if n <= limit:
-            return widths
-    return 256, 128
-
-
 def learning_rate(epoch: int, epochs: int, peak: float, warmup: int = 10, start: float = 0.1, end: float = 0.01) -> float:
     """Linear from ``start * peak`` up to ``peak``, then half a cosine down to ``end * peak``."""
     if epoch < warmup:
@@ -101,9 +97,3 @@ def learning_rate_at(epoch: Column, epochs: int, peak: float, warmup: int = 10,
     up = start + (1 - start) * epoch / warmup
     down = end + (1 - end) * 0.5 * (1 + F.cos(F.lit(math.pi) * (epoch - warmup) / max(epochs - warmup, 1)))
     return F.lit(peak) * F.when(epoch < warmup, up).otherwise(down if epochs > warmup else F.lit(1.0))
-
-
-def hash_share(*parts: Column | str) -> Column:
-    """A number in [0, 1) from the md5 digest of the joined parts; the same in any engine with md5."""
-    joined = F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    return F.conv(F.substring(F.md5(joined), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from strandbin.functions.rules import cosine_distance
 
 PERMUTATIONS, ALPHA = 1000, 0.05
+#: Fragments that a half of a contig may have; augmentation gives at most 32.
+MOST_FRAGMENTS = 256
 
 
 def half_distances(fragments: DataFrame) -> DataFrame:
     """``contig, kind, first, second, distance`` from ``contig, half, fragment, v``: all pairs within and between halves.
 
-    The pairs of a contig are as many as its augmented fragments allow (eight in each half by default).
+    The pairs of a contig are as many as its augmented fragments allow (eight in each half by default); more than
+    ``MOST_FRAGMENTS`` in a half are an error.
     """
     rows = fragments.where("half in ('h1', 'h2') and v is not null")
+    sizes = rows.groupBy("contig", "half").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_FRAGMENTS)
+    if sizes.limit(1).count():
+        raise ValueError(f"a half of a contig has more than {MOST_FRAGMENTS} fragments")
     a, b = rows.alias("a"), rows.alias("b")
     met = a.join(b, (F.col("a.contig") == F.col("b.contig")) & (F.struct("a.half", "a.fragment") < F.struct("b.half", "b.fragment")))
     kind = F.when(F.col("a.half") == F.col("b.half"), F.col("a.half")).otherwise("between")
@@ -49,14 +55,17 @@ def chimera_test(distances: DataFrame, permutations: int = PERMUTATIONS, alpha:
     A permutation gives the first ``within`` distances in the order of a digest of pair and permutation to the inner group.
     """
     observed = chimera_statistics(distances)
-    order = F.md5(F.concat_ws("|", "first", "second", F.col("perm").cast("string")))
-    pairs = distances.join(observed.select("contig", "within"), "contig")
-    drawn = pairs.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).groupBy("contig", "perm", "within").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), "distance"))).alias("d"))
-    d = F.transform("d", lambda x: x["distance"])
+    pair = F.struct(F.concat_ws("|", "first", "second").alias("pair"), "distance")
+    held = distances.groupBy("contig").agg(F.collect_list(pair).alias("d")).join(observed, "contig")  # see MOST_FRAGMENTS
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    w = F.col("within").cast("int")
-    s1, all_of = total(F.slice(d, F.lit(1), w)), total(d)
-    squares = total(F.transform(d, lambda x: x * x))
-    f = drawn.select("contig", "perm", f_statistic(w, s1, F.size(d) - w, all_of - s1, squares).alias("drawn_f"))
-    share = f.join(observed, "contig").groupBy("contig").agg(F.first("f").alias("f"), F.avg((F.col("drawn_f") >= F.col("f") - 1e-9).cast("double")).alias("p"))
+    w, n = F.col("within").cast("int"), F.size("d")
+    held = held.withColumn("sum", total(F.transform("d", lambda x: x["distance"]))).withColumn("squares", total(F.transform("d", lambda x: x["distance"] * x["distance"])))
+
+    def drawn(perm: Column) -> Column:
+        keyed = F.sort_array(F.transform("d", lambda x: F.struct(F.md5(F.concat_ws("|", x["pair"], perm.cast("string"))).alias("o"), x["distance"].alias("distance"))))
+        s1 = total(F.transform(F.slice(keyed, F.lit(1), w), lambda x: x["distance"]))
+        return (f_statistic(w, s1, n - w, F.col("sum") - s1, F.col("squares")) >= F.col("f") - 1e-9).cast("int")
+
+    hits = F.aggregate(F.sequence(F.lit(1), F.lit(permutations)), F.lit(0), lambda a, perm: a + drawn(perm))
+    share = held.select("contig", "f", (hits / permutations).alias("p"))
     return share.select("contig", "f", "p", (F.col("p") < alpha).alias("is_chimera"))

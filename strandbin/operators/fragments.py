@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandbin.operators.skew import number_rows
-from strandbin.runtime import shuffle_partitions
+from strandbin.runtime import shuffle_partitions, stage
 
 #: Largest overlap of two accepted fragments as a share of the longer; attempts per fragment wanted; length from which a
 #: contig is augmented by halves.
@@ -71,12 +71,37 @@ def augment_fragments(contigs: DataFrame, least: int, wanted: int = 8, max_overl
     return out
 
 
-def positive_pairs(rows: DataFrame, group: str, member: str, cap: int) -> DataFrame:
+#: Draws of a group that one row stands for before it is exploded.
+DRAWS = 65_536
+
+
+def _numbers(df: DataFrame, number: str, name: str) -> DataFrame:
+    """``df`` with a row for each of 0 to ``number`` - 1; rows of 0 are left out."""
+    blocks = df.where(F.col(number) > 0).withColumn("block_", F.explode(F.sequence(F.lit(0).cast("long"), F.col(number) - 1, F.lit(DRAWS).cast("long"))))
+    inside = F.sequence(F.col("block_"), F.least(F.col("block_") + F.lit(DRAWS).cast("long"), F.col(number)) - 1)
+    return blocks.withColumn(name, F.explode(inside)).drop("block_")
+
+
+def _quotas(sizes: DataFrame, total: int, cap: int) -> DataFrame:
+    """``g, n, pairs, quota``: shares of the cap in proportion to the pairs; quotas sum to the cap, the largest fractions first.
+
+    The groups are ranked by :func:`number_rows`, which cuts one order over all groups into range partitions.
+    """
+    exact = F.col("pairs").cast("decimal(38,0)") * F.lit(cap).cast("decimal(19,0)")
+    shares = sizes.withColumn("quota", F.floor(exact / F.lit(total)).cast("long")).withColumn("rest", (exact % F.lit(total)).cast("long"))
+    shares = stage(shares.withColumn("all", F.lit(0)).withColumn("back", -F.col("rest")), "pair-shares")
+    left = cap - shares.agg(F.sum("quota")).first()[0]
+    ranked = number_rows(shares, "all", ["back", "g"])
+    return ranked.select("g", "pairs", (F.col("quota") + (F.col("row_no") < left).cast("long")).alias("quota"))
+
+
+def positive_pairs(rows: DataFrame, group: str, member: str, cap: int, seed: int = 0) -> DataFrame:
     """``<group>, first, second``: pairs of members of one group; all of them if they are no more than ``cap``.
 
-    Otherwise each group gets a share of the cap in proportion to its number of pairs (at least one), evenly spread over
-    the numbered pairs, so that a group of n members costs its share of the cap and not n squared. Members are numbered by
-    name within their group; groups of one member have no pairs, repeated rows count once.
+    Otherwise ``cap`` of them. Each group gets a share of the cap in proportion to its number of pairs, which may be none, and
+    draws as many of its numbered pairs without replacement, by a digest of group, draw and ``seed``; of a group that gives
+    more than half of its pairs those left out are drawn. So a group of n members costs its share of the cap and not n
+    squared. Members are numbered by name within their group; groups of one member have no pairs, repeated rows count once.
     """
     members = rows.where(F.col(group).isNotNull() & F.col(member).isNotNull()).select(F.col(group).alias("g"), F.col(member).alias("m")).distinct()
     sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("pairs", F.expr("n * (n - 1) div 2"))
@@ -85,13 +110,25 @@ def positive_pairs(rows: DataFrame, group: str, member: str, cap: int) -> DataFr
     if total <= cap:
         a, b = numbered.alias("a"), numbered.alias("b")
         return a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.i") < F.col("b.i"))).select(F.col("a.g").alias(group), F.col("a.m").alias("first"), F.col("b.m").alias("second"))
-    quota = F.greatest(F.lit(1), F.least(F.col("pairs"), F.floor(F.col("pairs") * F.lit(cap / total)))).cast("long")
-    taken = sizes.withColumn("quota", quota).select("g", "pairs", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1)).alias("t"))
-    rank = F.expr("t * pairs div quota")
+    quotas = stage(_quotas(sizes.select("g", "pairs"), total, cap).where("quota > 0"), "pair-quotas")
+    # Twice as many draws as are wanted, of at most half of the pairs: far more distinct ones than needed.
+    wanted = quotas.withColumn("drawn", F.least("quota", F.col("pairs") - F.col("quota"))).withColumn("draws", F.when(F.col("drawn") > 0, 2 * F.col("drawn") + 64).otherwise(F.lit(0)))
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("g"), F.col("t").cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
+    drawn = _numbers(wanted, "draws", "t").select("g", "drawn", (digest % F.col("pairs")).alias("r"), "t").groupBy("g", "drawn", "r").agg(F.min("t").alias("t"))
+    drawn = stage(number_rows(drawn, "g", ["t"]).where("row_no < drawn").select("g", "r"), "pair-draws")
+    few = F.col("quota") * 2 <= F.col("pairs")
+    kept = drawn.join(quotas.where(few).select("g"), "g", "left_semi")
+    rest = _numbers(quotas.where(~few), "pairs", "r").select("g", "r").join(drawn, ["g", "r"], "left_anti")
     # Pair number r is (j, i) with i < j and r = j (j - 1) / 2 + i.
     j = F.floor((1 + F.sqrt(1.0 + 8.0 * F.col("r"))) / 2)
-    at = taken.select("g", rank.alias("r")).withColumn("j", j).withColumn("j", F.when(F.expr("j * (j - 1) div 2 > r"), F.col("j") - 1).when(F.expr("j * (j + 1) div 2 <= r"), F.col("j") + 1).otherwise(F.col("j")).cast("long"))
+    at = kept.unionByName(rest).withColumn("j", j).withColumn("j", F.when(F.expr("j * (j - 1) div 2 > r"), F.col("j") - 1).when(F.expr("j * (j + 1) div 2 <= r"), F.col("j") + 1).otherwise(F.col("j")).cast("long"))
     at = at.withColumn("i", F.expr("r - j * (j - 1) div 2"))
     first = at.join(numbered.select("g", F.col("i").cast("long").alias("i"), F.col("m").alias("first")), ["g", "i"])
     both = first.join(numbered.select("g", F.col("i").cast("long").alias("j"), F.col("m").alias("second")), ["g", "j"])
     return both.select(F.col("g").alias(group), "first", "second")
+
+
+def shuffled(pairs: DataFrame, seed: int, *columns: str) -> DataFrame:
+    """The rows in the order of a seeded digest of ``columns``, range-partitioned: another order for every seed (epoch)."""
+    order = F.md5(F.concat_ws("|", *columns, F.lit(str(seed))))
+    return pairs.orderBy(order, *columns)

@@ -61,8 +61,8 @@ def annotated(bins: DataFrame, duplications: DataFrame) -> DataFrame:
 def refinement_targets(quality: DataFrame, duplications: DataFrame) -> DataFrame:
     """``cluster, contigs, k, status``: flagged bins, the sub-bins to look for, and ``skipped`` if there are too few contigs."""
     flagged = quality.where("has_duplicated_core_genes").where(F.col("cluster") != NOISE).groupBy("cluster").agg(F.countDistinct("contig").alias("contigs"))
-    joined = flagged.join(duplications.select("cluster", "most_copies"), "cluster", "left")
-    k = refinement_k(F.col("most_copies"), F.col("contigs")).cast("int")
+    joined = flagged.join(duplications.select("cluster", "duplicated_count"), "cluster", "left")
+    k = refinement_k(F.col("duplicated_count"), F.col("contigs")).cast("int")
     return joined.select("cluster", "contigs", k.alias("k"), F.when(F.col("contigs") < 2, "skipped").otherwise("eligible").alias("status"))
 
 

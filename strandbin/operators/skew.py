@@ -18,6 +18,9 @@ from pyspark.sql import types as T
 
 from strandbin.runtime import shuffle_partitions, stage
 
+#: Rows of a key that meet their key's row in one task, about; and keys dealt to several tasks, at most, which are broadcast:
+#: of a table of r rows no more than MOST_HOT keys can have over r / MOST_HOT rows each, which is then what a task gets.
+ROWS_PER_SALT, MOST_HOT = 1_000_000, 100_000
 STATE_SCHEMA = "pid int, key string, row_count long, value_count long, distinct_values long, first_value {v}, last_value {v}, max_step double"
 
 
@@ -149,11 +152,11 @@ def number_rows(df: DataFrame, key: str, order: list[str], partitions: int | Non
 
     As ``row_number`` over a window of the key, but a heavy key is cut into as many partitions as its rows need: numbers are
     first given within each partition, and a key's counts in the partitions before are added. Rows of a null key are left
-    out. Rows that agree in key and order have an arbitrary order among them. A column ``row_no`` of ``df`` is replaced.
+    out. Rows that agree in key and order have an arbitrary order among them, and may lie in several partitions too. A column ``row_no`` of ``df`` is replaced.
     """
     n = partitions or shuffle_partitions(df.sparkSession)
     cols = [c for c in df.columns if c != "row_no"]
-    ranged = df.where(F.col(f"`{key}`").isNotNull()).select(*[F.col(f"`{c}`") for c in cols]).repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
+    ranged = df.where(F.col(f"`{key}`").isNotNull()).select(*[F.col(f"`{c}`") for c in cols]).withColumn("row_id_", F.monotonically_increasing_id()).repartitionByRange(n, key, *order, "row_id_").sortWithinPartitions(key, *order, "row_id_").drop("row_id_")
     kinds = ", ".join(f"`{c}` {t}" for c, t in ranged.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,3 +179,18 @@ def number_rows(df: DataFrame, key: str, order: list[str], partitions: int | Non
     offsets = counts.select(key, "pid_", before.alias("before")).where("before > 0")
     joined = numbered.join(F.broadcast(offsets), [key, "pid_"], "left")
     return joined.select(*cols, (F.col("own_no") + F.coalesce("before", F.lit(0))).alias("row_no"))
+
+
+def join_by_key(rows: DataFrame, per_key: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``per_key``, a table of one row per key, by a column that a few keys may fill.
+
+    A key's rows are dealt to salts by their number, and its row in ``per_key`` goes to each of them. ``how`` is ``inner`` or
+    ``left``. The key comes first, then the other columns of both tables, whose names must differ.
+    """
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_"))
+    per_salt = max(ROWS_PER_SALT, rows.count() // MOST_HOT + 1)
+    hot = F.broadcast(stage(sizes.where((F.col("n_") > per_salt) & F.col(key).isNotNull()).select(key, F.ceil(F.col("n_") / per_salt).cast("int").alias("salts_")), "hot-keys"))
+    others = [c for c in rows.columns if c != key]
+    dealt = rows.join(hot, key, "left").withColumn("salt_", F.pmod(F.xxhash64(*others), F.coalesce("salts_", F.lit(1))).cast("int")).drop("salts_")
+    copies = per_key.join(hot, key, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), F.coalesce("salts_", F.lit(1)) - 1))).drop("salts_")
+    return dealt.join(copies, [key, "salt_"], how).drop("salt_")

@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from strandbin.functions import rules
 from strandbin.operators import classify as cl
 from strandbin.operators import quality as q
+from strandbin.operators.cluster import split_groups
 from strandbin.operators.fragments import positive_pairs as pairs_of
-from strandbin.operators.skew import number_rows
+from strandbin.operators.skew import join_by_key, number_rows
 from strandbin.params import Params
 from strandbin.plans import views as v
 from strandbin.plans.views import with_views
-from strandbin.runtime import table
+from strandbin.runtime import stage, table
 
-LEAST_COVERAGE, LEAST_IDENTITY, LEAST_BIN = 0.3, 0.5, 10_000
+LEAST_COVERAGE, LEAST_IDENTITY, LEAST_BIN = 0.5, 0.5, 10_000
+#: Epochs, peak learning rate and pairs of a training batch.
+EPOCHS, PEAK, BATCH = 400, 0.0128, 2048
 
 
 def gene_family(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,9 +45,11 @@ def fragment_ratio(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lr_schedule(spark: SparkSession, folder: str) -> DataFrame:
-    """The learning rate of each epoch, an epoch for every ordinal that fragments have, of 400."""
-    epochs = table(spark, folder, "fragments").where("ordinal < 400").select(F.col("ordinal").alias("epoch")).distinct()
-    return epochs.withColumn("rate", F.round(rules.learning_rate_at(F.col("epoch"), 400, 0.0128), 9))
+    """The learning rate of each epoch, and the batches of positive pairs trained on until its end; a short last one is left out."""
+    n = _feature_members(spark, folder).distinct().groupBy("contig").agg(F.count(F.lit(1)).alias("n"))
+    batches = n.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("pairs")).select(F.expr(f"pairs div {BATCH}").alias("each"))
+    epochs = batches.select("each", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))).alias("epoch"))
+    return epochs.select("epoch", F.round(rules.learning_rate_at(F.col("epoch"), EPOCHS, PEAK), 9).alias("rate"), (F.col("each") * (F.col("epoch") + 1)).alias("batches"))
 
 
 def frag_original(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,7 +65,7 @@ def positive_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pairs_capped(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of all fragments, spread over the contigs in proportion to their pairs, about five per hundred fragments."""
+    """A twentieth as many pairs as fragments, drawn over the contigs in proportion to their pairs."""
     members = v.fragments(spark, folder)
     return pairs_of(members, "contig", "fragment", max(1, members.select("fragment").distinct().count() // 20))
 
@@ -85,7 +90,7 @@ def bacterial_filter_fallback(spark: SparkSession, folder: str) -> DataFrame:
 
 def score_summary(spark: SparkSession, folder: str) -> DataFrame:
     kind = cl.predicted_class()
-    return v.scores(spark, folder).withColumn("kind", kind).groupBy("kind").agg(F.count(F.lit(1)).alias("contigs"), F.count_if(F.col("eukaryotic") > 0.5).alias("likely_eukaryotic"), F.count_if(cl.is_bacterial()).alias("dropped"), F.round(F.avg("eukaryotic"), 6).alias("mean_eukaryotic"))
+    return v.scores(spark, folder).withColumn("kind", kind).groupBy("kind").agg(F.count(F.lit(1)).alias("contigs"), F.count_if(F.col("eukaryotic") > cl.HIGH).alias("surely_eukaryotic"), F.count_if(cl.is_bacterial()).alias("dropped"), F.round(F.avg("eukaryotic"), 6).alias("mean_eukaryotic"))
 
 
 def _best(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,9 +109,9 @@ def cluster_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cluster_sets(spark: SparkSession, folder: str) -> DataFrame:
-    """Contigs of each bin as one text; the noise group is left out, as in its SQL. :func:`cluster_members` has every group."""
-    found = v.bins(spark, folder).where(F.col("cluster") != q.NOISE).groupBy("cluster").agg(F.sort_array(F.collect_set("contig")).alias("c"))
-    return found.select("cluster", F.size("c").alias("contigs"), F.array_join("c", ",").alias("members"))
+    """The set of contigs of every group, noise too, one row each with the size of the group; no set lies in one row."""
+    members = v.bins(spark, folder).select("cluster", "contig").distinct()
+    return join_by_key(members, members.groupBy("cluster").agg(F.count(F.lit(1)).alias("contigs")), "cluster")
 
 
 def cluster_members(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,21 +162,41 @@ def refine_eligibility(spark: SparkSession, folder: str) -> DataFrame:
 def refine_k(spark: SparkSession, folder: str) -> DataFrame:
     """Sub-bins to look for in every bin with marker genes, flagged or not."""
     sizes = v.bins(spark, folder).groupBy("cluster").agg(F.count(F.lit(1)).alias("contigs"))
-    return sizes.join(_duplications(spark, folder), "cluster").select("cluster", rules.refinement_k(F.col("most_copies"), F.col("contigs")).cast("int").alias("k"))
+    return sizes.join(_duplications(spark, folder), "cluster").select("cluster", rules.refinement_k(F.col("duplicated_count"), F.col("contigs")).cast("int").alias("k"))
 
 
-def _later_rounds(spark: SparkSession, folder: str) -> DataFrame:
-    return v.bins(spark, folder).where("original_bin is not null").select("contig", "cluster", F.lower(F.trim("original_bin")).alias("original_bin"))
+def later_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Bins of an earlier run's later rounds by the bin they came from."""
+    later = v.bins(spark, folder).where("original_bin is not null and cluster <> 'noise'").select("cluster", F.lower(F.trim("original_bin")).alias("original_bin"))
+    return later.groupBy("original_bin").agg(F.countDistinct("cluster").alias("sub_bins"), F.count(F.lit(1)).alias("contigs"))
+
+
+def _refined(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The assignment, and the refinement of its flagged bins by k-means of their contigs' vectors."""
+    bins = v.bins(spark, folder).select("contig", "cluster")
+    dup = stage(_duplications(spark, folder), "duplications")
+    k = q.refinement_targets(q.annotated(bins, dup), dup).where("status = 'eligible'").select(F.col("cluster").alias("grp"), "k")
+    rows = bins.join(v.vectors(spark, folder), "contig").select(F.col("cluster").alias("grp"), F.col("contig").alias("key"), "v")
+    found = split_groups(rows, stage(k, "targets"))
+    return bins, found.select(F.col("key").alias("contig"), F.concat("grp", F.lit("_refined_bin_"), F.col("label").cast("string")).alias("cluster"), F.col("grp").alias("original_bin"))
+
+
+def refine_kmeans(spark: SparkSession, folder: str) -> DataFrame:
+    """Sub-bins of the flagged bins that have enough contigs."""
+    return _refined(spark, folder)[1]
 
 
 def refine_subbins(spark: SparkSession, folder: str) -> DataFrame:
-    """Bins of later rounds by the bin they came from."""
-    return _later_rounds(spark, folder).where(F.col("cluster") != q.NOISE).groupBy("original_bin").agg(F.countDistinct("cluster").alias("sub_bins"), F.count(F.lit(1)).alias("contigs"))
+    """Per refined bin: its sub-bins, how many contigs they have, and how many of them still hold a gene twice."""
+    refined = stage(_refined(spark, folder)[1], "refined")
+    still = q.duplicated_genes(q.family_counts(refined.select("contig", "cluster"), _best(spark, folder))).where("has_duplications").select("cluster", F.lit(1).alias("still"))
+    return refined.join(still, "cluster", "left").groupBy("original_bin").agg(F.countDistinct("cluster").alias("sub_bins"), F.count(F.lit(1)).alias("contigs"), F.countDistinct(F.when(F.col("still") == 1, F.col("cluster"))).alias("still_duplicated"))
 
 
 def refine_merge(spark: SparkSession, folder: str) -> DataFrame:
-    bins = v.bins(spark, folder)
-    return q.merge_refined(bins.where("original_bin is null"), _later_rounds(spark, folder))
+    """The assignment after one round: bins that fell into several are replaced, all others stay."""
+    bins, refined = _refined(spark, folder)
+    return q.merge_refined(bins, stage(refined, "refined"))
 
 
 def bins_final(spark: SparkSession, folder: str) -> DataFrame:
@@ -196,7 +221,7 @@ def pipeline_summary(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (gene_family, safe_ratio, interval_overlap, fragment_ratio, lr_schedule, frag_original, positive_pairs, pairs_capped, pairs_of_all, predicted_class, bacterial_filter, bacterial_filter_fallback, score_summary, paf_best, cluster_labels, cluster_sets, cluster_members, cluster_counts, contig_lookup, bin_sizes, gene_family_counts, duplicated_genes, bins_annotated, contaminated_bins, refine_eligibility, refine_k, refine_subbins, refine_merge, bins_final, recluster_rule, pipeline_summary)}
+QUERIES = {f.__name__: f for f in (gene_family, safe_ratio, interval_overlap, fragment_ratio, lr_schedule, frag_original, positive_pairs, pairs_capped, pairs_of_all, predicted_class, bacterial_filter, bacterial_filter_fallback, score_summary, paf_best, cluster_labels, cluster_sets, cluster_members, cluster_counts, contig_lookup, bin_sizes, gene_family_counts, duplicated_genes, bins_annotated, contaminated_bins, refine_eligibility, refine_k, refine_kmeans, refine_subbins, refine_merge, later_rounds, bins_final, recluster_rule, pipeline_summary)}
 
 _BEST = f"""scored AS (SELECT line_no, contig, upper(trim(gene_family)) AS gene_family, (target_end - target_start)::DOUBLE / target_length AS cov, matches::DOUBLE / alignment_length AS ident
             FROM lines WHERE gene_family IS NOT NULL AND target_length > 0 AND alignment_length > 0),
@@ -207,10 +232,28 @@ _DUP = f"""{_BEST}, counts AS (SELECT cluster, gene_family, count(*) AS contigs
                 coalesce(string_agg(gene_family || ':' || contigs, ',' ORDER BY gene_family) FILTER (contigs > 1), '') AS duplicated_genes FROM counts GROUP BY cluster),
         annotated AS (SELECT contig, cluster, coalesce(has_duplications, false) AS has_duplicated_core_genes, coalesce(duplicated_count, 0) AS duplicated_core_genes_count,
                 coalesce(total_genes_found, 0) AS total_core_genes_found FROM bins LEFT JOIN dup USING (cluster))"""
-_K = "(CASE WHEN contigs < greatest(2, most_copies) THEN greatest(2, contigs - 1) ELSE greatest(2, most_copies) END)::INT"
+# The number of duplicated genes, at least 2; one less than the contigs, still at least 2, where there are fewer of them.
+_K = "(CASE WHEN contigs < greatest(2, duplicated_count) THEN greatest(2, contigs - 1) ELSE greatest(2, duplicated_count) END)::INT"
 _KIND = "CASE WHEN viral >= greatest(plasmid, prokaryotic, eukaryotic) THEN 'viral' WHEN plasmid >= greatest(prokaryotic, eukaryotic) THEN 'plasmid' WHEN prokaryotic >= eukaryotic THEN 'prokaryotic' ELSE 'eukaryotic' END"
 _SIZES = f"sizes AS (SELECT cluster, count(*) AS contigs, sum(length)::BIGINT AS bases FROM bins JOIN lengths USING (contig) WHERE cluster <> 'noise' GROUP BY cluster HAVING sum(length) >= {LEAST_BIN})"
-_LATER = "later AS (SELECT contig, cluster, lower(trim(original_bin)) AS original_bin FROM bins WHERE original_bin IS NOT NULL)"
+
+
+
+def _pairs(cap: str) -> str:
+    """Pairs of fragments of one contig, at most ``cap``, from the rules: proportional quotas, draws in order until there are enough."""
+    return with_views("frags", f""", m AS (SELECT contig, fragment, row_number() OVER (PARTITION BY contig ORDER BY fragment) - 1 AS i FROM (SELECT DISTINCT contig, fragment FROM frags)),
+        s AS (SELECT contig, count(*) AS n, count(*) * (count(*) - 1) // 2 AS pairs FROM m GROUP BY contig HAVING count(*) > 1),
+        c AS (SELECT least({cap}, (SELECT sum(pairs) FROM s))::HUGEINT AS cap, (SELECT sum(pairs) FROM s)::HUGEINT AS total),
+        f AS (SELECT contig, pairs, pairs * cap // total AS low, pairs * cap % total AS rest, cap FROM s, c),
+        t AS (SELECT contig, pairs, (low + (row_number() OVER (ORDER BY rest DESC, contig) <= cap - sum(low) OVER ())::INT)::BIGINT AS quota FROM f),
+        d AS (SELECT contig, pairs, quota, least(quota, pairs - quota) AS drawn FROM t WHERE quota > 0),
+        draws AS (SELECT contig, drawn, ('0x' || substr(md5(contig || '|' || t || '|0'), 1, 15))::BIGINT % pairs AS r, t FROM (SELECT contig, pairs, drawn, unnest(range(2 * drawn + 64)) AS t FROM d WHERE drawn > 0)),
+        picked AS (SELECT contig, r FROM (SELECT contig, drawn, r, min(t) AS t FROM draws GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY contig ORDER BY t) <= drawn),
+        r AS (SELECT contig, r FROM picked SEMI JOIN (SELECT contig FROM d WHERE quota * 2 <= pairs) USING (contig)
+              UNION ALL SELECT contig, r FROM (SELECT contig, unnest(range(pairs)) AS r FROM d WHERE quota * 2 > pairs) ANTI JOIN picked USING (contig, r)),
+        ij AS (SELECT contig, r, j + (j * (j + 1) // 2 <= r)::INT - (j * (j - 1) // 2 > r)::INT AS j FROM (SELECT contig, r, floor((1 + sqrt(1.0 + 8.0 * r)) / 2)::BIGINT AS j FROM r))
+        SELECT ij.contig, a.fragment AS first, b.fragment AS second FROM ij JOIN m b ON b.contig = ij.contig AND b.i = j JOIN m a ON a.contig = ij.contig AND a.i = r - j * (j - 1) // 2""")
+
 
 SQL = {
     "gene_family": r"SELECT DISTINCT query, string_split(string_split(query, ' ')[1], ':')[-1] AS family FROM best_alignments",
@@ -219,22 +262,20 @@ SQL = {
         SELECT a.fragment, b.fragment AS next_fragment, round(CASE WHEN greatest(a.length, b.length) > 0 THEN greatest(0, least(a.start_pos + a.length, b.start_pos + b.length) - greatest(a.start_pos, b.start_pos))::DOUBLE / greatest(a.length, b.length) ELSE 0 END, 6) AS share
         FROM f a JOIN f b ON a.contig = b.contig AND a.half IS NOT DISTINCT FROM b.half AND a.ordinal + 1 = b.ordinal"""),
     "fragment_ratio": with_views("frags", "SELECT contig, h1, h2, round(least(h1, h2)::DOUBLE / greatest(h1, h2), 6) AS share FROM (SELECT contig, count(*) FILTER (half = 'h1') AS h1, count(*) FILTER (half = 'h2') AS h2 FROM frags GROUP BY contig) WHERE h1 > 0 AND h2 > 0"),
-    "lr_schedule": "SELECT DISTINCT ordinal AS epoch, round(0.0128::DOUBLE * CASE WHEN ordinal < 10 THEN 0.1 + 0.9 * ordinal / 10::DOUBLE ELSE 0.01 + 0.99 * 0.5 * (1 + cos(pi() * (ordinal - 10) / 390)) END, 9) AS rate FROM fragments WHERE ordinal < 400",
+    "lr_schedule": with_views("frags", """, m AS (SELECT DISTINCT fragment, contig FROM frags SEMI JOIN features USING (fragment)), p AS (SELECT (SELECT count(*) FROM m a JOIN m b ON a.contig = b.contig AND a.fragment < b.fragment) // 2048 AS each),
+        e AS (SELECT unnest(range(400))::INT AS epoch)
+        SELECT epoch, round(0.0128::DOUBLE * CASE WHEN epoch < 10 THEN 0.1 + 0.9 * epoch / 10::DOUBLE ELSE 0.01 + 0.99 * 0.5 * (1 + cos(pi() * (epoch - 10) / 390)) END, 9) AS rate, (epoch + 1) * each AS batches FROM e, p"""),
     "frag_original": with_views("frags", "SELECT DISTINCT contig, fragment FROM frags WHERE kind = 'original'"),
     "positive_pairs": with_views("frags", ", m AS (SELECT DISTINCT fragment, contig FROM frags SEMI JOIN features USING (fragment)) SELECT a.contig, a.fragment AS first, b.fragment AS second FROM m a JOIN m b ON a.contig = b.contig AND a.fragment < b.fragment"),
-    "pairs_capped": with_views("frags", """, m AS (SELECT contig, fragment, row_number() OVER (PARTITION BY contig ORDER BY fragment) - 1 AS i FROM (SELECT DISTINCT contig, fragment FROM frags)),
-        s AS (SELECT contig, count(*) AS n, count(*) * (count(*) - 1) // 2 AS pairs FROM m GROUP BY contig HAVING count(*) > 1),
-        c AS (SELECT greatest(1, (SELECT count(DISTINCT fragment) FROM m) // 20)::DOUBLE / (SELECT sum(pairs) FROM s)::DOUBLE AS share),
-        t AS (SELECT contig, pairs, quota, unnest(range(quota)) AS t FROM (SELECT contig, pairs, greatest(1, least(pairs, floor(pairs * share)))::BIGINT AS quota FROM s, c)),
-        r AS (SELECT contig, t * pairs // quota AS r FROM t)
-        SELECT r.contig, a.fragment AS first, b.fragment AS second FROM r JOIN m b ON b.contig = r.contig AND b.i * (b.i - 1) // 2 <= r AND r < b.i * (b.i + 1) // 2 JOIN m a ON a.contig = r.contig AND a.i = r - b.i * (b.i - 1) // 2"""),
-    "predicted_class": with_views("scores", f"SELECT contig, {_KIND} AS predicted_class FROM scores"),
-    "bacterial_filter": with_views("scores", "SELECT contig FROM scores WHERE NOT (prokaryotic > 0.5 OR plasmid > 0.5)"),
-    "bacterial_filter_fallback": with_views("scores", "SELECT contig FROM scores"),
-    "score_summary": with_views("scores", f"SELECT {_KIND} AS kind, count(*) AS contigs, count(*) FILTER (eukaryotic > 0.5) AS likely_eukaryotic, count(*) FILTER (prokaryotic > 0.5 OR plasmid > 0.5) AS dropped, round(avg(eukaryotic), 6) AS mean_eukaryotic FROM scores GROUP BY 1"),
+    "pairs_capped": _pairs("greatest(1, (SELECT count(DISTINCT fragment) FROM m) // 20)"),
+    "pairs_of_all": _pairs("5000000"),
+    "predicted_class": with_views("lines scores", f"SELECT contig, {_KIND} AS predicted_class FROM scores"),
+    "bacterial_filter": with_views("lines scores", "SELECT contig FROM scores WHERE NOT (prokaryotic > 0.5 OR plasmid > 0.5)"),
+    "bacterial_filter_fallback": with_views("lines scores", "SELECT contig FROM scores"),
+    "score_summary": with_views("lines scores", f"SELECT {_KIND} AS kind, count(*) AS contigs, count(*) FILTER (eukaryotic > 0.95) AS surely_eukaryotic, count(*) FILTER (prokaryotic > 0.5 OR plasmid > 0.5) AS dropped, round(avg(eukaryotic), 6) AS mean_eukaryotic FROM scores GROUP BY 1"),
     "paf_best": with_views("lines", f", {_BEST} SELECT contig, gene_family, round(product, 6) AS product, line_no FROM best"),
     "cluster_labels": with_views("bins", "SELECT contig, n AS number, CASE WHEN n < 0 THEN 'noise' ELSE 'bin_' || n END AS label FROM (SELECT contig, coalesce(try_cast(regexp_extract(cluster, '_([0-9]+)$', 1) AS INT), -1) AS n FROM bins)"),
-    "cluster_sets": with_views("bins", "SELECT cluster, count(*)::INT AS contigs, string_agg(contig, ',' ORDER BY contig) AS members FROM bins WHERE cluster <> 'noise' GROUP BY cluster"),
+    "cluster_sets": with_views("bins", "SELECT cluster, contig, count(*) OVER (PARTITION BY cluster) AS contigs FROM (SELECT DISTINCT cluster, contig FROM bins)"),
     "cluster_members": with_views("bins", "SELECT cluster, contig, row_number() OVER (PARTITION BY cluster ORDER BY contig NULLS FIRST) - 1 AS row_no FROM bins"),
     "cluster_counts": with_views("bins", "SELECT cluster, count(*) AS contigs FROM bins GROUP BY cluster"),
     "contig_lookup": with_views("bins", "SELECT contig, cluster, header FROM bins JOIN (SELECT contig, min(concat_ws(' ', contig, description)) AS header FROM fragments_dict WHERE sequence IS NOT NULL GROUP BY contig) USING (contig)"),
@@ -245,9 +286,7 @@ SQL = {
     "contaminated_bins": with_views("bins lines", f", {_DUP} SELECT DISTINCT cluster FROM annotated WHERE has_duplicated_core_genes AND cluster <> 'noise'"),
     "refine_eligibility": with_views("bins lines", f", {_DUP} SELECT cluster, contigs, {_K} AS k, CASE WHEN contigs < 2 THEN 'skipped' ELSE 'eligible' END AS status FROM (SELECT cluster, count(DISTINCT contig) AS contigs FROM annotated WHERE has_duplicated_core_genes AND cluster <> 'noise' GROUP BY cluster) JOIN dup USING (cluster)"),
     "refine_k": with_views("bins lines", f", {_DUP} SELECT cluster, {_K} AS k FROM (SELECT cluster, count(*) AS contigs FROM bins GROUP BY cluster) JOIN dup USING (cluster)"),
-    "refine_subbins": with_views("bins", f", {_LATER} SELECT original_bin, count(DISTINCT cluster) AS sub_bins, count(*) AS contigs FROM later WHERE cluster <> 'noise' GROUP BY original_bin"),
-    "refine_merge": with_views("bins", f""", {_LATER}, split AS (SELECT original_bin FROM later WHERE cluster <> 'noise' GROUP BY original_bin HAVING count(DISTINCT cluster) > 1)
-        SELECT contig, cluster, NULL::VARCHAR AS original_bin FROM bins WHERE original_bin IS NULL AND cluster NOT IN (FROM split) UNION ALL SELECT contig, cluster, original_bin FROM later WHERE original_bin IN (FROM split)"""),
+    "later_rounds": with_views("bins", "SELECT lower(trim(original_bin)) AS original_bin, count(DISTINCT cluster) AS sub_bins, count(*) AS contigs FROM bins WHERE original_bin IS NOT NULL AND cluster <> 'noise' GROUP BY ALL"),
     "bins_final": with_views("bins lengths", f", {_SIZES} SELECT contig, cluster FROM bins WHERE cluster IN (SELECT cluster FROM sizes)"),
     "recluster_rule": "SELECT round_no, count(DISTINCT c) FILTER (c <> 'noise') AS bins_found, count(DISTINCT c) FILTER (c <> 'noise') = 1 AS try_again FROM (SELECT round_no, coalesce(lower(trim(cluster)), 'noise') AS c FROM clusters_df) GROUP BY round_no",
     "pipeline_summary": with_views("bins lines", f", {_DUP} SELECT count(*) AS contigs, count(*) FILTER (cluster = 'noise') AS noise_contigs, count(DISTINCT cluster) FILTER (cluster <> 'noise') AS bins, count(DISTINCT cluster) FILTER (has_duplicated_core_genes) AS bins_with_duplicates FROM annotated"),

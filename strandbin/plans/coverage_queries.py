@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from strandbin.operators import coverage as c
 from strandbin.operators.kmers import kmer_profiles
+from strandbin.operators.skew import join_by_key
 from strandbin.plans.views import SAMPLES, alignments, fragments, lengths, with_views
 from strandbin.runtime import stage, table
 
+#: Parts into which the fragments of a contig are put to meet its sequence.
+SPREAD = 64
 NAMES = [f"{s}_coverage{x}" for s in SAMPLES for x in ("", "_std")]
 
 
@@ -39,13 +42,13 @@ def _rounded(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fragment_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    # Means over 2^n bases can lie halfway between two roundings, which engines round either way.
-    return _rounded(_coverage(spark, folder).withColumns({c: F.col(c) + F.lit(1e-10) for c in ("mean", "std")}), ["mean", "std"])
+    return _rounded(_coverage(spark, folder), ["mean", "std"])
 
 
 def uncovered_fragments(spark: SparkSession, folder: str) -> DataFrame:
-    """Fragments of contigs on which no read lies."""
-    return fragments(spark, folder).select("fragment", "contig").distinct().join(alignments(spark, folder).select("contig").distinct(), "contig", "left_anti").select("fragment")
+    """Fragments on whose bases no read of any sample lies, those without a valid interval included."""
+    covered = _coverage(spark, folder).where("mean > 0").select("fragment").distinct()
+    return fragments(spark, folder).select("fragment").distinct().join(covered, "fragment", "left_anti")
 
 
 def _rpm(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,15 +81,15 @@ def coverage_zscore(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def feature_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    """k-mer profile and scaled coverage of every fragment with coverage, assembled from sequences and reads."""
+    """The 136 k-mer shares and the scaled coverage of every fragment with coverage, assembled from sequences and reads."""
     dna = table(spark, folder, "fragments_dict").unionByName(table(spark, folder, "control_contigs")).where("sequence is not null")
+    valid = stage(frag_clamp(spark, folder).where("valid").select("contig", F.struct("start", "end", "fragment").alias("f")), "valid")
+    spans = valid.groupBy("contig", F.pmod(F.xxhash64("f"), F.lit(SPREAD)).alias("part")).agg(F.collect_list("f").alias("spans"))
     seqs = dna.groupBy("contig").agg(F.max("sequence").alias("seq"))
-    valid = frag_clamp(spark, folder).where("valid")
-    pieces = valid.join(seqs, "contig").select("fragment", F.substring("seq", F.col("start") + 1, F.col("end") - F.col("start")).alias("piece"))
-    shares = kmer_profiles(pieces, "fragment", "piece")
+    pieces = join_by_key(spans, seqs, "contig").select("seq", F.explode("spans").alias("f"))
+    shares = kmer_profiles(pieces.select("f.fragment", F.expr("substring(seq, f.start + 1, f.end - f.start)").alias("piece")), "fragment", "piece")
     joined = shares.join(_zscore(spark, folder), "fragment")
-    top = F.array_max("profile")
-    return _rounded(joined.select("fragment", (F.array_position("profile", top) - 1).cast("int").alias("top_kmer"), top.alias("top_share"), *NAMES), ["top_share", *NAMES])
+    return _rounded(joined.select("fragment", *[F.col("profile")[i].alias(f"kmer_{i}") for i in range(136)], *NAMES), [*[f"kmer_{i}" for i in range(136)], *NAMES])
 
 
 QUERIES = {f.__name__: f for f in (reads_per_sample, header_map, depth_intervals, frag_clamp, fragment_coverage, uncovered_fragments, coverage_rpm, coverage_pivot, zero_cov_filter, coverage_log, coverage_zscore, feature_matrix)}
@@ -95,17 +98,14 @@ _CLAMP = """clamped AS (SELECT fragment, contig, CASE WHEN ok THEN start_pos ELS
             SELECT fragment, contig, start_pos, least(start_pos + f.length, l.length) AS e,
                    coalesce(start_pos >= 0 AND start_pos < l.length AND least(start_pos + f.length, l.length) > start_pos AND f.length > 0, false) AS ok
             FROM frags f LEFT JOIN lengths l USING (contig)))"""
-# Depth per base, which the Spark plan never forms.
+# Every run of equal depth that a fragment meets, weighted by the bases they share; the Spark plan has no such join.
 _COVER = f"""{_CLAMP}, samples AS (SELECT unnest(['s1', 's2', 's3']) AS sample),
-        events AS (SELECT sample, contig, pos, sum(d) AS d FROM (SELECT sample, contig, start AS pos, 1 AS d FROM reads WHERE stop > start UNION ALL SELECT sample, contig, stop, -1 FROM reads WHERE stop > start) GROUP BY ALL),
-        runs AS (SELECT sample, contig, pos AS s, lead(pos) OVER w AS e, sum(d) OVER w AS depth FROM events WINDOW w AS (PARTITION BY sample, contig ORDER BY pos)),
-        bases AS (SELECT sample, contig, depth, unnest(range(s, e)) AS b FROM runs WHERE depth > 0),
-        upto AS (SELECT sample, contig, b, sum(depth) OVER w AS a1, sum(depth * depth) OVER w AS a2 FROM bases WINDOW w AS (PARTITION BY sample, contig ORDER BY b)),
-        ends AS (SELECT DISTINCT contig, unnest([s, e]) AS p FROM clamped WHERE ok),
-        sums AS (SELECT q.sample, q.contig, q.p, coalesce(u.a1, 0) AS a1, coalesce(u.a2, 0) AS a2 FROM (SELECT * FROM ends, samples) q ASOF LEFT JOIN upto u ON u.sample = q.sample AND u.contig = q.contig AND u.b < q.p),
-        cover AS (SELECT sample, fragment, coalesce(m, 0.0) AS mean, coalesce(sqrt(greatest(q - m * m, 0.0)), 0.0) AS std FROM (
-            SELECT x.sample, c.fragment, (z.a1 - y.a1)::DOUBLE / (c.e - c.s) AS m, (z.a2 - y.a2)::DOUBLE / (c.e - c.s) AS q
-            FROM clamped c CROSS JOIN samples x LEFT JOIN sums y ON c.ok AND y.sample = x.sample AND y.contig = c.contig AND y.p = c.s LEFT JOIN sums z ON c.ok AND z.sample = x.sample AND z.contig = c.contig AND z.p = c.e)),
+        events AS (SELECT sample, contig, pos, sum(d) AS d FROM (SELECT sample, contig, start AS pos, 1 AS d FROM reads WHERE stop > start UNION ALL SELECT sample, contig, stop, -1 FROM reads WHERE stop > start) GROUP BY ALL HAVING sum(d) <> 0),
+        runs AS (SELECT sample, contig, pos AS s, lead(pos) OVER w AS e, (sum(d) OVER w)::DOUBLE AS depth FROM events WINDOW w AS (PARTITION BY sample, contig ORDER BY pos)),
+        met AS (SELECT r.sample, c.fragment, sum(depth * (least(r.e, c.e) - greatest(r.s, c.s))) AS a1, sum(depth * depth * (least(r.e, c.e) - greatest(r.s, c.s))) AS a2
+            FROM clamped c JOIN runs r ON r.contig = c.contig AND r.s < c.e AND r.e > c.s WHERE c.ok AND r.depth > 0 GROUP BY ALL),
+        cover AS (SELECT sample, fragment, coalesce(a1 / n, 0.0) AS mean, sqrt(greatest(coalesce(a2 / n - (a1 / n) ** 2, 0.0), 0.0)) AS std
+            FROM (SELECT fragment, (e - s)::DOUBLE AS n FROM clamped) CROSS JOIN samples LEFT JOIN met USING (sample, fragment)),
         rpm AS (SELECT sample, fragment, mean / (n / 1e6::DOUBLE) AS mean, std / (n / 1e6::DOUBLE) AS std FROM cover JOIN (SELECT sample, count(*) AS n FROM reads GROUP BY sample) USING (sample)),
         wide AS (SELECT fragment, {', '.join(f"max(CASE WHEN sample = '{s}' THEN {v} END) AS {s}_coverage{x}" for s in SAMPLES for v, x in (('mean', ''), ('std', '_std')))} FROM rpm GROUP BY fragment),
         logged AS (SELECT fragment, {', '.join(f'ln(1 + {n}) AS {n}' for n in NAMES)} FROM wide WHERE {' OR '.join(f'{n} <> 0' for n in NAMES)}),
@@ -123,8 +123,8 @@ SQL = {
     "depth_intervals": with_views("lines reads", """, e AS (SELECT sample, contig, pos, sum(d) AS d FROM (SELECT sample, contig, start AS pos, 1 AS d FROM reads WHERE stop > start UNION ALL SELECT sample, contig, stop, -1 FROM reads WHERE stop > start) GROUP BY ALL HAVING sum(d) <> 0)
         SELECT sample, contig, start, stop AS "end", depth FROM (SELECT sample, contig, pos AS start, lead(pos) OVER w AS stop, (sum(d) OVER w)::BIGINT AS depth FROM e WINDOW w AS (PARTITION BY sample, contig ORDER BY pos)) WHERE depth > 0"""),
     "frag_clamp": with_views("lengths frags", f', {_CLAMP} SELECT fragment, contig, s AS start, e AS "end", ok AS valid FROM clamped'),
-    "fragment_coverage": with_views(_V, f", {_COVER} SELECT sample, fragment, round(mean + 1e-10::DOUBLE, 6) AS mean, round(std + 1e-10::DOUBLE, 6) AS std FROM cover"),
-    "uncovered_fragments": with_views("frags lines reads", "SELECT DISTINCT fragment FROM frags WHERE contig NOT IN (SELECT contig FROM reads)"),
+    "fragment_coverage": with_views(_V, f", {_COVER} SELECT sample, fragment, round(mean, 6) AS mean, round(std, 6) AS std FROM cover"),
+    "uncovered_fragments": with_views(_V, f", {_CLAMP} SELECT DISTINCT fragment FROM frags ANTI JOIN (SELECT c.fragment FROM clamped c JOIN reads r ON r.contig = c.contig AND r.start < c.e AND r.stop > c.s AND r.stop > r.start WHERE c.ok) USING (fragment)"),
     "coverage_rpm": with_views(_V, f", {_COVER} SELECT sample, fragment, round(mean, 6) AS mean, round(std, 6) AS std FROM rpm"),
     "coverage_pivot": with_views(_V, f", {_COVER} SELECT fragment, {_R} FROM wide"),
     "zero_cov_filter": f"SELECT DISTINCT fragment FROM features WHERE {' OR '.join(f'coalesce({n}, 0) <> 0' for n in NAMES)}",

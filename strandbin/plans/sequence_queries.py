@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandbin.functions import dna, rules
+from strandbin.operators.coverage import coverage_of_contigs
 from strandbin.operators.kmers import kmer_counts, kmer_multi, kmer_profiles, kmer_spectrum
+from strandbin.operators.skew import join_by_key
 from strandbin.plans.views import contigs, raw_contigs, with_views
 from strandbin.runtime import shared_folder, table
 from strandbin.sources.fasta import read_fasta
@@ -94,13 +96,16 @@ def paf_parse(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tsv_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    """A coverage table as TSV, looked up by contig for every fragment."""
-    rows = table(spark, folder, "features").where("s1_coverage is not null").select("fragment", "s1_coverage").distinct()
+    """A table of contigs with a number, written as TSV, looked up for every fragment of each contig.
+
+    The names are those of the assignment table as they are stored, some with additions.
+    """
+    rows = table(spark, folder, "clusters_df").where("contig is not null").groupBy("contig").agg(F.max("total_core_genes_found").alias("n")).where("n is not null")
     path = f"{shared_folder(spark)}/tsv-{uuid.uuid4().hex}"
-    rows.select(F.concat_ws("\t", "fragment", F.col("s1_coverage").cast("string")).alias("value")).coalesce(4).write.text(path)
-    cover = read_coverage_tsv(spark, path)
-    names = table(spark, folder, "fragments").select("fragment").distinct()
-    return names.join(cover.withColumnRenamed("contig", "fragment"), "fragment", "left").select("fragment", F.round(F.coalesce("coverage", F.lit(0.0)), 6).alias("coverage"))
+    rows.select(F.concat_ws("\t", "contig", F.lit("x"), F.col("n").cast("string")).alias("value")).write.text(path)
+    found = coverage_of_contigs(table(spark, folder, "fragments").select("contig").where("contig is not null").distinct(), read_coverage_tsv(spark, path))
+    names = table(spark, folder, "fragments").where("contig is not null").select("fragment", "contig").distinct()
+    return join_by_key(names, found, "contig").select("fragment", "contig", "coverage")
 
 
 def kmer4_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -178,7 +183,9 @@ SQL = {
     "scan_contigs": with_views("contigs", "SELECT contig, length(seq)::INT AS length FROM contigs WHERE length(seq) >= 1000"),
     "header_clean": r"SELECT DISTINCT concat_ws(' ', contig, description) AS header, regexp_extract(trim(concat_ws(' ', contig, description)), '^\S+') AS contig FROM fragments_dict",
     "paf_parse": "SELECT DISTINCT query, contig AS target, target_length, target_start, target_end, matches, alignment_length FROM best_alignments WHERE target_length IS NOT NULL",
-    "tsv_coverage": "SELECT f.fragment, round(coalesce(c.s1_coverage, 0.0), 6) AS coverage FROM (SELECT DISTINCT fragment FROM fragments) f LEFT JOIN (SELECT DISTINCT fragment, s1_coverage FROM features WHERE s1_coverage IS NOT NULL) c USING (fragment)",
+    "tsv_coverage": r"""WITH t AS (SELECT contig AS name, max(total_core_genes_found)::DOUBLE AS n FROM clusters_df WHERE contig IS NOT NULL GROUP BY contig HAVING n IS NOT NULL),
+        w AS (SELECT regexp_extract(trim(name), '^\S+') AS first, arg_min(n, name) AS n FROM t GROUP BY first)
+        SELECT f.fragment, f.contig, coalesce(t.n, w.n, 0.0) AS coverage FROM (SELECT DISTINCT fragment, contig FROM fragments WHERE contig IS NOT NULL) f LEFT JOIN t ON t.name = f.contig LEFT JOIN w ON w.first = f.contig""",
     "kmer4_counts": with_views("contigs", f", {_index_table('ATGC')}, w AS ({_windows(4)}) SELECT contig, kmer_index, count(*)::INT AS n FROM w JOIN dim USING (kmer) GROUP BY contig, kmer_index"),
     "kmer4_profile": with_views("contigs", f""", {_index_table('ATGC')}, w AS ({_windows(4)}), n AS (SELECT contig, kmer_index, count(*) AS n FROM w JOIN dim USING (kmer) GROUP BY contig, kmer_index),
         grid AS (SELECT contig, i::INT AS kmer_index FROM contigs, generate_series(0, 135) g(i)), t AS (SELECT contig, sum(n) AS t FROM n GROUP BY contig)

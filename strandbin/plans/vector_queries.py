@@ -13,7 +13,6 @@ from strandbin.operators.fragments import augment_fragments as augment
 from strandbin.operators.fragments import positive_pairs
 from strandbin.operators.sums import mean_vectors
 from strandbin.plans import views as v
-from strandbin.plans.bin_queries import refine_eligibility
 from strandbin.plans.views import with_views
 from strandbin.runtime import stage, table
 
@@ -78,19 +77,11 @@ def kmeans2_assign(spark: SparkSession, folder: str) -> DataFrame:
 def kmeans_filter_decision(spark: SparkSession, folder: str) -> DataFrame:
     """What each round of the small-group filter saw and decided."""
     scores = v.scores(spark, folder).select(F.col("contig").alias("key"), F.col("eukaryotic").alias("score"))
-    _, seen = cl.filter_small_groups(_unit_vectors(spark, folder), WIDTH, scores, small=0.3)
+    _, seen = cl.filter_small_groups(_unit_vectors(spark, folder), WIDTH, scores)
     rows = [(i, r["rows"], r["small_rows"], r["scored"], r["sure"], r["remove"]) for i, r in enumerate(seen)]
     return spark.createDataFrame(rows, "round int, contigs long, small_contigs long, scored long, sure long, removed boolean")
 
 
-def refine_kmeans(spark: SparkSession, folder: str) -> DataFrame:
-    """Sub-bins of the flagged bins that have enough contigs."""
-    k = refine_eligibility(spark, folder).where("status = 'eligible'").select(F.col("cluster").alias("grp"), "k")
-    rows = v.bins(spark, folder).select("contig", "cluster").join(v.vectors(spark, folder), "contig").select(F.col("cluster").alias("grp"), F.col("contig").alias("key"), "v")
-    found = cl.split_groups(rows, k)
-    return found.select(F.col("key").alias("contig"), F.concat("grp", F.lit("_refined_bin_"), F.col("label").cast("string")).alias("cluster"), F.col("grp").alias("original_bin"))
-
-
 def _fragment_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """k-mer vectors of fragments with their contig and half, each fragment once."""
     f = table(spark, folder, "features").where("kmer is not null").groupBy("fragment").agg(F.max("kmer").alias("v"))
@@ -121,18 +112,21 @@ def chimera_test(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _vector_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Each even-numbered vector of ``embeddings`` with the next."""
-    return _next_vectors(spark, folder).where("vec_id % 2 = 0")
+    """k-mer vectors of the positive pairs of fragments, as the encoder trains on."""
+    rows = _fragment_vectors(spark, folder)
+    pairs = positive_pairs(rows, "contig", "fragment", 5_000_000)
+    kmers = rows.select("fragment", "v").dropDuplicates(["fragment"])
+    return pairs.join(kmers.select(F.col("fragment").alias("first"), "v"), "first").join(kmers.select(F.col("fragment").alias("second"), F.col("v").alias("w")), "second")
 
 
 def barlow_crosscorr(spark: SparkSession, folder: str) -> DataFrame:
-    c = em.cross_correlation(_vector_pairs(spark, folder), "v", "w", 64)
-    rows = [(i, j, round(float(c[i, j]), 6) + 0.0) for i in range(64) for j in range(64)]
+    c = em.cross_correlation(_vector_pairs(spark, folder), "v", "w", KMERS)
+    rows = [(i, j, round(float(c[i, j]), 6) + 0.0) for i in range(KMERS) for j in range(KMERS)]
     return spark.createDataFrame(rows, "i int, j int, c double")
 
 
 def barlow_loss(spark: SparkSession, folder: str) -> DataFrame:
-    c = em.cross_correlation(_vector_pairs(spark, folder), "v", "w", 64)
+    c = em.cross_correlation(_vector_pairs(spark, folder), "v", "w", KMERS)
     return spark.createDataFrame([(round(em.redundancy_loss(c), 4),)], "loss double")
 
 
@@ -153,10 +147,10 @@ def pca2(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def augment_fragments(spark: SparkSession, folder: str) -> DataFrame:
-    return augment(v.lengths(spark, folder), 300, split=10_000)
+    return augment(v.lengths(spark, folder), 1_000, split=10_000)
 
 
-QUERIES = {f.__name__: f for f in (l2_normalise, cosine_distance, euclidean_distance, core_distance, mutual_reach, mst_edges, hdbscan_labels, kmeans2_assign, kmeans_filter_decision, refine_kmeans, half_groups, half_centroids, chimera_distances, chimera_fstat, chimera_test, barlow_crosscorr, barlow_loss, encoder_forward, pca2, augment_fragments)}
+QUERIES = {f.__name__: f for f in (l2_normalise, cosine_distance, euclidean_distance, core_distance, mutual_reach, mst_edges, hdbscan_labels, kmeans2_assign, kmeans_filter_decision, half_groups, half_centroids, chimera_distances, chimera_fstat, chimera_test, barlow_crosscorr, barlow_loss, encoder_forward, pca2, augment_fragments)}
 
 _NEXT = "n AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS v, b.embedding::DOUBLE[] AS w FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
 _NEAR = f"""u AS (SELECT contig AS key, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM vecs),
@@ -166,9 +160,11 @@ _NEAR = f"""u AS (SELECT contig AS key, list_transform(v, lambda x: x / sqrt(lis
 _FV = "fv AS (SELECT fragment, contig, half, v FROM (SELECT fragment, max(kmer) AS v FROM features WHERE kmer IS NOT NULL GROUP BY fragment) JOIN (SELECT DISTINCT fragment, contig, half FROM frags) USING (fragment))"
 _DIST = f"""{_FV}, dist AS (SELECT a.contig, CASE WHEN a.half = b.half THEN a.half ELSE 'between' END AS kind, a.fragment AS first, b.fragment AS second, list_cosine_distance(a.v, b.v) AS distance
             FROM fv a JOIN fv b ON a.contig = b.contig AND (a.half, a.fragment) < (b.half, b.fragment) WHERE a.half IN ('h1', 'h2') AND b.half IN ('h1', 'h2'))"""
-_CORR = f"""{_NEXT}, p AS (SELECT vec_id, v, w FROM n WHERE vec_id % 2 = 0), d AS (SELECT vec_id, unnest(range(64)) AS i, unnest(v) AS x, unnest(w) AS y FROM p),
-        z AS (SELECT vec_id, i, (x - avg(x) OVER q) / (stddev_samp(x) OVER q + 1e-6) AS x, (y - avg(y) OVER q) / (stddev_samp(y) OVER q + 1e-6) AS y FROM d WINDOW q AS (PARTITION BY i)),
-        c AS (SELECT a.i, b.i AS j, sum(a.x * b.y) / count(*) AS c FROM z a JOIN z b USING (vec_id) GROUP BY a.i, b.i)"""
+_CORR = f"""{_FV}, p AS (SELECT a.fragment AS first, b.fragment AS second, a.v, b.v AS w FROM fv a JOIN fv b ON a.contig = b.contig AND a.fragment < b.fragment),
+        d AS (SELECT unnest(range({KMERS})) AS i, unnest(v) AS x, unnest(w) AS y FROM p), m AS (SELECT i, count(*) AS n, avg(x) AS mx, avg(y) AS my, stddev_samp(x) + 1e-6 AS sx, stddev_samp(y) + 1e-6 AS sy FROM d GROUP BY i),
+        ms AS (SELECT list(mx ORDER BY i) AS mx, list(my ORDER BY i) AS my, list(sx ORDER BY i) AS sx, list(sy ORDER BY i) AS sy FROM m),
+        z AS (SELECT list_transform(v, lambda x, k: (x - mx[k]) / sx[k]) AS x, list_transform(w, lambda y, k: (y - my[k]) / sy[k]) AS y FROM p, ms),
+        c AS (SELECT i, j, avg(x[i + 1] * y[j + 1]) AS c FROM z, range({KMERS}) a(i), range({KMERS}) b(j) GROUP BY i, j)"""
 
 SQL = {
     "l2_normalise": with_views("vecs", "SELECT contig, unnest(range(48))::INT AS place, round(unnest(list_transform(v, lambda x: x / sqrt(list_inner_product(v, v)))), 6) + 0.0 AS value FROM vecs"),
@@ -187,6 +183,13 @@ SQL = {
             avg(distance) AS m, avg(distance) FILTER (kind <> 'between') AS m1, avg(distance) FILTER (kind = 'between') AS m2 FROM dist GROUP BY contig HAVING within > 0 AND between > 0),
         s AS (SELECT contig, sum((distance - CASE WHEN kind = 'between' THEN m2 ELSE m1 END) ** 2) AS w FROM dist JOIN g USING (contig) GROUP BY contig)
         SELECT contig, within, between, round(CASE WHEN within + between > 2 AND w > 1e-12 THEN (within * (m1 - m) ** 2 + between * (m2 - m) ** 2) / (w / (within + between - 2)) ELSE 0 END, 4) AS f FROM g JOIN s USING (contig)"""),
-    "barlow_crosscorr": f"WITH {_CORR} SELECT i::INT AS i, j::INT AS j, round(c, 6) + 0.0 AS c FROM c",
-    "barlow_loss": f"WITH {_CORR} SELECT round(sum(CASE WHEN i = j THEN (c - 1) ** 2 ELSE 5e-3 * c ** 2 END), 4) AS loss FROM c",
+    "chimera_test": with_views("frags", f""", {_DIST}, g AS (SELECT contig, count(*) FILTER (kind <> 'between') AS n1, count(*) FILTER (kind = 'between') AS n2,
+            avg(distance) AS m, avg(distance) FILTER (kind <> 'between') AS m1, avg(distance) FILTER (kind = 'between') AS m2, sum(distance * distance) AS sq FROM dist GROUP BY contig HAVING n1 > 0 AND n2 > 0),
+        seen AS (SELECT contig, CASE WHEN n1 + n2 > 2 AND sq - n1 * m1 * m1 - n2 * m2 * m2 > 1e-12 THEN (n1 * (m1 - m) ** 2 + n2 * (m2 - m) ** 2) / ((sq - n1 * m1 * m1 - n2 * m2 * m2) / (n1 + n2 - 2)) ELSE 0 END AS f FROM g),
+        drawn AS (SELECT contig, perm, distance, row_number() OVER (PARTITION BY contig, perm ORDER BY md5(first || '|' || second || '|' || perm)) AS place FROM dist SEMI JOIN g USING (contig), (SELECT unnest(range(1, 1001)) AS perm)),
+        h AS (SELECT contig, perm, avg(distance) FILTER (place <= n1) AS m1, avg(distance) FILTER (place > n1) AS m2 FROM drawn JOIN g USING (contig) GROUP BY contig, perm),
+        fs AS (SELECT contig, perm, CASE WHEN n1 + n2 > 2 AND sq - n1 * h.m1 * h.m1 - n2 * h.m2 * h.m2 > 1e-12 THEN (n1 * (h.m1 - m) ** 2 + n2 * (h.m2 - m) ** 2) / ((sq - n1 * h.m1 * h.m1 - n2 * h.m2 * h.m2) / (n1 + n2 - 2)) ELSE 0 END AS f FROM h JOIN g USING (contig))
+        SELECT contig, round(any_value(seen.f), 4) AS f, round(avg((fs.f >= seen.f - 1e-9)::INT), 6) AS p, avg((fs.f >= seen.f - 1e-9)::INT) < 0.05 AS is_chimera FROM fs JOIN seen USING (contig) GROUP BY contig"""),
+    "barlow_crosscorr": with_views("frags", f", {_CORR} SELECT i::INT AS i, j::INT AS j, round(c, 6) + 0.0 AS c FROM c"),
+    "barlow_loss": with_views("frags", f", {_CORR} SELECT round(sum(CASE WHEN i = j THEN (c - 1) ** 2 ELSE 5e-3 * c ** 2 END), 4) AS loss FROM c"),
 }

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandbin.functions.rules import hash_share
 from strandbin.runtime import table
 
 SAMPLES = ("s1", "s2", "s3")
@@ -62,15 +61,19 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
     return latest.where((F.size("v") == 48) & F.forall("v", lambda x: ~F.isnan(x)) & F.exists("v", lambda x: x != 0))
 
 
-def scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Stand-in class scores of every contig, from digests of its name; they sum to 1."""
-    names = table(spark, folder, "fragments_dict").select("contig").distinct()
-    raw = names.select("contig", *[hash_share(F.col("contig"), c).alias(c) for c in ("viral", "plasmid", "prokaryotic", "eukaryotic")])
-    total = F.col("viral") + F.col("plasmid") + F.col("prokaryotic") + F.col("eukaryotic")
-    return raw.select("contig", *[(F.col(c) / total).alias(c) for c in ("viral", "plasmid", "prokaryotic", "eukaryotic")])
+#: The class that a gene family's last letter stands for in the alignment lines.
+FAMILY_CLASSES = {"V": "viral", "L": "plasmid", "A": "prokaryotic", "E": "eukaryotic"}
+
 
+def scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Class scores of the contigs that have scored lines: each class's share of the contig's alignment scores."""
+    rows = lines(spark, folder, "contig", "gene_family", "score").where("score > 0 and not isnan(score)")
+    letter = F.right(F.upper(F.trim("gene_family")), F.lit(1))
+    known = rows.select("contig", letter.alias("letter"), "score").where(F.col("letter").isin(*FAMILY_CLASSES))
+    sums = known.groupBy("contig").agg(F.sum("score").alias("total"), *[F.sum(F.when(F.col("letter") == c, F.col("score")).otherwise(0.0)).alias(name) for c, name in FAMILY_CLASSES.items()])
+    # Sums differ in their last digits by the order of addition.
+    return sums.select("contig", *[F.round(F.col(name) / F.col("total"), 9).alias(name) for name in FAMILY_CLASSES.values()])
 
-_HASH = "(('0x' || substr(md5(contig || '|{0}'), 1, 8))::BIGINT::DOUBLE / 4294967296.0)"
 
 #: Common table expressions by name; see :func:`with_views`.
 SQL_VIEWS = {
@@ -84,8 +87,10 @@ SQL_VIEWS = {
             QUALIFY row_number() OVER (PARTITION BY contig ORDER BY round_no DESC, loaded_at DESC, cluster DESC) = 1""",
     "vecs": """SELECT contig, embedding::DOUBLE[] AS v FROM (SELECT contig, embedding FROM contig_embeddings QUALIFY row_number() OVER (PARTITION BY contig ORDER BY loaded_at DESC) = 1)
             WHERE len(embedding) = 48 AND len(list_filter(embedding, lambda x: isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0""",
-    "scores": f"""SELECT contig, a / (a + b + c + d) AS viral, b / (a + b + c + d) AS plasmid, c / (a + b + c + d) AS prokaryotic, d / (a + b + c + d) AS eukaryotic FROM (
-            SELECT contig, {_HASH.format('viral')} AS a, {_HASH.format('plasmid')} AS b, {_HASH.format('prokaryotic')} AS c, {_HASH.format('eukaryotic')} AS d FROM (SELECT DISTINCT contig FROM fragments_dict))""",
+    "scores": """SELECT contig, round(v / total, 9) AS viral, round(l / total, 9) AS plasmid, round(a / total, 9) AS prokaryotic, round(e / total, 9) AS eukaryotic FROM (
+            SELECT contig, sum(score) AS total, coalesce(sum(score) FILTER (letter = 'V'), 0) AS v, coalesce(sum(score) FILTER (letter = 'L'), 0) AS l,
+                   coalesce(sum(score) FILTER (letter = 'A'), 0) AS a, coalesce(sum(score) FILTER (letter = 'E'), 0) AS e
+            FROM (SELECT contig, score, right(upper(trim(gene_family)), 1) AS letter FROM lines WHERE score > 0 AND NOT isnan(score)) WHERE letter IN ('V', 'L', 'A', 'E') GROUP BY contig)""",
 }
 
 

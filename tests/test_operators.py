@@ -8,10 +8,12 @@ import pytest
 
 from strandbin.functions import dna, rules
 from strandbin.operators import chimera, cluster, embed
-from strandbin.operators.coverage import clamp_fragments, depth_intervals, fragment_coverage
-from strandbin.operators.fragments import augment_fragments, positive_pairs
+from strandbin.operators import skew
+from strandbin.operators.coverage import clamp_fragments, coverage_of_contigs, depth_intervals, fragment_coverage, running_depth
+from strandbin.operators.fragments import augment_fragments, positive_pairs, shuffled
 from strandbin.operators.graph import merge_labels, spanning_forest
 from strandbin.operators.kmers import kmer_counts, kmer_multi, kmer_profiles
+from strandbin.operators.skew import join_by_key
 from strandbin.operators.quality import best_lines, duplicated_genes, merge_refined, scored_lines
 from strandbin.runtime import stage
 
@@ -109,7 +111,7 @@ def test_pairs(spark):
     every = {tuple(r) for r in positive_pairs(df, "g", "m", 1000).collect()}
     assert every == {("g", *p) for p in itertools.combinations([f"m{i:02}" for i in range(12)], 2)} | {("h", "x", "y")}
     some = [tuple(r) for r in positive_pairs(df, "g", "m", 20).collect()]
-    assert len(some) == len(set(some)) <= 20 and set(some) <= every and ("h", "x", "y") in some
+    assert len(some) == len(set(some)) == 20 and set(some) <= every
     assert positive_pairs(df.limit(0), "g", "m", 5).count() == 0
 
 
@@ -294,7 +296,70 @@ def test_duplicates_and_merge(spark):
     assert {(r["contig"], r["cluster"]) for r in merge_refined(bins, refined).collect()} == {("1", "b_0"), ("2", "b_1"), ("3", "c"), ("4", "d")}
 
 
-def test_schedule_and_widths():
+def test_schedule():
     assert rules.learning_rate(0, 400, 1.0) == pytest.approx(0.1) and rules.learning_rate(10, 400, 1.0) == pytest.approx(1.0)
     assert rules.learning_rate(400, 400, 1.0) == pytest.approx(0.01)
-    assert [rules.encoder_width(n) for n in (0, 4, 6, 20, 22)] == [(32, 16), (32, 16), (64, 32), (128, 64), (256, 128)]
+
+
+def test_running_sums_over_split_contigs(spark):
+    r = random.Random(8)
+    points = [(s, c, p, r.randrange(-3, 4)) for s in "xy" for c in ("hot", "z") for p in sorted(r.sample(range(5000), 900 if c == "hot" else 3))]
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {(x["sample"], x["contig"], x["pos"]): x for x in running_depth(spark.createDataFrame(points, "sample string, contig string, pos int, change int")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    key = None
+    for s, c, p, d in points:
+        if key != (s, c):
+            key, depth, area, square, last = (s, c), 0, 0, 0, None
+        step = 0 if last is None else p - last
+        area, square = area + step * depth, square + step * depth * depth
+        x = got[s, c, p]
+        assert (x["start"], x["before"], x["depth"], x["area"], x["square"]) == (last, depth, depth + d, area, square)
+        depth, last = depth + d, p
+    assert len(got) == len(points)
+
+
+def test_coverage_by_name_then_first_word(spark):
+    cover = spark.createDataFrame([("a", 1.0), ("a x", 2.0), ("b y", 3.0), ("b x", 4.0)], "contig string, coverage double")
+    got = {r["contig"]: r["coverage"] for r in coverage_of_contigs(spark.createDataFrame([("a",), ("b",), ("c",)], "contig string"), cover).collect()}
+    assert got == {"a": 1.0, "b": 4.0, "c": 0.0}
+
+
+def test_join_by_key_deals_out_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_SALT", 20)
+    rows = [("hot", i) for i in range(300)] + [("b", 1), ("c", 2), (None, 3)]
+    table = [("hot", "H"), ("b", "B"), (None, "N"), ("unused", "U")]
+    df, dim = spark.createDataFrame(rows, "k string, n int"), spark.createDataFrame(table, "k string, v string")
+    by = dict(table[:2])
+    assert sorted(map(tuple, join_by_key(df, dim, "k").collect())) == sorted((k, n, by[k]) for k, n in rows if k in by)
+    assert sorted(map(repr, map(tuple, join_by_key(df, dim, "k", "left").collect()))) == sorted(repr((k, n, by.get(k))) for k, n in rows)
+
+
+def test_capped_pairs_are_a_fair_sample(spark):
+    rows = [("big", f"m{i:03}") for i in range(60)] + [(f"g{j}", f"x{i}") for j in range(30) for i in range(3)] + [(f"p{j}", f"x{i}") for j in range(40) for i in range(2)]
+    df = spark.createDataFrame(rows, "g string, m string")
+    total = 60 * 59 // 2 + 30 * 3 + 40
+    for cap in (5, 700, total - 50, total - 1):
+        got = [tuple(r) for r in positive_pairs(df, "g", "m", cap).collect()]
+        assert len(got) == len(set(got)) == cap and all(a < b for _, a, b in got)
+    half = positive_pairs(df, "g", "m", 700).where("g = 'big'").collect()
+    assert abs(len(half) - 700 * 1770 / total) < 2
+    used = {m for r in half for m in (r["first"], r["second"])}
+    assert len(used) == 60 and half != positive_pairs(df, "g", "m", 700, seed=1).where("g = 'big'").collect()
+
+
+def test_shuffle_depends_on_the_seed_only(spark):
+    df = spark.createDataFrame([("g", f"m{i}", f"n{i}") for i in range(50)], "g string, first string, second string")
+    one, two = ([tuple(r) for r in shuffled(d, 1, "first", "second").collect()] for d in (df, df.repartition(3)))
+    assert one == two and one != [tuple(r) for r in shuffled(df, 2, "first", "second").collect()] and sorted(one) != one
+
+
+def test_too_many_fragments_of_a_half(spark, monkeypatch):
+    monkeypatch.setattr(chimera, "MOST_FRAGMENTS", 3)
+    rows = spark.createDataFrame([("c", "h1", f"f{i}", [1.0]) for i in range(4)], "contig string, half string, fragment string, v array<double>")
+    with pytest.raises(ValueError, match="more than 3"):
+        chimera.half_distances(rows)
