@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from functools import reduce
+
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandbin.functions.dna import CLASSIFIER_ALPHABET, canonical_index
 from strandbin.functions.rules import SCALES, length_scale
-from strandbin.operators.kmers import kmer_profiles
+from strandbin.operators.kmers import MULTI_K, kmer_multi
 
 CLASSES = ("viral", "plasmid", "prokaryotic", "eukaryotic")
 #: A contig is dropped if its bacterial or plasmid score is above this; a eukaryotic score from HIGH is a sure one.
@@ -33,30 +35,68 @@ def bacterial_filter(scores: DataFrame, drop_above: float = DROP_ABOVE, fallback
     return scores if fallback and not kept.limit(1).count() else kept
 
 
-def train_classifiers(labelled: DataFrame, key: str, seq: str, label: str) -> dict[int, PipelineModel]:
-    """A multinomial regression on standardised k-mer profiles for each length scale that has two labels or more."""
-    rows = _features(labelled, key, seq).join(labelled.select(key, F.col(label).cast("double").alias("label")), key)
+def _widths() -> list[int]:
+    return [int(canonical_index(k, CLASSIFIER_ALPHABET).max()) + 1 for k in MULTI_K]
+
+
+@F.udf(VectorUDT())
+def _sparse(places: list[int], freqs: list[float]) -> SparseVector:
+    return SparseVector(sum(_widths()), places, freqs)
+
+
+def _features(rows: DataFrame, key: str, seq: str) -> DataFrame:
+    """``key, scale, features``: the shares of canonical k-mers for all of MULTI_K side by side, as a sparse vector."""
+    start = dict(zip(MULTI_K, [sum(_widths()[:i]) for i in range(len(MULTI_K))]))
+    offset = reduce(lambda out, k: F.when(F.col("k") == k, F.lit(start[k])).otherwise(out), MULTI_K, F.lit(0))
+    known = rows.where(F.col(seq).isNotNull())
+    parts = kmer_multi(known, key, seq).select(key, "k", F.transform("places", lambda p: p + offset).alias("places"), "freqs")
+    whole = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("k", "places", "freqs"))).alias("parts"))  # five of each
+    joined = whole.join(known.select(key, length_scale(F.length(seq)).alias("scale")), key)
+    return joined.select(key, "scale", _sparse(F.flatten(F.transform("parts", lambda x: x["places"])), F.flatten(F.transform("parts", lambda x: x["freqs"]))).alias("features"))
+
+
+def train_classifiers(labelled: DataFrame, key: str, seq: str, label: str) -> dict[int, LogisticRegressionModel]:
+    """A multinomial regression on k-mer shares for each length scale that has two labels or more; labels are class numbers."""
+    rows = _features(labelled, key, seq).join(labelled.select(key, F.col(label).cast("double").alias("label")), key).where("label is not null").cache()
     models = {}
     for scale in SCALES:
         part = rows.where(F.col("scale") == scale)
         if part.select("label").distinct().limit(2).count() > 1:
-            stages = [StandardScaler(inputCol="features", outputCol="scaled", withMean=True), LogisticRegression(featuresCol="scaled", family="multinomial", maxIter=30, regParam=0.01)]
-            models[scale] = Pipeline(stages=stages).fit(part)
+            models[scale] = LogisticRegression(family="multinomial", maxIter=30, regParam=0.01).fit(part)
+    rows.unpersist()
     return models
 
 
-def classify(rows: DataFrame, key: str, seq: str, models: dict[int, PipelineModel]) -> DataFrame:
+def save_classifiers(models: dict[int, LogisticRegressionModel], path: str) -> None:
+    for scale, model in models.items():
+        model.write().overwrite().save(f"{path}/scale-{scale}")
+
+
+def load_classifiers(path: str, scales: tuple[int, ...] = SCALES) -> dict[int, LogisticRegressionModel]:
+    """The models saved under ``path``; scales without a folder have none."""
+    found = {}
+    for scale in scales:
+        try:
+            found[scale] = LogisticRegressionModel.load(f"{path}/scale-{scale}")
+        except Exception as e:  # noqa: BLE001
+            if "does not exist" not in str(e):
+                raise
+    if not found:
+        raise FileNotFoundError(path)
+    return found
+
+
+def classify(rows: DataFrame, key: str, seq: str, models: dict[int, LogisticRegressionModel]) -> DataFrame:
     """``key, scale, probabilities``; a sequence whose scale has no model goes to the nearest scale that has one."""
     found = _features(rows, key, seq)
-    out = None
+    out = []
     for scale in SCALES:
         near = min(models, key=lambda s: abs(SCALES.index(s) - SCALES.index(scale)))
-        part = models[near].transform(found.where(F.col("scale") == scale)).select(key, "scale", vector_to_array("probability").alias("probabilities"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        out.append(models[near].transform(found.where(F.col("scale") == scale)).select(key, "scale", vector_to_array("probability").alias("probabilities")))
+    return reduce(DataFrame.unionByName, out)
 
 
-def _features(rows: DataFrame, key: str, seq: str) -> DataFrame:
-    shares = kmer_profiles(rows.where(F.col(seq).isNotNull()), key, seq)
-    scale = rows.where(F.col(seq).isNotNull()).select(key, length_scale(F.length(seq)).alias("scale"))
-    return shares.join(scale, key).select(key, "scale", array_to_vector("profile").alias("features"))
+def class_scores(rows: DataFrame, key: str, seq: str, models: dict[int, LogisticRegressionModel]) -> DataFrame:
+    """``key`` and a score for each of CLASSES, whose numbers were the labels; 0 for classes that a model has not seen."""
+    found = classify(rows, key, seq, models)
+    return found.select(key, *[F.coalesce(F.get("probabilities", F.lit(i)), F.lit(0.0)).alias(c) for i, c in enumerate(CLASSES)])

@@ -26,18 +26,18 @@ def reads_per_sample(alignments: DataFrame) -> DataFrame:
     return alignments.groupBy("sample").agg(F.count(F.lit(1)).alias("reads"))
 
 
-def map_names(names: DataFrame, name: str, known: DataFrame, contig: str) -> DataFrame:
-    """``name, contig, how``: the known contig that a name stands for.
+def map_names(names: DataFrame, name: str, known: DataFrame, contig: str, found_as: str = "contig") -> DataFrame:
+    """``name, <found_as>, how``: the known contig that a name stands for.
 
     Tried in turn: the name itself, what is before its first white space, what is before the last dot. Others: null.
     """
     n = F.col(name)
     tries = {"exact": n, "first word": first_word(n), "before dot": F.regexp_extract(n, r"^(.*)\.[^.]*$", 1)}
-    options = names.select(name).distinct().select(name, F.posexplode(F.array(*tries.values())).alias("step", "contig"))
-    found = options.join(known.select(F.col(contig).alias("contig")).distinct(), "contig")
-    best = found.groupBy(name).agg(F.min_by("contig", "step").alias("contig"), F.min("step").alias("step"))
+    options = names.select(name).distinct().select(name, F.posexplode(F.array(*tries.values())).alias("step", "known_"))
+    found = options.join(known.select(F.col(contig).alias("known_")).distinct(), "known_")
+    best = found.groupBy(name).agg(F.min_by("known_", "step").alias(found_as), F.min("step").alias("step"))
     how = F.element_at(F.array(*map(F.lit, tries)), F.col("step") + 1)
-    return names.select(name).distinct().join(best.select(name, "contig", how.alias("how")), name, "left")
+    return names.select(name).distinct().join(best.select(name, found_as, how.alias("how")), name, "left")
 
 
 def coverage_of_contigs(contigs: DataFrame, cover: DataFrame) -> DataFrame:

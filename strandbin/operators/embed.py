@@ -74,8 +74,8 @@ def fit_encoder(pairs: DataFrame, first: str, second: str, width: int, dim: int,
     return Encoder(mean, white @ turn[:, np.argsort(-shared)[:dim]])
 
 
-def encode(rows: DataFrame, key: str, vector: str, encoder: Encoder) -> DataFrame:
-    """``key, embedding``: vectors of length 1; null vectors are left out."""
+def encode(rows: DataFrame, key: str, vector: str, encoder: Encoder, normalise: bool = True) -> DataFrame:
+    """``key, embedding``: vectors of length 1, unless ``normalise`` is off; null vectors are left out."""
     shared = rows.sparkSession.sparkContext.broadcast(encoder)
     kind = dict(rows.dtypes)[key]
 
@@ -84,7 +84,8 @@ def encode(rows: DataFrame, key: str, vector: str, encoder: Encoder) -> DataFram
         for b in batches:
             if len(b):
                 z = (np.array(b["v"].tolist(), dtype=np.float64) - e.mean) @ e.weights
-                z /= np.maximum(np.sqrt((z * z).sum(1)), 1e-12)[:, None]
+                if normalise:
+                    z /= np.maximum(np.sqrt((z * z).sum(1)), 1e-12)[:, None]
                 yield pd.DataFrame({"key": b["key"], "embedding": list(z.astype(np.float32))})
 
     picked = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("v"))

@@ -20,6 +20,7 @@ class Params:
     skip_kmeans_filtering: bool = False
     skip_refinement: bool = False
     enable_chimera_detection: bool = False
+    keep_intermediate: bool = False
 
     def __post_init__(self) -> None:
         for name, low, high in (("min_contig_length", 1, None), ("min_bin_size", 0, None), ("min_cluster_size", 2, None), ("embedding_dim", 1, 136), ("num_augmentations", 1, 32), ("max_positive_pairs", 1, None), ("max_refinement_rounds", 0, 10)):

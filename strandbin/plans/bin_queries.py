@@ -88,6 +88,16 @@ def bacterial_filter_fallback(spark: SparkSession, folder: str) -> DataFrame:
     return cl.bacterial_filter(v.scores(spark, folder), drop_above=-1.0).select("contig")
 
 
+def class_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all contigs by classifiers trained on those whose alignment lines name a class."""
+    rows = v.contigs(spark, folder).select("contig", F.col("seq"))
+    rows = stage(rows, "class-contigs")
+    number = F.array_position(F.array(*map(F.lit, cl.CLASSES)), cl.predicted_class()) - 1
+    labels = v.scores(spark, folder).select("contig", number.alias("label"))
+    models = cl.train_classifiers(rows.join(labels, "contig"), "contig", "seq", "label")
+    return cl.class_scores(rows, "contig", "seq", models).select("contig", *[F.round(c, 6).alias(c) for c in cl.CLASSES])
+
+
 def score_summary(spark: SparkSession, folder: str) -> DataFrame:
     kind = cl.predicted_class()
     return v.scores(spark, folder).withColumn("kind", kind).groupBy("kind").agg(F.count(F.lit(1)).alias("contigs"), F.count_if(F.col("eukaryotic") > cl.HIGH).alias("surely_eukaryotic"), F.count_if(cl.is_bacterial()).alias("dropped"), F.round(F.avg("eukaryotic"), 6).alias("mean_eukaryotic"))
@@ -221,7 +231,7 @@ def pipeline_summary(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (gene_family, safe_ratio, interval_overlap, fragment_ratio, lr_schedule, frag_original, positive_pairs, pairs_capped, pairs_of_all, predicted_class, bacterial_filter, bacterial_filter_fallback, score_summary, paf_best, cluster_labels, cluster_sets, cluster_members, cluster_counts, contig_lookup, bin_sizes, gene_family_counts, duplicated_genes, bins_annotated, contaminated_bins, refine_eligibility, refine_k, refine_kmeans, refine_subbins, refine_merge, later_rounds, bins_final, recluster_rule, pipeline_summary)}
+QUERIES = {f.__name__: f for f in (gene_family, safe_ratio, interval_overlap, fragment_ratio, lr_schedule, frag_original, positive_pairs, pairs_capped, pairs_of_all, predicted_class, bacterial_filter, bacterial_filter_fallback, class_scores, score_summary, paf_best, cluster_labels, cluster_sets, cluster_members, cluster_counts, contig_lookup, bin_sizes, gene_family_counts, duplicated_genes, bins_annotated, contaminated_bins, refine_eligibility, refine_k, refine_kmeans, refine_subbins, refine_merge, later_rounds, bins_final, recluster_rule, pipeline_summary)}
 
 _BEST = f"""scored AS (SELECT line_no, contig, upper(trim(gene_family)) AS gene_family, (target_end - target_start)::DOUBLE / target_length AS cov, matches::DOUBLE / alignment_length AS ident
             FROM lines WHERE gene_family IS NOT NULL AND target_length > 0 AND alignment_length > 0),

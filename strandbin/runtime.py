@@ -18,11 +18,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a session without that setting (tests, a single machine) gets
-    a temporary folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session on one machine (tests) may lack that setting; it gets a
+    temporary folder of its own. Elsewhere each executor would write to its own disk, so that is an error.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(CHECKPOINT_KEY, named)
     return named.rstrip("/")
@@ -55,15 +57,12 @@ def unstage(df: DataFrame) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in at least as many partitions as there are cores, for steps that compute much per row.
+    """``df`` dealt to all cores if it comes from fewer files than there are, for steps that compute much per row.
 
-    A table that has enough is left as it is, and so is the result of a shuffle, whose partitions are only known when it has
-    run; only a scan of fewer splits than cores is dealt out.
+    Tables of many files are left as they are: their scan has enough tasks, and no text is shuffled.
     """
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

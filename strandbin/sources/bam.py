@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import struct
 from collections.abc import Iterator
+from itertools import batched
 from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Flag bits of reads that count for no depth: unmapped, secondary, failed, duplicate.
 SKIPPED_FLAGS = 4 | 256 | 512 | 1024
+#: Runs that are handed to Spark at once.
+BATCH = 50_000
 #: CIGAR operations in the order of their codes; those that cover and those that move along the reference.
 OPERATIONS, COVERS, MOVES = "MIDNSHP=X", set("M=X"), set("MDN=X")
 
@@ -82,13 +85,16 @@ class _Reader(DataSourceReader):
             raise FileNotFoundError(self.path)
         return [InputPartition(f) for f in found]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator:
         import os
 
+        import pyarrow as pa
+
         sample = os.path.basename(partition.value).removesuffix(".bam")
         with gzip.open(partition.value, "rb") as stream:
-            for contig, start, end in covered_runs(stream):
-                yield sample, contig, start, end
+            for runs in batched(covered_runs(stream), BATCH):
+                contig, start, end = zip(*runs)
+                yield pa.RecordBatch.from_arrays([pa.array([sample] * len(runs)), pa.array(contig), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["sample", "contig", "start", "end"])
 
 
 def read_bam(spark: SparkSession, path: str) -> DataFrame:

@@ -11,21 +11,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from strandbin.functions.dna import wrap
 
 
-def fasta_records(lines: Iterator[str]) -> Iterator[tuple[str, str]]:
-    """Header (all leading ">" removed) and joined sequence; records without a name and text before the first are dropped."""
-    header, parts = None, []
-    for line in lines:
-        line = line.strip()
-        if line.startswith(">"):
-            if header:
-                yield header, "".join(parts)
-            header, parts = line.lstrip(">"), []
-        elif line:
-            parts.append(line)
-    if header:
-        yield header, "".join(parts)
-
-
 def fastq_records(lines: Iterator[str]) -> Iterator[tuple[str, str, str | None]]:
     """Name (to the first white space), sequence and quality; the quality is null if it is cut short."""
     line = next(lines, None)
@@ -50,25 +35,25 @@ def fastq_records(lines: Iterator[str]) -> Iterator[tuple[str, str, str | None]]
 
 
 class SequenceSource(DataSource):
-    """``spark.read.format("sequences").option("kind", "fasta").load(path)``; one partition per file, .gz by its name.
+    """``spark.read.format("fastq").load(path)``: ``header, seq, quality``; one partition per file, .gz by its name.
 
     The files are read by the tasks through the local file system, which must be shared by the executors.
     """
 
     @classmethod
     def name(cls) -> str:
-        return "sequences"
+        return "fastq"
 
     def schema(self) -> str:
-        return "header string, seq string" if self.options.get("kind", "fasta") == "fasta" else "header string, seq string, quality string"
+        return "header string, seq string, quality string"
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return _Reader(dict(self.options))
+        return _Reader(self.options["path"].removeprefix("file://").removeprefix("file:"))
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.path, self.kind = options["path"].removeprefix("file://").removeprefix("file:"), options.get("kind", "fasta")
+    def __init__(self, path: str) -> None:
+        self.path = path
 
     def partitions(self) -> list[InputPartition]:
         import glob
@@ -84,19 +69,20 @@ class _Reader(DataSourceReader):
 
         opener = gzip.open if partition.value.endswith(".gz") else open
         with opener(partition.value, "rt", encoding="utf-8") as lines:
-            yield from (fasta_records if self.kind == "fasta" else fastq_records)(lines)
+            yield from fastq_records(lines)
 
 
-def read_sequences(spark: SparkSession, path: str, kind: str = "fasta") -> DataFrame:
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     spark.dataSource.register(SequenceSource)
-    return spark.read.format("sequences").option("kind", kind).load(path)
+    return spark.read.format("fastq").load(path)
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``header, seq`` from FASTA files on any file system Spark reads.
 
     Files are split at line starts that begin a record, so large files are read by many tasks and a ">" inside a header
-    splits nothing. Files ending in .gz are read whole, by one task each.
+    splits nothing. Files ending in .gz are read whole, by one task each. A file must begin with
+    a header, or its first line is taken for one; records of an empty header are left out.
     """
     chunks = spark.read.option("lineSep", "\n>").text(path)
     record = F.regexp_replace("value", r"^>+|\r", "")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandbin.operators.classify import predicted_class
+
 
 def read_paf(spark: SparkSession, path: str) -> DataFrame:
     """The seven fields that are used. Comments, blank lines, lines of fewer than 11 fields or with bad numbers are skipped."""
@@ -18,18 +22,39 @@ def read_paf(spark: SparkSession, path: str) -> DataFrame:
 def read_coverage_tsv(spark: SparkSession, path: str) -> DataFrame:
     """``contig, coverage``: first and last column of a table without header; of a repeated contig the last row counts.
 
-    Lines with one column or a last column that is no number are skipped.
+    Lines with one column or a last column that is no number are skipped. Rows of several files are ordered by file name,
+    those of one file as they stand there.
     """
     f = F.split("value", "\t")
-    rows = spark.read.text(path).withColumn("row_no", F.monotonically_increasing_id()).where(F.size(f) >= 2)
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    rows = spark.read.text(path).withColumn("row_no", place).where(F.size(f) >= 2)
     rows = rows.select(f[0].alias("contig"), F.expr("try_cast(element_at(split(value, '\\t'), -1) as double)").alias("coverage"), "row_no").where("coverage is not null")
     return rows.groupBy("contig").agg(F.max_by("coverage", "row_no").alias("coverage"))
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    """The class score table with header, as the score writer makes it."""
+    """The class score table with header that :func:`write_scores` makes: ``contig`` and a score for each class."""
     schema = "header string, viral_score double, plas_score double, prokar_score double, eukar_score double, predicted_class string"
-    return spark.read.schema(schema).option("sep", "\t").option("header", True).csv(path)
+    rows = spark.read.schema(schema).option("sep", "\t").option("header", True).csv(path)
+    return rows.select(F.col("header").alias("contig"), F.col("viral_score").alias("viral"), F.col("plas_score").alias("plasmid"), F.col("prokar_score").alias("prokaryotic"), F.col("eukar_score").alias("eukaryotic"), "predicted_class")
+
+
+def write_scores(scores: DataFrame, path: str) -> None:
+    """Scores of contigs as tab-separated text with header."""
+    names = {"contig": "header", "viral": "viral_score", "plasmid": "plas_score", "prokaryotic": "prokar_score", "eukaryotic": "eukar_score"}
+    rows = scores.select(*[F.col(c).alias(n) for c, n in names.items()], predicted_class().alias("predicted_class"))
+    rows.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+
+
+def read_coverage_tables(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``sample, contig, coverage`` of several coverage tables; the sample is the file's name without its ending."""
+    parts = [read_coverage_tsv(spark, p).select(F.lit(file_stem(p)).alias("sample"), "contig", "coverage") for p in paths]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def file_stem(path: str) -> str:
+    """A file's name without folder, ``.gz`` and the ending before it."""
+    return path.rstrip("/").rsplit("/", 1)[-1].removesuffix(".gz").rsplit(".", 1)[0]
 
 
 def read_sam(spark: SparkSession, path: str, sample: str) -> DataFrame:

@@ -1,16 +1,16 @@
 import gzip
+import random
 
 from pyspark.sql import functions as F
 
-from strandbin.operators.classify import classify, train_classifiers
-from strandbin.sources.fasta import fasta_records, fastq_records, read_fasta, read_sequences, write_fasta
-from strandbin.sources.tables import read_coverage_tsv, read_paf, read_sam, read_scores
+from strandbin.operators.classify import class_scores, load_classifiers, save_classifiers, train_classifiers
+from strandbin.sources.fasta import fastq_records, read_fasta, read_fastq, write_fasta
+from strandbin.sources.tables import read_coverage_tables, read_coverage_tsv, read_paf, read_sam, read_scores, write_scores
 
-TEXT = "junk\n>>a one > two\nACGT\nac gt\n\n>\nTTTT\n>b.2\nNN"
+TEXT = ">>a one > two\nACGT\nac gt\n\n>\nTTTT\n>b.2\nNN"
 
 
 def test_records():
-    assert list(fasta_records(iter(TEXT.splitlines()))) == [("a one > two", "ACGTac gt"), ("b.2", "NN")]
     lines = ["@r1 x", "ACGT", "AC", "+", "IIII", "@I", "@r2", "GG", "+r2", "I"]
     assert list(fastq_records(iter(lines))) == [("r1", "ACGTAC", "IIII@I"), ("r2", "GG", None)]
 
@@ -19,10 +19,11 @@ def test_files(spark, tmp_path):
     (tmp_path / "x.fa").write_text(TEXT)
     with gzip.open(tmp_path / "y.fa.gz", "wt") as f:
         f.write(">z\nGATTACA\n")
-    got = {tuple(r) for r in read_sequences(spark, str(tmp_path)).collect()}
-    assert got == {("a one > two", "ACGTac gt"), ("b.2", "NN"), ("z", "GATTACA")}
-    (tmp_path / "q.fastq").write_text("@r1 x\nACGT\n+\nIIII\n")
-    assert [tuple(r) for r in read_sequences(spark, str(tmp_path / "q.fastq"), "fastq").collect()] == [("r1", "ACGT", "IIII")]
+    got = {tuple(r) for r in read_fasta(spark, str(tmp_path)).collect()}
+    assert got == {("a one > two", "ACGTacgt"), ("b.2", "NN"), ("z", "GATTACA")}
+    with gzip.open(tmp_path / "q.fastq.gz", "wt") as f:
+        f.write("@r1 x\nACGT\n+\nIIII\n")
+    assert [tuple(r) for r in read_fastq(spark, str(tmp_path / "q.fastq.gz")).collect()] == [("r1", "ACGT", "IIII")]
 
 
 def test_split_scan_round_trip(spark, tmp_path):
@@ -45,7 +46,16 @@ def test_text_tables(spark, tmp_path):
     (tmp_path / "c.tsv").write_text("a\tx\t1.5\na\t2\nb\nc\tbad\nd\t0\n")
     assert {tuple(r) for r in read_coverage_tsv(spark, str(tmp_path / "c.tsv")).collect()} == {("a", 2.0), ("d", 0.0)}
     (tmp_path / "s.tsv").write_text("header\tviral_score\tplas_score\tprokar_score\teukar_score\tpredicted_class\nc\t0.1\t0.2\t0.3\t0.4\teukaryotic\n")
-    assert read_scores(spark, str(tmp_path / "s.tsv")).first()["eukar_score"] == 0.4
+    given = read_scores(spark, str(tmp_path / "s.tsv"))
+    assert given.first().asDict() == {"contig": "c", "viral": 0.1, "plasmid": 0.2, "prokaryotic": 0.3, "eukaryotic": 0.4, "predicted_class": "eukaryotic"}
+    write_scores(given.drop("predicted_class"), str(tmp_path / "again"))
+    assert read_scores(spark, str(tmp_path / "again")).collect() == given.collect()
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "1.tsv").write_text("a\t1\nb\t5\n")
+    (tmp_path / "d" / "2.tsv").write_text("a\t2\n")
+    assert {tuple(r) for r in read_coverage_tsv(spark, str(tmp_path / "d")).collect()} == {("a", 2.0), ("b", 5.0)}
+    both = read_coverage_tables(spark, [str(tmp_path / "d" / f"{i}.tsv") for i in (1, 2)])
+    assert {tuple(r) for r in both.collect()} == {("1", "a", 1.0), ("1", "b", 5.0), ("2", "a", 2.0)}
     tail = "*\t0\t0\t*\t*"
     sam = ["@HD\tVN:1.6", f"r\t0\tc\t11\t60\t5S10M2D5M3I2N4M\t{tail}", f"u\t4\t*\t0\t0\t*\t{tail}", f"d\t1024\tc\t1\t60\t9M\t{tail}"]
     (tmp_path / "r.sam").write_text("\n".join(sam) + "\n")
@@ -53,9 +63,23 @@ def test_text_tables(spark, tmp_path):
     assert got == [(10, 20), (22, 27), (29, 33)]
 
 
-def test_classifier(spark):
-    rows = [(f"a{i}", "ATTATAAT" * (20 + i), 0.0) for i in range(20)] + [(f"g{i}", "GCCGGCGC" * (20 + i), 1.0) for i in range(20)]
-    df = spark.createDataFrame(rows, "contig string, seq string, label double")
-    got = classify(df, "contig", "seq", train_classifiers(df, "contig", "seq", "label"))
-    right = got.join(df, "contig").where((F.col("probabilities")[1] > 0.5) == (F.col("label") == 1.0)).count()
-    assert right == 40
+def test_classifier(spark, tmp_path):
+    """Two kinds of sequence that differ in their longer k-mers; half of them are held out."""
+    r = random.Random(2)
+
+    def seq(words, n):
+        return "".join(r.choice(words) for _ in range(n))
+
+    kinds = (["ATTATAA", "GCCGGCG", "ACGTTGC"], ["ATTAATA", "GCCGCGG", "ACGTGTC"])
+    rows = [(f"{label}{i}", seq(kinds[label], 40 + (300 if i % 4 == 0 else 0)), label * 3) for label in (0, 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "contig string, seq string, label int")
+    held = F.substring("contig", 2, 9).cast("int") % 2 == 1
+    models = train_classifiers(df.where(~held), "contig", "seq", "label")
+    assert set(models) == {500, 1000}
+    save_classifiers(models, str(tmp_path / "models"))
+    rest = df.where(held).unionByName(spark.createDataFrame([("long", seq(kinds[1], 2000), 3), ("short", "AC", 0)], df.schema))
+    got = class_scores(rest, "contig", "seq", load_classifiers(str(tmp_path / "models")))
+    same = {tuple(x) for x in class_scores(rest, "contig", "seq", models).collect()}
+    assert {tuple(x) for x in got.collect()} == same
+    right = got.join(rest.where("contig <> 'short'"), "contig").where((F.col("eukaryotic") > F.col("viral")) == (F.col("label") == 3)).count()
+    assert right >= 0.95 * 41 and got.count() == rest.count()
