@@ -21,12 +21,13 @@ from strandbin.runtime import shuffle_partitions, stage
 #: Rows of a key that meet their key's row in one task, about; and keys dealt to several tasks, at most, which are broadcast:
 #: of a table of r rows no more than MOST_HOT keys can have over r / MOST_HOT rows each, which is then what a task gets.
 ROWS_PER_SALT, MOST_HOT = 1_000_000, 100_000
-STATE_SCHEMA = "pid int, key string, row_count long, value_count long, distinct_values long, first_value {v}, last_value {v}, max_step double"
+STATE_SCHEMA = "pid int, key string, row_count long, value_count long, distinct_values long, first_value {v}, last_value {v}, max_step double, edge boolean"
 
 
 def _runs(batches: Iterator[pd.DataFrame], numeric: bool) -> Iterator[pd.DataFrame]:
     """One state per run of equal keys in rows sorted by (key, value with nulls first)."""
     open_run: dict | None = None
+    first_of_all = True
     for batch in batches:
         if not len(batch):
             continue
@@ -57,6 +58,7 @@ def _runs(batches: Iterator[pd.DataFrame], numeric: bool) -> Iterator[pd.DataFra
                 "first_value": values.iloc[f] if n else None,
                 "last_value": values.iloc[e - 1] if n else None,
                 "max_step": float(s) if numeric and n > 1 else None,
+                "edge": False,
             }
             for a, e, n, d, s, f in zip(at, ends, filled, distinct, steps, first)
         ]
@@ -65,10 +67,13 @@ def _runs(batches: Iterator[pd.DataFrame], numeric: bool) -> Iterator[pd.DataFra
             open_run = None
         done = ([open_run] if open_run is not None else []) + runs[:-1]
         open_run = runs[-1]
+        if first_of_all:
+            (done or [open_run])[0]["edge"] = True
+            first_of_all = not done
         if done:
             yield pd.DataFrame(done)
     if open_run is not None:
-        yield pd.DataFrame([open_run])
+        yield pd.DataFrame([open_run | {"edge": True}])
 
 
 def _joined(a: dict, b: dict, numeric: bool) -> dict:
@@ -86,12 +91,15 @@ def _joined(a: dict, b: dict, numeric: bool) -> dict:
         "first_value": a["first_value"] if a["value_count"] else b["first_value"],
         "last_value": b["last_value"] if b["value_count"] else a["last_value"],
         "max_step": max(steps) if steps else None,
+        "edge": a["edge"] or b["edge"],
     }
 
 
 def key_states(df: DataFrame, key: str, order: str, partitions: int | None = None) -> DataFrame:
     """Partial states, one per (partition, key): at most one row per key plus one per partition.
 
+    ``edge`` marks a partition's first and last key, which alone can lie in other partitions too.
+
     ``order`` may be numeric or a string. The row number in the composite also cuts a run of rows that agree in key and
     order value.
     """
@@ -121,14 +129,16 @@ def split_key_summary(df: DataFrame, key: str, order: str, partitions: int | Non
     time in ``row_count`` and once in ``distinct_values``. ``max_step`` is null for strings and for keys with fewer than
     two values. An empty table gives an empty result; other columns, whatever their names, are not read.
     """
-    states = key_states(df, key, order, partitions)
+    states = stage(key_states(df, key, order, partitions), "key-states")
     numeric = dict(states.dtypes)["last_value"] == "double"
-    # A key has one state per partition it reaches, so this window sees at most as many rows per key as partitions.
+    results = ("row_count", "distinct_values", "first_value", "last_value", "max_step")
+    inner = states.where("not edge").select("key", *results, F.lit(1).cast("long").alias("pieces"))
+    # No more than two states of a partition are stitched; the others are their keys' results.
     in_order = Window.partitionBy("key").orderBy("pid")
     before = F.last(F.when(F.col("value_count") > 0, F.col("last_value")), ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    stitched = states.withColumn("before", before)
+    stitched = states.where("edge").withColumn("before", before)
     seam = F.col("first_value") - F.col("before") if numeric else F.lit(None).cast("double")
-    return stitched.groupBy("key").agg(
+    joined = stitched.groupBy("key").agg(
         F.sum("row_count").alias("row_count"),
         (F.sum("distinct_values") - F.count_if(F.col("before") == F.col("first_value"))).alias("distinct_values"),
         F.min("first_value").alias("first_value"),
@@ -136,6 +146,7 @@ def split_key_summary(df: DataFrame, key: str, order: str, partitions: int | Non
         F.max(F.greatest("max_step", seam)).alias("max_step"),
         F.count(F.lit(1)).alias("pieces"),
     )
+    return inner.unionByName(joined)
 
 
 def heavy_keys(df: DataFrame, key: str, order: str, percent: int = 3, partitions: int | None = None) -> DataFrame:
