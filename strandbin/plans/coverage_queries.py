@@ -94,6 +94,8 @@ def feature_matrix(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (reads_per_sample, header_map, depth_intervals, frag_clamp, fragment_coverage, uncovered_fragments, coverage_rpm, coverage_pivot, zero_cov_filter, coverage_log, coverage_zscore, feature_matrix)}
 
+# Means over 2^n bases can lie halfway between two roundings; doubles are rounded to even here, decimals upwards as in Spark.
+_HALF_UP = "round({}::DECIMAL(28, 12), 6)::DOUBLE"
 _CLAMP = """clamped AS (SELECT fragment, contig, CASE WHEN ok THEN start_pos ELSE 0 END::INT AS s, CASE WHEN ok THEN e ELSE 0 END::INT AS e, ok FROM (
             SELECT fragment, contig, start_pos, least(start_pos + f.length, l.length) AS e,
                    coalesce(start_pos >= 0 AND start_pos < l.length AND least(start_pos + f.length, l.length) > start_pos AND f.length > 0, false) AS ok
@@ -123,9 +125,9 @@ SQL = {
     "depth_intervals": with_views("lines reads", """, e AS (SELECT sample, contig, pos, sum(d) AS d FROM (SELECT sample, contig, start AS pos, 1 AS d FROM reads WHERE stop > start UNION ALL SELECT sample, contig, stop, -1 FROM reads WHERE stop > start) GROUP BY ALL HAVING sum(d) <> 0)
         SELECT sample, contig, start, stop AS "end", depth FROM (SELECT sample, contig, pos AS start, lead(pos) OVER w AS stop, (sum(d) OVER w)::BIGINT AS depth FROM e WINDOW w AS (PARTITION BY sample, contig ORDER BY pos)) WHERE depth > 0"""),
     "frag_clamp": with_views("lengths frags", f', {_CLAMP} SELECT fragment, contig, s AS start, e AS "end", ok AS valid FROM clamped'),
-    "fragment_coverage": with_views(_V, f", {_COVER} SELECT sample, fragment, round(mean, 6) AS mean, round(std, 6) AS std FROM cover"),
+    "fragment_coverage": with_views(_V, f", {_COVER} SELECT sample, fragment, {_HALF_UP.format('mean')} AS mean, {_HALF_UP.format('std')} AS std FROM cover"),
     "uncovered_fragments": with_views(_V, f", {_CLAMP} SELECT DISTINCT fragment FROM frags ANTI JOIN (SELECT c.fragment FROM clamped c JOIN reads r ON r.contig = c.contig AND r.start < c.e AND r.stop > c.s AND r.stop > r.start WHERE c.ok) USING (fragment)"),
-    "coverage_rpm": with_views(_V, f", {_COVER} SELECT sample, fragment, round(mean, 6) AS mean, round(std, 6) AS std FROM rpm"),
+    "coverage_rpm": with_views(_V, f", {_COVER} SELECT sample, fragment, {_HALF_UP.format('mean')} AS mean, {_HALF_UP.format('std')} AS std FROM rpm"),
     "coverage_pivot": with_views(_V, f", {_COVER} SELECT fragment, {_R} FROM wide"),
     "zero_cov_filter": f"SELECT DISTINCT fragment FROM features WHERE {' OR '.join(f'coalesce({n}, 0) <> 0' for n in NAMES)}",
     "coverage_log": with_views(_V, f", {_COVER} SELECT sample, fragment, round(ln(1 + mean), 6) AS mean, round(ln(1 + std), 6) AS std FROM rpm"),
