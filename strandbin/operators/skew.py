@@ -198,9 +198,12 @@ def join_by_key(rows: DataFrame, per_key: DataFrame, key: str, how: str = "inner
     A key's rows are dealt to salts by their number, and its row in ``per_key`` goes to each of them. ``how`` is ``inner`` or
     ``left``. The key comes first, then the other columns of both tables, whose names must differ.
     """
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_"))
-    per_salt = max(ROWS_PER_SALT, rows.count() // MOST_HOT + 1)
-    hot = F.broadcast(stage(sizes.where((F.col("n_") > per_salt) & F.col(key).isNotNull()).select(key, F.ceil(F.col("n_") / per_salt).cast("int").alias("salts_")), "hot-keys"))
+    sizes = stage(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n_")), "key-sizes")
+    seen = sizes.agg(F.sum("n_"), F.max("n_")).first()
+    per_salt = max(ROWS_PER_SALT, (seen[0] or 0) // MOST_HOT + 1)
+    if (seen[1] or 0) <= per_salt:
+        return rows.join(per_key, key, how)
+    hot = F.broadcast(sizes.where(F.col("n_") > per_salt).select(key, F.ceil(F.col("n_") / per_salt).cast("int").alias("salts_")))
     others = [c for c in rows.columns if c != key]
     dealt = rows.join(hot, key, "left").withColumn("salt_", F.pmod(F.xxhash64(*others), F.coalesce("salts_", F.lit(1))).cast("int")).drop("salts_")
     copies = per_key.join(hot, key, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), F.coalesce("salts_", F.lit(1)) - 1))).drop("salts_")
