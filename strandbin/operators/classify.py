@@ -40,7 +40,7 @@ def _widths() -> list[int]:
 
 
 @F.udf(VectorUDT())
-def _sparse(places: list[int], freqs: list[float]) -> SparseVector:
+def _sparse(places, freqs):  # noqa: ANN001, ANN202
     return SparseVector(sum(_widths()), places, freqs)
 
 

@@ -59,10 +59,11 @@ def unstage(df: DataFrame) -> None:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt to all cores if it comes from fewer files than there are, for steps that compute much per row.
 
-    Tables of many files are left as they are: their scan has enough tasks, and no text is shuffled.
+    Tables of many files are left as they are: their scan has enough tasks, and no text is shuffled. So are rows that come
+    from no file, which the session has dealt out already.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
