@@ -172,12 +172,18 @@ def report(chosen: DataFrame, root: Node) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, text: str, tokenizer: str) -> DataFrame:
-    """``docs`` with ``tokens``, the number of tokens of the text (null: 0) by the tokenizer file at that path."""
+    """``docs`` with ``tokens``, the number of tokens of the text (null: 0) by the tokenizer file at that path.
+
+    The file is read by the driver, which sends it to the executors.
+    """
+    docs.sparkSession.sparkContext.addFile(tokenizer)
+    name = tokenizer.rstrip("/").rsplit("/", 1)[-1]
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from pyspark import SparkFiles
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(tokenizer)
+        t = Tokenizer.from_file(SparkFiles.get(name))
         t.encode_special_tokens = True
         for b in batches:
             yield pd.Series([len(e.ids) for e in t.encode_batch(b.fillna("").tolist(), add_special_tokens=False)], index=b.index)
