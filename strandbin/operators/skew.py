@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandbin.runtime import shuffle_partitions, stage
+from strandbin.runtime import shuffle_partitions, stage, unstage
 
 #: Rows of a key that meet their key's row in one task, about; and keys dealt to several tasks, at most, which are broadcast:
 #: of a table of r rows no more than MOST_HOT keys can have over r / MOST_HOT rows each, which is then what a task gets.
@@ -95,9 +95,12 @@ def _joined(a: dict, b: dict, numeric: bool) -> dict:
     }
 
 
-def key_states(df: DataFrame, key: str, order: str, partitions: int | None = None) -> DataFrame:
+def key_states(df: DataFrame, key: str, order: str, partitions: int | None = None, scanned: bool = False) -> DataFrame:
     """Partial states, one per (partition, key): at most one row per key plus one per partition.
 
+    Row numbers must be the same if a lost task is repeated, or rows would change partitions. They are in a scan of files
+    (``scanned=True`` says that ``df`` is one); other rows, whose order may differ after a shuffle, are staged first.
+
     ``edge`` marks a partition's first and last key, which alone can lie in other partitions too.
 
     ``order`` may be numeric or a string. The row number in the composite also cuts a run of rows that agree in key and
@@ -109,6 +112,8 @@ def key_states(df: DataFrame, key: str, order: str, partitions: int | None = Non
     rows = df.select(F.col(f"`{key}`").cast("string").alias("key"), value.alias("value")).where("key is not null")
     if numeric:
         rows = rows.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    if not scanned:
+        rows = stage(rows, "key-rows")
     n = partitions or shuffle_partitions(df.sparkSession)
     ranged = (
         rows.withColumn("row_no", F.monotonically_increasing_id())
@@ -120,16 +125,17 @@ def key_states(df: DataFrame, key: str, order: str, partitions: int | None = Non
     return ranged.mapInPandas(lambda batches: _runs(batches, numeric), schema)
 
 
-def split_key_summary(df: DataFrame, key: str, order: str, partitions: int | None = None) -> DataFrame:
+def split_key_summary(df: DataFrame, key: str, order: str, partitions: int | None = None, scanned: bool = False) -> DataFrame:
     """Per key: rows, distinct order values, first and last of them, widest step between neighbours, partitions used.
 
     Columns: ``key, row_count, distinct_values, first_value, last_value, max_step, pieces``.
 
     Null keys belong to no key and are left out. Null (and NaN) order values count as rows only. Repeated rows count each
     time in ``row_count`` and once in ``distinct_values``. ``max_step`` is null for strings and for keys with fewer than
-    two values. An empty table gives an empty result; other columns, whatever their names, are not read.
+    two values. An empty table gives an empty result; other columns, whatever their names, are not read. ``scanned``: see
+    :func:`key_states`.
     """
-    states = stage(key_states(df, key, order, partitions), "key-states")
+    states = stage(key_states(df, key, order, partitions, scanned), "key-states")
     numeric = dict(states.dtypes)["last_value"] == "double"
     results = ("row_count", "distinct_values", "first_value", "last_value", "max_step")
     inner = states.where("not edge").select("key", *results, F.lit(1).cast("long").alias("pieces"))
@@ -149,13 +155,13 @@ def split_key_summary(df: DataFrame, key: str, order: str, partitions: int | Non
     return inner.unionByName(joined)
 
 
-def heavy_keys(df: DataFrame, key: str, order: str, percent: int = 3, partitions: int | None = None) -> DataFrame:
+def heavy_keys(df: DataFrame, key: str, order: str, percent: int = 3, partitions: int | None = None, scanned: bool = False) -> DataFrame:
     """Keys that hold at least ``percent`` % of all rows, rows of a null key included in the total.
 
     Columns: those of :func:`split_key_summary` and ``total_rows``.
     """
     total = df.count()
-    return split_key_summary(df, key, order, partitions).withColumn("total_rows", F.lit(total).cast("long")).where(F.col("row_count") * 100 >= F.col("total_rows") * percent)
+    return split_key_summary(df, key, order, partitions, scanned).withColumn("total_rows", F.lit(total).cast("long")).where(F.col("row_count") * 100 >= F.col("total_rows") * percent)
 
 
 def number_rows(df: DataFrame, key: str, order: list[str], partitions: int | None = None) -> DataFrame:
@@ -163,11 +169,14 @@ def number_rows(df: DataFrame, key: str, order: list[str], partitions: int | Non
 
     As ``row_number`` over a window of the key, but a heavy key is cut into as many partitions as its rows need: numbers are
     first given within each partition, and a key's counts in the partitions before are added. Rows of a null key are left
-    out. Rows that agree in key and order have an arbitrary order among them, and may lie in several partitions too. A column ``row_no`` of ``df`` is replaced.
+    out. Rows that agree in key and order have an arbitrary order among them, and may lie in several partitions too. A
+    column ``row_no`` of ``df`` is replaced. The rows are staged first, so that a repeated task gives them the same ids.
     """
     n = partitions or shuffle_partitions(df.sparkSession)
     cols = [c for c in df.columns if c != "row_no"]
-    ranged = df.where(F.col(f"`{key}`").isNotNull()).select(*[F.col(f"`{c}`") for c in cols]).withColumn("row_id_", F.monotonically_increasing_id()).repartitionByRange(n, key, *order, "row_id_").sortWithinPartitions(key, *order, "row_id_").drop("row_id_")
+    rows = stage(df.where(F.col(f"`{key}`").isNotNull()).select(*[F.col(f"`{c}`") for c in cols]), "number-rows")
+    composite = [F.col(f"`{c}`") for c in (key, *order)] + [F.col("row_id_")]
+    ranged = rows.withColumn("row_id_", F.monotonically_increasing_id()).repartitionByRange(n, *composite).sortWithinPartitions(*composite).drop("row_id_")
     kinds = ", ".join(f"`{c}` {t}" for c, t in ranged.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,6 +193,7 @@ def number_rows(df: DataFrame, key: str, order: list[str], partitions: int | Non
             yield b.assign(own_no=number.astype(np.int64))
 
     numbered = stage(ranged.withColumn("pid_", F.spark_partition_id()).mapInPandas(run, f"{kinds}, pid_ int, own_no long"), "numbered")
+    unstage(rows)
     counts = numbered.groupBy(key, "pid_").agg(F.max("own_no").alias("n")).withColumn("n", F.col("n") + 1)
     before = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy("pid_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # Only keys that reach a second partition need an offset: no more rows than partitions.

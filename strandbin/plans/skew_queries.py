@@ -17,13 +17,13 @@ def _tables(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame, str,
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    parts = [heavy_keys(df, key, order).select(F.lit(name).alias("tbl"), F.col("key").alias("key_value")) for name, df, key, order in _tables(spark, folder)]
+    parts = [heavy_keys(df, key, order, scanned=True).select(F.lit(name).alias("tbl"), F.col("key").alias("key_value")) for name, df, key, order in _tables(spark, folder)]
     return parts[0].unionByName(parts[1])
 
 
 def p1_contig_summary(spark: SparkSession, folder: str) -> DataFrame:
     _, df, key, order = _tables(spark, folder)[0]
-    return split_key_summary(df, key, order).select(
+    return split_key_summary(df, key, order, scanned=True).select(
         F.col("key").alias("contig"),
         "row_count",
         F.col("distinct_values").alias("distinct_starts"),
@@ -35,7 +35,7 @@ def p1_contig_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_bin_summary(spark: SparkSession, folder: str) -> DataFrame:
     _, df, key, order = _tables(spark, folder)[1]
-    return split_key_summary(df, key, order).select(F.col("key").alias("bin"), "row_count", F.col("distinct_values").alias("contigs"), F.col("first_value").alias("first_contig"), F.col("last_value").alias("last_contig"))
+    return split_key_summary(df, key, order, scanned=True).select(F.col("key").alias("bin"), "row_count", F.col("distinct_values").alias("contigs"), F.col("first_value").alias("first_contig"), F.col("last_value").alias("last_contig"))
 
 
 def p1_fragment_numbers(spark: SparkSession, folder: str) -> DataFrame:
