@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandbin.functions.dna import CLASSIFIER_ALPHABET, canonical_index
 from strandbin.functions.rules import SCALES, length_scale
-from strandbin.operators.kmers import MULTI_K, kmer_multi
+from strandbin.operators.kmers import MULTI_K, multi_shares
+from strandbin.runtime import spread, stage, unstage
 
 CLASSES = ("viral", "plasmid", "prokaryotic", "eukaryotic")
 #: A contig is dropped if its bacterial or plasmid score is above this; a eukaryotic score from HIGH is a sure one.
 DROP_ABOVE, HIGH = 0.5, 0.95
+#: Letters, and sequences, that are handled at once, about.
+LETTERS, ROWS = 1_000_000, 256
 
 
 def predicted_class() -> Column:
@@ -35,35 +40,52 @@ def bacterial_filter(scores: DataFrame, drop_above: float = DROP_ABOVE, fallback
     return scores if fallback and not kept.limit(1).count() else kept
 
 
-def _widths() -> list[int]:
-    return [int(canonical_index(k, CLASSIFIER_ALPHABET).max()) + 1 for k in MULTI_K]
+def _indices() -> dict[int, np.ndarray]:
+    return {k: canonical_index(k, CLASSIFIER_ALPHABET) for k in MULTI_K}
 
 
-@F.udf(VectorUDT())
-def _sparse(places, freqs):  # noqa: ANN001, ANN202
-    return SparseVector(sum(_widths()), places, freqs)
+def _width(indices: dict[int, np.ndarray]) -> int:
+    return sum(int(index.max()) + 1 for index in indices.values())
 
 
-def _features(rows: DataFrame, key: str, seq: str) -> DataFrame:
-    """``key, scale, features``: the shares of canonical k-mers for all of MULTI_K side by side, as a sparse vector."""
-    start = dict(zip(MULTI_K, [sum(_widths()[:i]) for i in range(len(MULTI_K))]))
-    offset = reduce(lambda out, k: F.when(F.col("k") == k, F.lit(start[k])).otherwise(out), MULTI_K, F.lit(0))
-    known = rows.where(F.col(seq).isNotNull())
-    parts = kmer_multi(known, key, seq).select(key, "k", F.transform("places", lambda p: p + offset).alias("places"), "freqs")
-    whole = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("k", "places", "freqs"))).alias("parts"))  # five of each
-    joined = whole.join(known.select(key, length_scale(F.length(seq)).alias("scale")), key)
-    return joined.select(key, "scale", _sparse(F.flatten(F.transform("parts", lambda x: x["places"])), F.flatten(F.transform("parts", lambda x: x["freqs"]))).alias("features"))
+def _slices(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Consecutive rows of bounded number and, but for single long sequences, letters."""
+    size = b["seq"].str.len().to_numpy(dtype=np.int64)
+    group = np.cumsum(size + LETTERS // ROWS) // LETTERS
+    edge = np.flatnonzero(np.r_[True, np.diff(group) != 0]) if len(b) else []
+    return (b.iloc[x:y] for x, y in zip(edge, [*edge[1:], len(b)]))
+
+
+def _features(labelled: DataFrame, seq: str, label: str) -> DataFrame:
+    """``scale, label, features``: the shares of canonical k-mers for all of MULTI_K side by side, as a staged sparse vector."""
+    rows = labelled.select(F.col(f"`{seq}`").alias("seq"), F.col(label).cast("double").alias("label")).where("seq is not null and label is not null")
+    indices = _indices()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for part in _slices(b):
+                share = multi_shares(part["seq"].tolist(), indices)
+                r, place = np.nonzero(share)
+                value, place, ends = share[r, place], place.astype(np.int32), np.searchsorted(r, np.arange(len(part) + 1))
+                cut = list(zip(ends, ends[1:]))
+                yield pd.DataFrame({"scale": part["scale"].to_numpy(), "label": part["label"].to_numpy(), "places": [place[x:y] for x, y in cut], "freqs": [value[x:y] for x, y in cut]})
+
+    found = spread(rows.select(length_scale(F.length("seq")).alias("scale"), "label", "seq")).mapInPandas(run, "scale int, label double, places array<int>, freqs array<double>")
+    # Written as the struct that a sparse vector is in files, so that none is made in Python.
+    sparse = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(_width(indices)).alias("size"), F.col("places").alias("indices"), F.col("freqs").alias("values"))
+    schema = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT()), T.StructField("scale", T.IntegerType())])
+    return stage(found.select("label", sparse.alias("features"), "scale"), "class-features", "scale", schema)
 
 
 def train_classifiers(labelled: DataFrame, key: str, seq: str, label: str) -> dict[int, LogisticRegressionModel]:
     """A multinomial regression on k-mer shares for each length scale that has two labels or more; labels are class numbers."""
-    rows = _features(labelled, key, seq).join(labelled.select(key, F.col(label).cast("double").alias("label")), key).where("label is not null").cache()
+    rows = _features(labelled, seq, label)
     models = {}
     for scale in SCALES:
         part = rows.where(F.col("scale") == scale)
         if part.select("label").distinct().limit(2).count() > 1:
             models[scale] = LogisticRegression(family="multinomial", maxIter=30, regParam=0.01).fit(part)
-    rows.unpersist()
+    unstage(rows)
     return models
 
 
@@ -87,13 +109,32 @@ def load_classifiers(path: str, scales: tuple[int, ...] = SCALES) -> dict[int, L
 
 
 def classify(rows: DataFrame, key: str, seq: str, models: dict[int, LogisticRegressionModel]) -> DataFrame:
-    """``key, scale, probabilities``; a sequence whose scale has no model goes to the nearest scale that has one."""
-    found = _features(rows, key, seq)
-    out = []
-    for scale in SCALES:
-        near = min(models, key=lambda s: abs(SCALES.index(s) - SCALES.index(scale)))
-        out.append(models[near].transform(found.where(F.col("scale") == scale)).select(key, "scale", vector_to_array("probability").alias("probabilities")))
-    return reduce(DataFrame.unionByName, out)
+    """``key, scale, probabilities``; a sequence whose scale has no model goes to the nearest scale that has one.
+
+    One pass over the sequences without a shuffle; the models' coefficients go to the tasks.
+    """
+    near = {scale: min(models, key=lambda s: abs(SCALES.index(s) - SCALES.index(scale))) for scale in SCALES}
+    weights = {s: (m.coefficientMatrix.toArray().T.copy(), m.interceptVector.toArray()) for s, m in models.items()}
+    shared = rows.sparkSession.sparkContext.broadcast((_indices(), near, weights))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        indices, near, weights = shared.value
+        for b in batches:
+            for part in _slices(b):
+                share, scale = multi_shares(part["seq"].tolist(), indices), part["scale"].to_numpy()
+                out = [None] * len(part)
+                for s in np.unique(scale):
+                    at = np.flatnonzero(scale == s)
+                    slope, level = weights[near[int(s)]]
+                    margin = share[at] @ slope + level
+                    odds = np.exp(margin - margin.max(1, keepdims=True))
+                    for i, p in zip(at, odds / odds.sum(1, keepdims=True)):
+                        out[i] = p
+                yield pd.DataFrame({"key": part["key"].to_numpy(), "scale": scale, "probabilities": out})
+
+    known = rows.select(F.col(f"`{key}`").alias("key"), F.col(f"`{seq}`").alias("seq")).where("seq is not null")
+    found = spread(known.select("key", length_scale(F.length("seq")).alias("scale"), "seq")).mapInPandas(run, f"key {dict(rows.dtypes)[key]}, scale int, probabilities array<double>")
+    return found.withColumnRenamed("key", key)
 
 
 def class_scores(rows: DataFrame, key: str, seq: str, models: dict[int, LogisticRegressionModel]) -> DataFrame:

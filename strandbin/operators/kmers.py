@@ -142,6 +142,29 @@ def kmer_multi(df: DataFrame, key: str, seq: str, ks: tuple[int, ...] = MULTI_K)
     return out.withColumnRenamed("key", key)
 
 
+def multi_shares(seqs: list[str], indices: dict[int, np.ndarray]) -> np.ndarray:
+    """A row for each sequence: its shares of canonical k-mers for every k of ``indices`` side by side.
+
+    Shares are as those of :func:`kmer_multi`, zeros where that has none. ``indices`` has for each k, from small to large, the
+    result of ``canonical_index``.
+    """
+    code, row = _codes(seqs)
+    other = np.bincount(row[code < 0], minlength=len(seqs))
+    other[:-1] -= 1  # the marks between sequences
+    code = np.where((other > 0)[row], -1, code).astype(np.int32)
+    out, value, bad = [], np.zeros(len(code) + 1, dtype=np.int32), np.zeros(len(code) + 1, dtype=bool)
+    for k in range(1, max(indices) + 1):
+        n = max(len(code) - k + 1, 0)
+        last = code[k - 1 :]
+        value, bad = value[:n] * 4 + last, bad[:n] | (last < 0)
+        if k in indices:
+            index, good = indices[k], ~bad
+            width = int(index.max()) + 1
+            counts = np.bincount(row[:n][good] * width + index[value[good]], minlength=len(seqs) * width).reshape(-1, width)
+            out.append(counts / np.maximum(counts.sum(1, keepdims=True), 1))
+    return np.concatenate(out, axis=1)
+
+
 def kmer_spectrum(df: DataFrame, seq: str, k: int) -> DataFrame:
     """``code, windows``: how often each k-mer (not canonical) occurs in all sequences; one partial sum per batch."""
 

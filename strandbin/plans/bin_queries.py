@@ -90,11 +90,10 @@ def bacterial_filter_fallback(spark: SparkSession, folder: str) -> DataFrame:
 
 def class_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of all contigs by classifiers trained on those whose alignment lines name a class."""
-    rows = v.contigs(spark, folder).select("contig", F.col("seq"))
-    rows = stage(rows, "class-contigs")
     number = F.array_position(F.array(*map(F.lit, cl.CLASSES)), cl.predicted_class()) - 1
     labels = v.scores(spark, folder).select("contig", number.alias("label"))
-    models = cl.train_classifiers(rows.join(labels, "contig"), "contig", "seq", "label")
+    rows = stage(v.contigs(spark, folder).join(labels, "contig", "left"), "class-contigs")  # a null label is none
+    models = cl.train_classifiers(rows, "contig", "seq", "label")
     return cl.class_scores(rows, "contig", "seq", models).select("contig", *[F.round(c, 6).alias(c) for c in cl.CLASSES])
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -30,11 +31,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by: str | None = None, schema: StructType | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read of files, not a recomputation of earlier steps, and a table that
-    several later steps read is computed once. Parquet keeps it compressed and lets later scans prune columns.
+    several later steps read is computed once. Parquet keeps it compressed and lets later scans prune columns. ``schema`` says
+    what to read it as if its types are not to be as in ``df``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -42,7 +44,7 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.parquet(path) if partition_by and not schema else spark.read.schema(schema or df.schema).parquet(path)
 
 
 def unstage(df: DataFrame) -> None:

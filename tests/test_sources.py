@@ -1,9 +1,12 @@
 import gzip
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from strandbin.operators import classify
 from strandbin.operators.classify import class_scores, load_classifiers, save_classifiers, train_classifiers
+from strandbin.operators.kmers import kmer_multi
 from strandbin.sources.fasta import fastq_records, read_fasta, read_fastq, write_fasta
 from strandbin.sources.tables import read_coverage_tables, read_coverage_tsv, read_paf, read_sam, read_scores, write_scores
 
@@ -83,3 +86,37 @@ def test_classifier(spark, tmp_path):
     assert {tuple(x) for x in got.collect()} == same
     right = got.join(rest.where("contig <> 'short'"), "contig").where((F.col("eukaryotic") > F.col("viral")) == (F.col("label") == 3)).count()
     assert right >= 0.95 * 41 and got.count() == rest.count()
+
+
+def test_classifier_features_and_scores_are_those_of_the_library(spark):
+    """Features against the k-mer shares of ``kmer_multi``, scores against the models' own ``transform``; tables are built once."""
+    r = random.Random(5)
+    seqs = ["".join(r.choice("ACGT") for _ in range(n)) for n in (3, 6, 7, 90, 400, 700, 900, 1500, 9000)] + ["ACGTN" * 30, "acgtacgtt", "", "N"]
+    df = spark.createDataFrame([(f"c{i}", s, i % 3) for i, s in enumerate(seqs)], "contig string, seq string, label int")
+    counted = []
+    index = classify.canonical_index
+
+    def once(k, alphabet):
+        counted.append(k)
+        return index(k, alphabet)
+
+    classify.canonical_index = once
+    try:
+        rows = classify._features(df.withColumn("label", F.substring("contig", 2, 9).cast("int")), "seq", "label")
+        got = {int(x["label"]): x["features"] for x in rows.collect()}
+    finally:
+        classify.canonical_index = index
+    assert sorted(counted) == list(classify.MULTI_K)  # the driver alone, not a call for each row
+    want = {i: {} for i in range(len(seqs))}
+    start = 0
+    for k in classify.MULTI_K:
+        for x in kmer_multi(df, "contig", "seq", (k,)).collect():
+            want[int(x["contig"][1:])].update(zip([p + start for p in x["places"]], x["freqs"]))
+        start += int(index(k, classify.CLASSIFIER_ALPHABET).max()) + 1
+    assert {i: dict(zip(v.indices.tolist(), v.values.tolist())) for i, v in got.items()} == want and all(v.size == start for v in got.values())
+    models = train_classifiers(df, "contig", "seq", "label")
+    scores = {x["contig"]: (x["scale"], x["probabilities"]) for x in classify.classify(df, "contig", "seq", models).collect()}
+    assert len(scores) == len(seqs)
+    for name, (scale, p) in scores.items():
+        near = min(models, key=lambda s: abs(classify.SCALES.index(s) - classify.SCALES.index(scale)))
+        assert np.allclose(p, models[near].predictProbability(got[int(name[1:])]).toArray(), rtol=0, atol=1e-12)
