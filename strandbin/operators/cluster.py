@@ -82,7 +82,7 @@ def neighbours(vectors: DataFrame, width: int, k: int) -> DataFrame:
     asked = stage(slim.join(bound, "key", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))), "near-bound")
 
     def visited(t, x, part):  # noqa: ANN001, ANN202
-        return t.reachable(x, part["bound"].to_numpy() + 1e-6, balls)
+        return t.reached(x, part["bound"].to_numpy() + 1e-6, balls)
 
     return best(block_join(asked, asked, tree, blocks, width, visited, _top(k), schema))
 
@@ -205,8 +205,8 @@ def spanning_tree(vectors: DataFrame, near: DataFrame, width: int, k: int, core_
 
     balls = tree.balls(blocks.radius)
 
-    def visited(t: Tree, x: np.ndarray, part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        return t.reachable(x, part["bound"].to_numpy() + 1e-6, balls)
+    def visited(t: Tree, x: np.ndarray, part: pd.DataFrame) -> np.ndarray:
+        return t.reached(x, part["bound"].to_numpy() + 1e-6, balls)
 
     while True:
         sizes = trees.groupBy("tree").agg(F.count(F.lit(1)).alias("n"))
