@@ -57,9 +57,9 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """Null for a vector of zeros."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))
+    """Null for a vector of zeros. The norm is bound to a name first, or else it would be formed again for every place."""
+    shared = F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x.cast("double") / n))
+    return F.when(norm(v) > 0, F.flatten(shared))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

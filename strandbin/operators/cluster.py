@@ -27,6 +27,8 @@ FIRST_ROWS = 8_192
 LANE_ROWS = 8_192
 #: Distances that a task holds at once.
 CELLS = 2_500_000
+#: Around limits, squared distances formed in floats are formed again in doubles: so much times the squared lengths.
+DOUBT = 4e-6
 
 
 @F.pandas_udf(T.BinaryType())
@@ -34,29 +36,70 @@ def packed(v: pd.Series) -> pd.Series:
     return pd.Series([np.asarray(x, dtype=np.float64).tobytes() for x in v], dtype=object)
 
 
+def _sides(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Two matrices of floats whose product is the squared distances of all rows, and by how much it may be off."""
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    one = np.concatenate([-2.0 * x, xx[:, None], np.ones((len(x), 1))], axis=1).astype(np.float32)
+    two = np.concatenate([y, np.ones((len(y), 1)), yy[:, None]], axis=1).astype(np.float32)
+    return one, two, DOUBT * float(xx.max(initial=0.0) + yy.max(initial=0.0))
+
+
+def _steps(who: np.ndarray, own: np.ndarray) -> Iterator[np.ndarray]:
+    """``who`` in parts of which each, with all of ``own``, makes no more than ``CELLS`` distances."""
+    step = max(1, min(512, CELLS // max(len(own), 1)))
+    return (who[s : s + step] for s in range(0, len(who), step))
+
+
 def _top(k: int):
     def work(held: dict, asked: dict, pairs: list) -> pd.DataFrame:
         # Members are sorted by key: of equal distances (in steps of 1e-7) the smaller place is the smaller key.
-        n, m, far = len(asked["x"]), len(held["x"]), np.iinfo(np.int64).max
-        best = np.full((n, k), far)
+        m, top, found = len(held["x"]), k + 1, []  # the row itself may be there
+        # Beyond this squared distance no row is among a row's nearest; distances are first formed in floats.
+        worst = (asked["bound"] + 1e-6) ** 2 if "bound" in asked else np.full(len(asked["x"]), np.inf)
         for _, own, rows in pairs:
-            y = held["x"][own]
-            for s in range(0, len(rows), 512):
-                w = rows[s : s + 512]
-                x = asked["x"][w]
-                d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2.0 * (x @ y.T), 0.0)
-                code = np.rint(np.sqrt(d) * 1e7).astype(np.int64) * m + own[None]
-                code[asked["no"][w][:, None] == held["no"][own][None]] = far
-                both = np.concatenate([best[w], code], axis=1)
-                best[w] = np.partition(both, k - 1, axis=1)[:, :k]
-        q, i = np.nonzero(best < far)
-        at = best[q, i] % m
+            one, two, doubt = _sides(asked["x"][rows], held["x"][own])
+            for part in _steps(np.arange(len(rows)), own):
+                rough = one[part] @ two.T
+                near = np.flatnonzero(rough.min(1) <= worst[rows[part]] + doubt)
+                if not len(near):
+                    continue
+                rough, w = rough[near], rows[part[near]]
+                if len(own) >= top:
+                    last = np.maximum(np.partition(rough, top - 1, axis=1)[:, top - 1].astype(np.float64) + doubt, 0.0)
+                    worst[w] = np.minimum(worst[w], (np.sqrt(last) + 1.1e-7) ** 2)
+                for some in _lean(rough, worst[w] + doubt, 64 * top):
+                    q, i = np.nonzero(rough[some] <= (worst[w[some]] + doubt)[:, None])
+                    q, i = w[some][q], own[i]
+                    other = asked["no"][q] != held["no"][i]
+                    q, i = q[other], i[other]
+                    code = np.rint(np.sqrt(((asked["x"][q] - held["x"][i]) ** 2).sum(1)) * 1e7).astype(np.int64) * m + i
+                    found.append(_first(q, code, k))
+        q, code = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, dtype=np.int64),) * 2
+        q, code = _first(q, code, k)
+        at = code % m if m else code
         exact = np.sqrt(((asked["x"][q] - held["x"][at]) ** 2).sum(1))
         return pd.DataFrame({"key": asked["key"][q], "other": held["key"][at], "distance": exact})
 
     return work
 
 
+def _lean(rough: np.ndarray, limit: np.ndarray, most: int) -> list[np.ndarray]:
+    """Rows of ``rough`` in parts: all at once if few values are within the limits, else (copies) a few rows at a time."""
+    rows = np.arange(len(rough))
+    if rough.shape[1] <= most or np.count_nonzero(rough <= limit[:, None]) <= most * len(rough):
+        return [rows]
+    return np.array_split(rows, -(-rough.size // (CELLS // 16)))
+
+
+def _first(q: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each q the k smallest codes."""
+    order = np.lexsort((code, q))
+    q, code = q[order], code[order]
+    start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, dtype=np.int64)
+    kept = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)])) < k
+    return q[kept], code[kept]
+
+
 def neighbours(vectors: DataFrame, width: int, k: int) -> DataFrame:
     """``key, other, distance, place``: the exact k nearest others of every row of ``key, v``, by Euclidean distance.
 
@@ -158,25 +201,32 @@ def close_links(vectors: DataFrame, near: DataFrame, width: int, core_k: int, ep
 
 
 def _lightest(held: dict, asked: dict, pairs: list) -> pd.DataFrame:
-    """The lightest edges of each asked row to rows of other trees, all of equal weight."""
-    n = len(asked["x"])
-    best, found = np.full(n, np.inf), []
+    """The lightest edges of each tree's asked rows to rows of other trees, all of equal weight."""
+    _, group = np.unique(asked["tree_no"], return_inverse=True)
+    best = np.full(int(group.max(initial=-1)) + 1, np.inf)  # of each tree
+    np.minimum.at(best, group, asked["bound"] + 1e-7)  # an edge as light as the bound counts
+    found = []
     for _, own, who in pairs:
-        y = held["x"][own]
-        for s in range(0, len(who), 512):
-            w = who[s : s + 512]
-            x = asked["x"][w]
-            d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2.0 * (x @ y.T), 0.0))
-            d = np.maximum(d, np.maximum(asked["core"][w][:, None], held["core"][own][None]))
-            d[asked["tree_no"][w][:, None] == held["tree_no"][own][None]] = np.inf
-            least = np.minimum(d.min(1), np.minimum(best[w], asked["bound"][w]))
-            q, m = np.nonzero((d <= least[:, None] + 1e-7) & (d < np.inf))
-            q, m = w[q], own[m]
+        own = own[held["core"][own] <= best[group[who]].max(initial=0.0) + 1e-7]
+        if not len(own):
+            continue
+        one, two, doubt = _sides(asked["x"][who], held["x"][own])
+        for part in _steps(np.arange(len(who)), own):
+            rough, w = one[part] @ two.T, who[part]
+            limit = (best[group[w]] + 1e-7) ** 2 + doubt
+            near = np.flatnonzero(rough.min(1) <= limit)
+            if not len(near):
+                continue
+            q, m = np.nonzero(rough[near] <= limit[near][:, None])
+            q, m = w[near[q]], own[m]
+            other = asked["tree_no"][q] != held["tree_no"][m]
+            q, m = q[other], m[other]
             exact = np.maximum(np.sqrt(((asked["x"][q] - held["x"][m]) ** 2).sum(1)), np.maximum(asked["core"][q], held["core"][m]))
-            np.minimum.at(best, q, exact)
-            found.append((q, m, exact))
+            np.minimum.at(best, group[q], exact)
+            good = exact <= best[group[q]]
+            found.append((q[good], m[good], exact[good]))
     q, m, w = (np.concatenate(c) if found else np.zeros(0, dtype=np.int64) for c in (list(zip(*found)) or ((), (), ())))
-    good = w <= best[q]
+    good = w <= best[group[q]]
     q, m, w = q[good], m[good], w[good].astype(np.float64)
     return pd.DataFrame({"la": asked["tree"][q], "lb": held["tree"][m], "x": asked["key"][q], "y": held["key"][m], "w": w})
 

@@ -38,7 +38,8 @@ def euclidean_distance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _unit_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return v.vectors(spark, folder).select(F.col("contig").alias("key"), rules.unit(F.col("v")).alias("v"))
+    """Written once, as several steps of a query read them."""
+    return stage(v.vectors(spark, folder).select(F.col("contig").alias("key"), rules.unit(F.col("v")).alias("v")), "unit-vectors")
 
 
 def _near(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,13 +61,15 @@ def mutual_reach(spark: SparkSession, folder: str) -> DataFrame:
 
 def mst_edges(spark: SparkSession, folder: str) -> DataFrame:
     """A minimum spanning tree of the whole mutual reachability graph."""
-    near = stage(_near(spark, folder), "mst-near")
-    return cl.spanning_tree(_unit_vectors(spark, folder), near, WIDTH, NEAR, K).withColumn("w", F.round("w", 6))
+    rows = _unit_vectors(spark, folder)
+    near = stage(cl.neighbours(rows, WIDTH, NEAR), "mst-near")
+    return cl.spanning_tree(rows, near, WIDTH, NEAR, K).withColumn("w", F.round("w", 6))
 
 
 def hdbscan_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Clusters of the whole mutual reachability graph, cut at one distance."""
-    near, rows = stage(_near(spark, folder), "cut-near"), _unit_vectors(spark, folder)
+    rows = _unit_vectors(spark, folder)
+    near = stage(cl.neighbours(rows, WIDTH, NEAR), "cut-near")
     return cl.density_cut(cl.close_links(rows, near, WIDTH, K, EPSILON), rows, EPSILON, LEAST).withColumnRenamed("key", "contig")
 
 

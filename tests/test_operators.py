@@ -2,9 +2,11 @@ import hashlib
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandbin.functions import dna, rules
 from strandbin.operators import chimera, cluster, embed
@@ -363,3 +365,34 @@ def test_too_many_fragments_of_a_half(spark, monkeypatch):
     rows = spark.createDataFrame([("c", "h1", f"f{i}", [1.0]) for i in range(4)], "contig string, half string, fragment string, v array<double>")
     with pytest.raises(ValueError, match="more than 3"):
         chimera.half_distances(rows)
+
+
+def test_unit_forms_the_norm_once(spark):
+    """Work in proportion to a vector's length, not to its square (1.3 billion steps here)."""
+    rows = spark.range(20).select("id", F.transform(F.sequence(F.lit(1), F.lit(8000)), lambda x: x * F.col("id")).alias("v"))
+    began = time.time()
+    got = {r["id"]: r["u"] for r in rows.select("id", rules.unit(F.col("v")).alias("u")).collect()}
+    assert time.time() - began < 15
+    want = np.arange(1, 8001) / np.sqrt((np.arange(1, 8001) ** 2).sum())
+    assert got.pop(0) is None and len(got) == 19 and all(np.allclose(u, want, rtol=1e-12, atol=0) for u in got.values())
+
+
+def test_neighbours_and_lightest_edges_with_many_copies(spark):
+    """More copies of a vector than the lean way takes at once, ties by key, and edges as light as the bound."""
+    r = np.random.default_rng(8)
+    x = np.concatenate([np.repeat(r.normal(size=(1, 6)), 700, axis=0), r.normal(size=(300, 6))])
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    x = x[r.permutation(len(x))]
+    keys = [f"k{i:04d}" for i in range(len(x))]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in zip(keys, x)], "key string, v array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    got = {(p["key"], p["place"]): p["other"] for p in cluster.neighbours(df, 6, 4).collect()}
+    for i, key in enumerate(keys):
+        order = [j for j in np.lexsort((np.arange(len(x)), np.round(d[i], 7))) if j != i][:4]
+        assert [got[key, p] for p in (1, 2, 3, 4)] == [keys[j] for j in order]
+    n = 40
+    held = {"x": x[:n], "core": np.zeros(n), "tree_no": np.arange(n) // 4, "tree": np.arange(n) // 4, "key": np.array(keys[:n], dtype=object)}
+    cut = d[:n, :n] + np.where((np.arange(n) // 4)[:, None] == (np.arange(n) // 4)[None], np.inf, 0)
+    least = cut.min(1).reshape(-1, 4).min(1)
+    met = cluster._lightest(held, held | {"bound": np.repeat(least, 4)}, [(0, np.arange(n), np.arange(n))])
+    assert met.groupby("la")["w"].min().tolist() == pytest.approx(least.tolist(), abs=1e-12)
